@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkweft.llm.bpe import encode_digests
 from sparkweft.llm.common import read_table
 from sparkweft.llm.ngram_join import jaccard_components
+from sparkweft.llm.token_files import token_table
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; it is read there, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_bpe": op9_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
