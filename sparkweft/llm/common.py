@@ -41,6 +41,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path of ours below the shared folder, through Spark's own file system layer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of ``possibly_in``: its table has at most this many bits, 8 MB, whatever the number of keys.
+BITS = 1 << 26
+
+
+def possibly_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys(key)``: a bitmap of fixed size is broadcast, so a join that follows moves few others."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    bits = keys.select(at(F.col(key)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    place = F.bitmap_bit_position(at(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("_bucket", F.bitmap_bucket_number(at(F.col(key)))).join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

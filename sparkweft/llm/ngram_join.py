@@ -5,12 +5,14 @@ Links are all pairs of texts whose sets of distinct word 5-grams have
 
 1. One pass over the texts makes each set and its class (exact copies of a
    set share one class, so a copied text is looked at once) and emits the
-   set's first ``n - ceil(0.8 n) + l`` shingles in hash order, packed by
-   hash bucket, with ``l = 1 + n // 10``. Two linked sets share at least
-   ``l`` of the smaller one's entries there, so a class most of whose
-   entries nobody else holds cannot link and goes.
-2. Classes that still share an entry fall into blocks (components). Links
-   never leave a block.
+   set's first ``n - ceil(0.8 n) + 1 + n // 5`` shingles in hash order,
+   packed by hash bucket. Two linked sets share at least ``1 + m // 5`` of
+   these entries, m being the smaller size that a partner can have, so a
+   class with fewer entries that others hold cannot link and goes.
+2. By the same count, two linked sets still share an entry if each leaves out
+   its commonest entries, all but one of those it must share. Classes that
+   share one of the rest fall into blocks (components); passages that many
+   unlike texts share make no block. Links never leave a block.
 3. A block is compared by a dual walk over signature trees: a node holds the
    OR (and AND) of its members' token bitmaps and their size range, and a
    pair of nodes is dropped once the greatest possible overlap is too small.
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import mix, null_as_empty, rows_of, shared_dir, shingle_sets, stored, total_bytes, scratch
+from sparkweft.llm.common import drop, mix, null_as_empty, possibly_in, rows_of, shared_dir, shingle_sets, stored, total_bytes, scratch
 from sparkweft.llm.components import components
 
 _FIRST = "kind int, key long, doc_id long, n long, cls long, bucket int, blob binary"
@@ -54,12 +56,17 @@ def class_of(tokens: np.ndarray) -> int:
         return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
+#: Entries beyond the first that any two linked sets share, as a divisor of the size.
+SPARE = 5
+
+
 def entry_length(n: int, percent: int) -> int:
-    return min(n, n - least_overlap(n, percent) + 1 + n // 10)
+    return min(n, n - least_overlap(n, percent) + 1 + n // SPARE)
 
 
-def entries_needed(n: int, percent: int) -> int:
-    return 1 + least_overlap(n, percent) // 10
+def entries_needed(n: Column, percent: int) -> Column:
+    """Entries that a set of n shingles shares with any partner, which has least_overlap(n) shingles or more."""
+    return 1 + F.floor(F.ceil(n * percent / 100) / SPARE)
 
 
 def _scan(k: int, percent: int, buckets: int, batch_docs: int = 4096, batch_tokens: int = 600_000):
@@ -413,25 +420,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     known = first.where("kind = 2").select("blob")
     shared = known.mapInArrow(_shared_here, "token long, cls long").union(_by(packed, "bucket").mapInArrow(_shared_across, "token long, cls long"))
     shared = stored(shared.distinct(), "shared")
+    for kind in (1, 2):
+        drop(spark, f"{path}/kind={kind}")
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.min("doc_id").alias("low"))
-    counts = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
-    able = counts.join(classes, "cls").where(F.col("held") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)).select("cls", "key")
-    able = stored(able, "able")
-    left = shared.join(able.select("cls"), "cls", "left_semi")
+    need = classes.select("cls", entries_needed(F.col("n"), percent).alias("need"))
+    able = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).join(need, "cls").where("held >= need").select("cls", "need")
+    left = shared.join(stored(able, "able"), "cls")
+    # In order of how many hold an entry, two linked sets still meet if each leaves out its need - 1 commonest entries.
+    own = Window.partitionBy("cls")
+    often = left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "token")
+    left = often.withColumn("held", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("often"), F.desc("token")))).where("held >= need and nth >= need").select("token", "cls")
+    left = stored(left, "entries")
     roots = left.groupBy("token").agg(F.min("cls").alias("root"), F.max("cls").alias("top")).where("root < top").select("token", "root")
     edges = left.join(roots, "token").where("cls != root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
     blocks = components(edges)
 
     sized = blocks.join(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "root")
-    members = sized.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(able, "cls")
+    members = sized.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(classes.select("cls", "key"), "cls")
     members = stored(members, "members")
-    texts = docs.select("key", "text").join(members.select("key", "cls", "block", "chunk"), "key")
-    sets = stored(texts.mapInArrow(_sets(k), "block long, chunk long, cls long, tokens binary"), "sets")
-    labels = stored(_by(sets, "block", "chunk").mapInArrow(_inside(percent), "block long, cls long, label long"), "labels")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        some = some.select("key", "cls", "block", "chunk")
+        texts = possibly_in(docs.select("key", "text"), "key", some).join(some, "key")
+        return texts.mapInArrow(_sets(k), "block long, chunk long, cls long, tokens binary")
+
+    labels = stored(_by(sets_of(members), "block", "chunk").mapInArrow(_inside(percent), "block long, cls long, label long"), "labels")
     if members.where("chunks > 1").limit(1).count():
-        large = members.where("chunks > 1").select("block", "cls", "chunks")
-        parts = sets.join(large, ["block", "cls"])
+        large = members.where("chunks > 1")
+        parts = stored(sets_of(large).join(large.select("block", "cls", "chunks"), ["block", "cls"]), "sets")
         joined = _large_blocks(parts, labels.join(large.select("block", "cls"), ["block", "cls"], "left_semi"), percent, chunk)
         labels = labels.join(large.select("block", "cls"), ["block", "cls"], "left_anti").unionByName(joined)
 
