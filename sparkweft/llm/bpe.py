@@ -2,7 +2,8 @@
 
 The leaves of the tree hold the merge rank of every pair of neighbouring
 symbols; its root names the leftmost pair of lowest rank. A merge updates at
-most three leaves, each in logarithmic time, until no pair can merge. Pieces
+most three leaves, each in logarithmic time, until no pair can merge. Nodes
+are wide, for the minimum over a few neighbours costs less than a level. Pieces
 of text repeat, so each worker remembers the ids of the pieces it has met, up
 to a bound. The vocabulary file's path is a parameter.
 
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-įı-ſ]*")
 # Letters and numbers among the PLAIN characters.
 LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+_PIECE = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
 
 def byte_letters() -> list[str]:
@@ -43,74 +46,84 @@ def byte_letters() -> list[str]:
 
 
 class RankTree:
-    """Min-tree over the ranks of neighbouring pairs; keys are (rank, position) in one integer."""
+    """Min-tree over the ranks of neighbouring pairs; a key holds rank and position in one integer.
 
-    NONE = 1 << 62
+    Every node covers up to ``FAN`` children, so a short piece has a root and
+    leaves only and a long one a few levels.
+    """
+
+    NONE, FAN = 1 << 62, 32
 
     def __init__(self, keys: list[int]):
-        self.size = 1 << max(0, (len(keys) - 1).bit_length())
-        self.node = [self.NONE] * self.size + keys + [self.NONE] * (self.size - len(keys))
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        self.levels = [keys]
+        while len(low := self.levels[-1]) > self.FAN:
+            self.levels.append([min(low[i : i + self.FAN]) for i in range(0, len(low), self.FAN)])
+        self.top = self.levels[-1]
 
     def root(self) -> int:
-        return self.node[1]
+        return min(self.top)
 
     def put(self, at: int, key: int) -> None:
-        node, i = self.node, at + self.size
-        node[i] = key
-        i >>= 1
-        while i:
-            low = min(node[2 * i], node[2 * i + 1])
-            if node[i] == low:
+        low = self.levels[0]
+        low[at] = key
+        for up in self.levels[1:]:
+            at //= self.FAN
+            key = min(low[at * self.FAN : (at + 1) * self.FAN])
+            if up[at] == key:
                 break
-            node[i] = low
-            i >>= 1
+            up[at] = key
+            low = up
 
 
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the merges to one piece. ranks: (left, right) -> (rank, merged symbol)."""
+def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """Apply the merges to one piece. ranks: left << 20 | right -> rank << 32; merged: the symbol that each rank gives."""
     n = len(symbols)
     if n < 2:
         return symbols
-    key = lambda i, j: (ranks[p][0] << 32 | i) if (p := (symbols[i], symbols[j])) in ranks else RankTree.NONE
-    tree = RankTree([key(i, i + 1) for i in range(n - 1)])
+    none, rank = RankTree.NONE, ranks.get
+    keys = [none if (r := rank(a << 20 | b)) is None else r | i for i, (a, b) in enumerate(pairwise(symbols))]
+    tree = RankTree(keys)
+    top, put = tree.top, keys.__setitem__ if tree.top is keys else tree.put
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := tree.root()) != RankTree.NONE:
+    while (low := min(top)) != none:
         i = low & 0xFFFFFFFF
         j = after[i]
-        symbols[i] = ranks[symbols[i], symbols[j]][1]
+        symbols[i] = s = merged[low >> 32]
         symbols[j] = -1
         after[i] = k = after[j]
         if j < n - 1:
-            tree.put(j, RankTree.NONE)
+            put(j, none)
         if k < n:
             before[k] = i
-            tree.put(i, key(i, k))
+            put(i, none if (r := rank(s << 20 | symbols[k])) is None else r | i)
         else:
-            tree.put(i, RankTree.NONE)
+            put(i, none)
         if (h := before[i]) >= 0:
-            tree.put(h, key(h, i))
+            put(h, none if (r := rank(symbols[h] << 20 | s)) is None else r | h)
     return [s for s in symbols if s >= 0]
 
 
 class Memo(dict):
-    """Remembers the values of a function of one key."""
+    """Remembers the values of a function of one key: the latest ``limit`` keys at least, twice as many at most."""
 
-    def __init__(self, f):
+    def __init__(self, f, limit: int = 400_000):
         super().__init__()
-        self.f = f
+        self.f, self.limit, self.old = f, limit, {}
 
     def __missing__(self, key):
-        self[key] = value = self.f(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
 class BytePairCoder:
     """Encoder and decoder for one byte-level vocabulary file."""
 
-    MEMO = 300_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -118,7 +131,8 @@ class BytePairCoder:
             told = json.load(f)
         vocab = told["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << 20 | vocab[b]: r << 32 for r, (a, b) in enumerate(merges)}
+        self.merged = [vocab[a + b] for a, b in merges]
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
@@ -131,36 +145,41 @@ class BytePairCoder:
         for s, i in self.added.items():
             self.bytes[i] = s.encode()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.ids_of = Memo(lambda piece: np.array(merge([self.first[b] for b in piece.encode()], self.ranks), "<u4").tobytes())
-        self.ids_of_letters = Memo(lambda piece: np.array(merge([self.letter[c] for c in piece], self.ranks), "<u4").tobytes())
-        self.shown = Memo(lambda ids: ",".join(map(str, np.frombuffer(ids, "<u4").tolist())))
-
-    def _plain(self, text: str) -> list[bytes]:
-        for memo in (self.ids_of, self.ids_of_letters, self.shown):
-            if len(memo) > self.MEMO:
-                memo.clear()
+        self.of_bytes = Memo(lambda piece: self._piece([self.first[b] for b in piece.encode()]))
+        self.of_letters = Memo(lambda piece: self._piece([self.letter[c] for c in piece]))
+
+    def _piece(self, symbols: list[int]) -> tuple[bytes, str]:
+        """Ids of one piece, packed and in decimals."""
+        ids = merge(symbols, self.ranks, self.merged)
+        return array("I", ids).tobytes(), ",".join(map(str, ids))
+
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if PLAIN.fullmatch(text):
-            return list(map(self.ids_of.__getitem__, _PIECE.findall(text)))
-        return [self.ids_of_letters[piece] for piece, _ in self.cut(text)]
+            return list(map(self.of_bytes.__getitem__, _PIECE.findall(text)))
+        return [self.of_letters[piece] for piece, _ in self.cut(text)]
 
-    def pieces(self, text: str) -> list[bytes]:
-        """The ids of every piece, as little-endian 32-bit integers."""
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         if self.split is None or not any(s in text for s in self.added):
             return self._plain(text)
         out = []
         for part in self.split.split(text):
-            out += [np.array([self.added[part]], "<u4").tobytes()] if part in self.added else self._plain(part) if part else []
+            if part in self.added:
+                out.append((array("I", [self.added[part]]).tobytes(), str(self.added[part])))
+            elif part:
+                out += self._plain(part)
         return out
 
+    def encode_both(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids, and the same as decimals between commas."""
+        pieces = self.pieces(text)
+        return np.frombuffer(b"".join([p[0] for p in pieces]), "<u4"), ",".join([p[1] for p in pieces])
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.pieces(text)), "<u4")
+        return self.encode_both(text)[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
-    def decimal(self, pieces: list[bytes]) -> str:
-        return ",".join(map(self.shown.__getitem__, pieces))
-
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> BytePairCoder:
@@ -189,10 +208,9 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             n, told, back = [], [], []
             for x in rows_of(batch, "text"):
-                pieces = c.pieces(x.as_py())
-                ids = np.frombuffer(b"".join(pieces), "<u4")
+                ids, decimals = c.encode_both(x.as_py())
                 n.append(len(ids))
-                told.append(hashlib.sha256(c.decimal(pieces).encode()).hexdigest())
+                told.append(hashlib.sha256(decimals.encode()).hexdigest())
                 back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows_of(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm.bpe import LETTER, NUMBER, PLAIN, Memo
+from sparkweft.llm.bpe import LETTER, NUMBER, PLAIN, Memo, byte_letters
 from sparkweft.llm.common import mix, null_as_empty, open_fs, rows_of, scratch, total_bytes
 
 MAGIC, LEVELS = 0x7366_7469_6473_3031, 40
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+_WORD = re.compile(rf"[{LETTER}]+|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTER}{NUMBER}]+")
 
 
 class WordEncoder:
@@ -47,8 +47,6 @@ class WordEncoder:
     a bound; any other text goes to the library whole.
     """
 
-    MEMO = 400_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -57,14 +55,17 @@ class WordEncoder:
         self.library.no_padding()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._library)
+        self.model, self.letters = self.library.model, byte_letters()
+        self.memo = Memo(self._word)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of a plain text in lower case: the library's model applied to its byte letters."""
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))], self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
         if PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
             return b"".join(map(self.memo.__getitem__, _WORD.findall(text.lower())))
         return self._library(text)
