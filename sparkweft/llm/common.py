@@ -187,11 +187,8 @@ def shingle_sets(texts: pa.Array, k: int = 5):
 
 
 def total_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a frame reads (0 if it reads none), from the planner's statistics."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # noqa: BLE001  the planner may have no figure
-        return 0
+    """The planner's estimate of a frame's bytes: of the files behind it, if it reads files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def null_as_empty(df: DataFrame, *names: str) -> DataFrame:

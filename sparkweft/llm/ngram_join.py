@@ -408,9 +408,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     shared_dir(spark)
+    size = total_bytes(docs)
     docs = null_as_empty(docs.select("doc_id", "text"), "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    buckets = max(32, total_bytes(docs) // (8 << 20))
+    buckets = max(32, size // (8 << 20))
 
     path = scratch(spark, "shingles")
     docs.mapInArrow(_scan(k, percent, buckets), _FIRST).write.partitionBy("kind").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import license_scan, secret_scan
+from sparkweft.llm import language_id, license_scan, secret_scan
 from sparkweft.llm.bpe import encode_digests
 from sparkweft.llm.common import read_table
 from sparkweft.llm.ngram_join import jaccard_components
@@ -22,6 +22,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
@@ -40,6 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_language_id": op3_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_bpe": op9_bpe,
