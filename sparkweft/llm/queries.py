@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import language_id, license_scan, secret_scan
+from sparkweft.llm import ann, language_id, license_scan, secret_scan
 from sparkweft.llm.bpe import encode_digests
 from sparkweft.llm.common import read_table
 from sparkweft.llm.ngram_join import jaccard_components
@@ -34,6 +34,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_ann": op8_ann,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
