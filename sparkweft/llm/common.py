@@ -51,13 +51,27 @@ def drop(spark: SparkSession, path: str) -> None:
 BITS = 1 << 26
 
 
-def possibly_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``keys(key)``: a bitmap of fixed size is broadcast, so a join that follows moves few others."""
+def _maybe(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with a column ``_maybe``: false only where the key is surely not among ``keys(key)``. A bitmap of fixed size is broadcast."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
     bits = keys.select(at(F.col(key)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
     place = F.bitmap_bit_position(at(F.col(key)))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return df.withColumn("_bucket", F.bitmap_bucket_number(at(F.col(key)))).join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(at(F.col(key)))).join(F.broadcast(bits), "_bucket", "left")
+    return joined.select(*df.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
+def possibly_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys(key)``, so that a join that follows moves few others."""
+    return _maybe(df, key, keys).where("_maybe").select(*df.columns)
+
+
+def drop_rows(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``keys(key)``; only rows that may be are moved to find out."""
+    keys = stored(keys.select(key), "keys")
+    told = _maybe(df, key, keys)
+    sure = told.where("not _maybe").select(*df.columns)
+    return sure.unionByName(told.where("_maybe").select(*df.columns).join(keys, key, "left_anti"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
