@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import ann, decontaminate, language_id, license_scan, secret_scan
+from sparkweft.llm import ann, decontaminate, html_text, language_id, license_scan, secret_scan
 from sparkweft.llm.bpe import encode_digests
 from sparkweft.llm.common import read_table
 from sparkweft.llm.ngram_join import jaccard_components
@@ -22,6 +22,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
