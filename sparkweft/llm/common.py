@@ -74,7 +74,13 @@ def drop_rows(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return sure.unionByName(told.where("_maybe").select(*df.columns).join(keys, key, "left_anti"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers hold a batch of texts in several forms at once; keep it small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -84,7 +90,7 @@ def rows_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return col.cast(pa.string()) if pa.types.is_large_string(col.type) else col
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 20):
     """(first row, string slice) pairs of at most ``limit`` bytes, or of one row."""
     n, at = len(texts), 0
     if not n:
