@@ -1,4 +1,10 @@
 """All registered queries of the retrieval engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from sparkweft.plans import graph_queries
+
+_MODULES = (graph_queries,)
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
