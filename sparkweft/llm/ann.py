@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import rows_of, stored
+from sparkweft.llm.common import lean, rows_of, stored
 
 TABLES, PROBES, ROUNDS = 20, 4, 3
 #: Rows and queries of one block.
@@ -147,7 +147,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = TABL
     tagged = rows.select(F.lit(False).alias("asks"), "v", "ids", block("v", pbs).alias("pb")).withColumn("qb", spread(qbs)).unionByName(queries.select(F.lit(True).alias("asks"), "v", none.alias("ids"), block("v", qbs).alias("qb")).withColumn("pb", spread(pbs)))
     keys = ["dims", "qb", "pb"]
     dealt = tagged.withColumn("dims", F.size("v")).repartition(max(1, pbs * qbs), *keys).sortWithinPartitions(*keys)
-    found = dealt.mapInArrow(_search(k, tables, probes), "qv array<double>, score double, vec_id long")
+    found = dealt.mapInArrow(lean(_search(k, tables, probes)), "qv array<double>, score double, vec_id long")
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("qv").orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
     lists = best.groupBy("qv").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     pairs = asked.select(F.col("vec_id").alias("query_id"), "v").join(lists, F.col("v") == F.col("qv"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import null_as_empty, rows_of
+from sparkweft.llm.common import lean, null_as_empty, rows_of
 
 #: Characters whose classes, folding and composition are the same in every
 #: Unicode version and library; other texts are cut by the library itself.
@@ -106,7 +106,7 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
 class Memo(dict):
     """Remembers the values of a function of one key: the latest ``limit`` keys at least, twice as many at most."""
 
-    def __init__(self, f, limit: int = 400_000):
+    def __init__(self, f, limit: int = 200_000):
         super().__init__()
         self.f, self.limit, self.old = f, limit, {}
 
@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows_of(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -214,4 +214,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows_of(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import BITS, LOWER, byte_view, drop_rows, grams, null_as_empty, rows_of, sequence_hash, slices, stored, words
+from sparkweft.llm.common import BITS, LOWER, byte_view, drop_rows, grams, lean, null_as_empty, rows_of, sequence_hash, slices, stored, words
 
 WINDOW, RUN = 8, 13
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -146,10 +146,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Items found in texts: (key, doc_id, item_id, windows, item_windows, coverage, slots, consistent, contaminated), the best occurrence of each item in each text."""
     spark = docs.sparkSession
     items = benchmark.select(F.lit(0).cast("long").alias("key"), F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bench = stored(items.mapInArrow(_windows(), _HIT_SQL), "benchmark")
+    bench = stored(items.mapInArrow(lean(_windows()), _HIT_SQL), "benchmark")
     bits = spark.sparkContext.broadcast(_bitmap(bench))
     texts = null_as_empty(with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "text")
-    hits = texts.select("key", F.col("doc_id").alias("id"), "text").mapInArrow(_windows(bits), _HIT_SQL)
+    hits = texts.select("key", F.col("doc_id").alias("id"), "text").mapInArrow(lean(_windows(bits)), _HIT_SQL)
     there = bench.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("windows").alias("item_windows"))
     # Short texts and items have hashes of their own kind, so they meet only each other.
     pairs = hits.join(there, "hash").where(F.size("slots") == F.size("item_slots"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import null_as_empty, rows_of
+from sparkweft.llm.common import lean, null_as_empty, rows_of
 
 PIECE = 256
 _LETTER = re.compile(r"[^\W\d_]")
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, parser) -> DataFrame:
             names, scores, rates = parser.value.predict(rows_of(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([rows_of(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "lang_pred", "score", "phrase_rate"])
 
-    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
+    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, phrase_rate double")
 
 
 def identify(docs: DataFrame, **limits: int) -> DataFrame:
@@ -209,4 +209,4 @@ def keep_identified(docs: DataFrame, **limits: int) -> DataFrame:
             names, _, _ = parser.value.predict(rows_of(batch, "text").to_pylist())
             yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import null_as_empty, rows_of
+from sparkweft.llm.common import lean, null_as_empty, rows_of
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
 
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("base", pa.bool_())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
-    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(run, kind)
+    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(lean(run), kind)
 
 
 def digest(found: DataFrame) -> DataFrame:

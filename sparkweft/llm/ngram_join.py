@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import drop, mix, null_as_empty, possibly_in, rows_of, shared_dir, shingle_sets, stored, total_bytes, scratch
+from sparkweft.llm.common import drop, lean, mix, null_as_empty, possibly_in, rows_of, scratch, shared_dir, shingle_sets, stored, total_bytes
 from sparkweft.llm.components import components
 
 _FIRST = "kind int, key long, doc_id long, n long, cls long, bucket int, blob binary"
@@ -69,7 +69,7 @@ def entries_needed(n: Column, percent: int) -> Column:
     return 1 + F.floor(F.ceil(n * percent / 100) / SPARE)
 
 
-def _scan(k: int, percent: int, buckets: int, batch_docs: int = 4096, batch_tokens: int = 600_000):
+def _scan(k: int, percent: int, buckets: int, batch_docs: int = 4096, batch_tokens: int = 400_000):
     """Pass 1: kind 0 rows are documents, kind 1 packed entries, kind 2 entries already known to be shared."""
 
     def flush(tokens: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +391,7 @@ def _large_blocks(sets: DataFrame, labels: DataFrame, percent: int, chunk: int)
     zero = rows.where("chunk = 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("count") - 1))).withColumn("side", F.lit(0))
     rest = rows.where("chunk > 0").withColumn("j", F.col("chunk")).withColumn("side", F.lit(1))
     pairs = zero.unionByName(rest).withColumn("i", F.lit(0)).select(*cols)
-    edges = stored(_by(pairs, "block", "i", "j").mapInArrow(_across(percent), "u long, v long"), "links")
+    edges = stored(_by(pairs, "block", "i", "j").mapInArrow(lean(_across(percent)), "u long, v long"), "links")
     labels = _relabel(labels, edges)
     # Ties go to the smallest label.
     top = labels.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("top"))
@@ -400,7 +400,7 @@ def _large_blocks(sets: DataFrame, labels: DataFrame, percent: int, chunk: int)
     many = loose.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("parts"))
     all_sides = rows.join(many, "block").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.col("chunk")).withColumn("side", F.lit(0)).select(*cols)
     loose_side = loose.join(many, "block").withColumn("j", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1)).select(*cols)
-    edges = stored(_by(all_sides.unionByName(loose_side), "block", "i", "j").mapInArrow(_across(percent), "u long, v long"), "links")
+    edges = stored(_by(all_sides.unionByName(loose_side), "block", "i", "j").mapInArrow(lean(_across(percent)), "u long, v long"), "links")
     return _relabel(labels, edges)
 
 
@@ -411,15 +411,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     size = total_bytes(docs)
     docs = null_as_empty(docs.select("doc_id", "text"), "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    buckets = max(32, size // (8 << 20))
+    buckets = max(32, size // (3 << 20))
 
     path = scratch(spark, "shingles")
-    docs.mapInArrow(_scan(k, percent, buckets), _FIRST).write.partitionBy("kind").parquet(path)
+    docs.mapInArrow(lean(_scan(k, percent, buckets)), _FIRST).write.partitionBy("kind").parquet(path)
     first = spark.read.schema(_FIRST).parquet(path)
     rows = first.where("kind = 0").select("key", "doc_id", "n", "cls")
     packed = first.where("kind = 1").select("bucket", "blob")
     known = first.where("kind = 2").select("blob")
-    shared = known.mapInArrow(_shared_here, "token long, cls long").union(_by(packed, "bucket").mapInArrow(_shared_across, "token long, cls long"))
+    shared = known.mapInArrow(lean(_shared_here), "token long, cls long").union(_by(packed, "bucket").mapInArrow(lean(_shared_across), "token long, cls long"))
     shared = stored(shared.distinct(), "shared")
     for kind in (1, 2):
         drop(spark, f"{path}/kind={kind}")
@@ -444,9 +444,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     def sets_of(some: DataFrame) -> DataFrame:
         some = some.select("key", "cls", "block", "chunk")
         texts = possibly_in(docs.select("key", "text"), "key", some).join(some, "key")
-        return texts.mapInArrow(_sets(k), "block long, chunk long, cls long, tokens binary")
+        return texts.mapInArrow(lean(_sets(k)), "block long, chunk long, cls long, tokens binary")
 
-    labels = stored(_by(sets_of(members), "block", "chunk").mapInArrow(_inside(percent), "block long, cls long, label long"), "labels")
+    labels = stored(_by(sets_of(members), "block", "chunk").mapInArrow(lean(_inside(percent)), "block long, cls long, label long"), "labels")
     if members.where("chunks > 1").limit(1).count():
         large = members.where("chunks > 1")
         parts = stored(sets_of(large).join(large.select("block", "cls", "chunks"), ["block", "cls"]), "sets")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import null_as_empty, rows_of
+from sparkweft.llm.common import lean, null_as_empty, rows_of
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, threshold: float = NOVEL) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "end": b, "novelty": x} for (a, b, k), x in zip(found, new)])
             yield pa.RecordBatch.from_arrays([rows_of(batch, "doc_id"), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
-    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>")
+    return null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -146,6 +146,6 @@ def redact(docs: DataFrame, threshold: float = NOVEL, mark: str = "[secret]") ->
             cols = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols.get(c, batch.column(j)) for j, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(run, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
+    return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(lean(run), docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
 
 

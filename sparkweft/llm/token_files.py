@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm.bpe import LETTER, NUMBER, PLAIN, Memo, byte_letters
-from sparkweft.llm.common import mix, null_as_empty, open_fs, rows_of, scratch, total_bytes
+from sparkweft.llm.common import lean, mix, null_as_empty, open_fs, rows_of, scratch, total_bytes
 
 MAGIC, LEVELS = 0x7366_7469_6473_3031, 40
 _WORD = re.compile(rf"[{LETTER}]+|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTER}{NUMBER}]+")
@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1)
     rows = null_as_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text")
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     # One row for each shard comes back, none for a document.
-    shards = dealt.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, low long, high long").collect()
+    shards = dealt.mapInArrow(lean(run), "shard long, path string, n_docs long, n_ids long, low long, high long").collect()
     start, found = 0, []
     for s in sorted(shards, key=lambda s: s.shard):
         found.append(s.asDict() | {"start": start})
@@ -243,7 +243,7 @@ def read_token_files(spark: SparkSession, shards: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(shard["start"] + r.offsets[row]), pa.array(r.offsets[row + 1] - r.offsets[row]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     told = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long")
-    return told.repartition(max(1, len(shards))).mapInArrow(run, kind)
+    return told.repartition(max(1, len(shards))).mapInArrow(lean(run), kind)
 
 
 def find_tokens(shards: list[dict], key: int) -> list[np.ndarray]:
