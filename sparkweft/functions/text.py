@@ -76,7 +76,7 @@ def estimated_tokens(x: Column | str) -> Column:
 
 def answer_only(x: Column | str) -> Column:
     """An answer up to its list of references."""
-    return F.trim(F.split(_c(x), "### References", 2)[0])
+    return F.regexp_replace(F.split(_c(x), "### References", 2)[0], r"^\s+|\s+$", "")
 
 
 def workspace_suffix(x: Column | str) -> Column:
