@@ -90,7 +90,7 @@ def mrr_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval of an order's parts by price: metrics of that ranking against the large lines."""
     from pyspark.sql import Window
 
-    li = D.table(spark, sf, "lineitem").where("l_orderkey < 3000")
+    li = D.table(spark, sf, "lineitem")
     hits = li.select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey")).alias("rank")).dropDuplicates(["query", "id", "rank"])
     hits = hits.groupBy("query", "id").agg(F.min("rank").alias("rank"))
     rel = li.where("l_quantity >= 25").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("id")).distinct()
@@ -131,7 +131,7 @@ SELECT question, round(h, 6) AS hybrid, round(m, 6) AS mix, round(b, 6) AS beam,
 c AS (SELECT doc_id AS id, f, m, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents JOIN f USING (source)), n(nth) AS (VALUES (1::BIGINT), (2))
 SELECT c.id AS query, c.id AS positive, o.id AS negative, nth FROM c, n JOIN f g ON g.f = (c.f + nth) % c.m JOIN c o ON o.f = g.f AND o.i = c.i % g.size WHERE nth < c.m""",
     "qrels": f"SELECT 'q' || doc_id AS query_id, 'd' || doc_id AS corpus_id, 1::BIGINT AS score FROM documents WHERE {_EVAL}",
-    "mrr_recall": """WITH l AS (SELECT * FROM lineitem WHERE l_orderkey < 3000), h AS (SELECT q, id, min(r) AS r FROM (SELECT l_orderkey AS q, l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS r FROM l) GROUP BY 1, 2),
+    "mrr_recall": """WITH l AS (SELECT * FROM lineitem), h AS (SELECT q, id, min(r) AS r FROM (SELECT l_orderkey AS q, l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS r FROM l) GROUP BY 1, 2),
 rel AS (SELECT DISTINCT l_orderkey AS q, l_linenumber AS id FROM l WHERE l_quantity >= 25), g AS (SELECT rel.q, count(*) AS n, min(r) AS f, count(*) FILTER (r <= 1) AS h1, count(*) FILTER (r <= 5) AS h5, count(*) FILTER (r <= 10) AS h10, sum(1 / log2(r + 1)) FILTER (r <= 10) AS dcg FROM rel LEFT JOIN h ON h.q = rel.q AND h.id = rel.id GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN f <= 10 THEN 1 / f ELSE 0 END), 6) AS mrr, round(avg(h1 / n), 6) AS recall_1, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10, round(avg(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda x: 1 / log2(x + 1)))), 6) AS ndcg FROM g""",
     "answer_overlap": f"WITH c AS (SELECT conv_id, turn, list_distinct({D.TERMS}) AS w FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(b.w) ELSE 0 END, 6)::DOUBLE AS overlap FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1",

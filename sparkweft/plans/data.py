@@ -31,12 +31,6 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def small_edges(spark: SparkSession, sf: str, most: int = 200) -> DataFrame:
-    """The graph of the first parts, for walks of many hops."""
-    li = table(spark, sf, "lineitem").where(F.col("l_partkey") <= most)
-    return li.groupBy(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
     """(src, tgt, weight): a dense graph of nations that trade more than the mean pair, without loops, src < tgt."""
     li, o = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -71,7 +65,6 @@ def fragments(spark: SparkSession, sf: str) -> DataFrame:
 VECTORS = "vec AS (SELECT vec_id AS id, 'P' || (vec_id + 1) AS name, embedding::DOUBLE[] AS v, label::BIGINT AS bucket FROM embeddings)"
 QUERY = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 EDGES = """edges AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt, count(*)::DOUBLE AS weight, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS keywords FROM lineitem GROUP BY 1, 2)"""
-SMALL = "edges AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt, count(*)::DOUBLE AS weight FROM lineitem WHERE l_partkey <= 200 GROUP BY 1, 2)"
 NATIONS = """e0 AS (SELECT least('N' || c_nationkey, 'N' || s_nationkey) AS src, greatest('N' || c_nationkey, 'N' || s_nationkey) AS tgt, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 edges AS (SELECT * FROM e0 WHERE weight > (SELECT avg(weight) FROM e0))"""
 ADJ = "adj AS (SELECT src AS node, tgt AS nbr, weight FROM edges UNION ALL SELECT tgt, src, weight FROM edges), deg AS (SELECT node, count(*) AS degree FROM adj GROUP BY 1)"

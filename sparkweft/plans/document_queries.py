@@ -27,7 +27,7 @@ def work_set(spark: SparkSession, sf: str) -> DataFrame:
 
 def enqueue_dedup(spark: SparkSession, sf: str) -> DataFrame:
     d = D.table(spark, sf, "documents")
-    known = d.where("doc_id < 100").select(T.hash_id("doc-", "text").alias("id")).distinct()
+    known = d.where("n_chars > 3000").select(T.hash_id("doc-", "text").alias("id")).distinct()
     new = d.select(F.col("doc_id").alias("pos"), F.col("text").alias("content"), F.col("source").alias("file_path"))
     return K.enqueue(new, known, T.summary("content"))
 
@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "status_counts": f"WITH {D.STATUSES}, dom(status) AS (VALUES ('pending'), ('processing'), ('preprocessed'), ('processed'), ('failed')) SELECT status, count(doc_id) AS n FROM dom LEFT JOIN st USING (status) GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM st",
     "docs_paginated": f"WITH {D.STATUSES} SELECT doc_id, status, file_path, content_length FROM st WHERE status = 'pending' ORDER BY content_length DESC, doc_id LIMIT 20 OFFSET 20",
     "work_set": f"WITH {D.STATUSES} SELECT doc_id, status FROM st WHERE status IN ('pending', 'failed', 'processing')",
-    "enqueue_dedup": f"SELECT 'doc-' || md5(text) AS id, source AS file_path, 'pending' AS status, {_SUM} AS content_summary, length(text)::BIGINT AS content_length FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id < 100)",
+    "enqueue_dedup": f"SELECT 'doc-' || md5(text) AS id, source AS file_path, 'pending' AS status, {_SUM} AS content_summary, length(text)::BIGINT AS content_length FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 AND text NOT IN (SELECT text FROM documents WHERE n_chars > 3000)",
     "consistency_check": f"WITH {D.STATUSES} SELECT st.doc_id, CASE WHEN n_chars > 600 THEN 'pending' ELSE status END AS status FROM st JOIN documents d ON d.doc_id = st.doc_id WHERE status IN ('pending', 'failed', 'processing') AND (n_chars > 600 OR status = 'failed')",
     "kv_get_by_ids": "WITH w(pos, id) AS (VALUES (0, 5), (1, -1), (2, 2), (3, 5)) SELECT pos::BIGINT AS pos, id::BIGINT AS id, source, n_chars FROM w LEFT JOIN documents ON doc_id = id",
     "kv_filter_keys": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",

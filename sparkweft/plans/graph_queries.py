@@ -44,7 +44,7 @@ def one_hop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges_batch(spark: SparkSession, sf: str) -> DataFrame:
-    ask = D.table(spark, sf, "lineitem").where("l_orderkey <= 40").select(F.concat(F.lit("S"), "l_suppkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b")).distinct()
+    ask = D.table(spark, sf, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b")).distinct()
     return G.edges_batch(D.edges(spark, sf), ask).select("a", "b", "weight")
 
 
@@ -62,16 +62,16 @@ SEARCH = "ring"
 
 def bfs_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     start = spark.createDataFrame([("P1",)], "node string")
-    return G.bfs(D.small_edges(spark, sf), start, 3)
+    return G.bfs(D.edges(spark, sf), start, 3)
 
 
 def bfs_capped(spark: SparkSession, sf: str) -> DataFrame:
     start = spark.createDataFrame([("P1",)], "node string")
-    return G.bfs(D.small_edges(spark, sf), start, 3, 25)
+    return G.bfs(D.edges(spark, sf), start, 3, 25)
 
 
 def bfs_edges(spark: SparkSession, sf: str) -> DataFrame:
-    e = D.small_edges(spark, sf)
+    e = D.edges(spark, sf)
     return G.edges_between(e, G.bfs(e, spark.createDataFrame([("P1",)], "node string"), 2)).select("src", "tgt", "weight")
 
 
@@ -110,7 +110,7 @@ def clustering(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(D.small_edges(spark, sf).where("weight >= 2"))
+    return G.components(D.edges(spark, sf).where("weight >= 3"))
 
 
 def degree_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,15 +186,15 @@ SELECT id, bucket, score FROM sc WHERE bucket IN (SELECT bucket FROM nr, p WHERE
     "node_degree": f"WITH {D.EDGES}, {D.ADJ} SELECT 'P' || p_partkey AS node, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = 'P' || p_partkey",
     "edge_degree": f"WITH {D.EDGES}, {D.ADJ} SELECT src, tgt, weight, a.degree + b.degree AS edge_degree FROM edges JOIN deg a ON a.node = src JOIN deg b ON b.node = tgt",
     "one_hop": f"WITH {D.EDGES}, {_TOP}, {_HOP} SELECT src, tgt, weight FROM hop",
-    "edges_batch": f"WITH {D.EDGES}, a AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem WHERE l_orderkey <= 40) SELECT a, b, weight FROM a JOIN edges ON src = b AND tgt = a",
+    "edges_batch": f"WITH {D.EDGES}, a AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem) SELECT a, b, weight FROM a JOIN edges ON src = b AND tgt = a",
     "popular_labels": f"WITH {D.EDGES}, {D.ADJ} SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 40",
     "search_labels": f"""WITH n AS (SELECT DISTINCT p_name AS node FROM part)
 SELECT node, score::BIGINT AS score FROM (SELECT node, CASE WHEN lower(node) = '{SEARCH}' THEN 1000 WHEN starts_with(lower(node), '{SEARCH}') THEN 500
  WHEN contains(lower(node), '{SEARCH}') THEN 100 - length(node) + CASE WHEN contains(' ' || lower(node), ' {SEARCH}') OR contains('_' || lower(node), '_{SEARCH}') THEN 50 ELSE 0 END END AS score FROM n)
 WHERE score IS NOT NULL ORDER BY score DESC, node LIMIT 50""",
-    "bfs_subgraph": f"WITH RECURSIVE {D.SMALL}, {D.ADJ}, {_BFS.format(3)} SELECT node, level FROM lev",
-    "bfs_capped": f"WITH RECURSIVE {D.SMALL}, {D.ADJ}, {_BFS.format(3)} SELECT node, level FROM lev JOIN deg USING (node) ORDER BY level, degree DESC, node LIMIT 25",
-    "bfs_edges": f"WITH RECURSIVE {D.SMALL}, {D.ADJ}, {_BFS.format(2)} SELECT src, tgt, weight FROM edges WHERE src IN (SELECT node FROM lev) AND tgt IN (SELECT node FROM lev)",
+    "bfs_subgraph": f"WITH RECURSIVE {D.EDGES}, {D.ADJ}, {_BFS.format(3)} SELECT node, level FROM lev",
+    "bfs_capped": f"WITH RECURSIVE {D.EDGES}, {D.ADJ}, {_BFS.format(3)} SELECT node, level FROM lev JOIN deg USING (node) ORDER BY level, degree DESC, node LIMIT 25",
+    "bfs_edges": f"WITH RECURSIVE {D.EDGES}, {D.ADJ}, {_BFS.format(2)} SELECT src, tgt, weight FROM edges WHERE src IN (SELECT node FROM lev) AND tgt IN (SELECT node FROM lev)",
     "top_degree_subgraph": f"WITH {D.EDGES}, {D.ADJ}, t AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 150) SELECT src, tgt, weight FROM edges WHERE src IN (FROM t) AND tgt IN (FROM t)",
     "export_relations": f"WITH {D.EDGES}, {D.ADJ} SELECT node, nbr, weight FROM adj",
     "rename_entity": f"WITH {D.EDGES}, ren AS (SELECT 'S1' AS old, 'Z1' AS new), {_MERGED}",
@@ -204,7 +204,7 @@ WHERE score IS NOT NULL ORDER BY score DESC, node LIMIT 50""",
     "clustering": f"""WITH {D.NATIONS}, {D.ADJ},
 t AS (SELECT a.node, count(*) AS n FROM adj a JOIN adj b ON a.node = b.node AND a.nbr < b.nbr JOIN edges e ON e.src = a.nbr AND e.tgt = b.nbr GROUP BY 1)
 SELECT deg.node, degree, coalesce(n, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM deg LEFT JOIN t USING (node)""",
-    "components": f"""WITH RECURSIVE e0 AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt, count(*)::DOUBLE AS weight FROM lineitem WHERE l_partkey <= 200 GROUP BY 1, 2), edges AS (SELECT * FROM e0 WHERE weight >= 2), {D.ADJ},
+    "components": f"""WITH RECURSIVE {D.EDGES.replace("edges AS", "e0 AS", 1)}, edges AS (SELECT * FROM e0 WHERE weight >= 3), {D.ADJ},
 r(a, b) AS (SELECT node, node FROM deg UNION SELECT r.a, adj.nbr FROM r JOIN adj ON adj.node = r.b)
 SELECT a AS node, min(b) AS component FROM r GROUP BY 1""",
     "degree_stats": f"WITH {D.EDGES}, {D.ADJ} SELECT count(*) AS nodes, round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree, round(quantile_cont(degree, 0.5), 6)::DOUBLE AS median_degree, (sum(degree) / 2)::BIGINT AS edges, round(sum(degree) / (count(*) * (count(*) - 1)), 9) AS density, count(*) FILTER (degree >= 50) AS hubs FROM deg",

@@ -124,7 +124,7 @@ def round_robin_relations(spark: SparkSession, sf: str) -> DataFrame:
 def round_robin_chunks(spark: SparkSession, sf: str) -> DataFrame:
     a = _semantic(spark, sf, 12).select("pos", "id")
     b = V.ranked(bm25_topk(spark, sf), F.desc("score"), "id").select("pos", "id")
-    c = D.table(spark, sf, "documents").where("doc_id < 10").select((F.col("doc_id") + 1).alias("pos"), F.col("doc_id").alias("id"))
+    c = V.ranked(D.table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10), F.desc("n_chars"), "doc_id").select("pos", F.col("doc_id").alias("id"))
     return U.round_robin([a, b, c], ["id"])
 
 
@@ -151,7 +151,7 @@ def pick_polling(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pick(spark: SparkSession, sf: str, missing: bool) -> DataFrame:
     v = D.vectors(spark, sf)
-    ask = D.table(spark, sf, "documents").where("doc_id < 60").select(F.col("doc_id").alias("id"))
+    ask = D.table(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
     if missing:
         ask = ask.unionByName(spark.createDataFrame([(-1,)], "id long"))
     return U.pick_vector(ask, v, V.scored(v, D.query_vector(spark, sf)), 10)
@@ -269,13 +269,13 @@ SELECT * FROM (SELECT node, score, 0::BIGINT AS hop, NULL AS parent FROM a UNION
     "ivf_local": None,
     "round_robin_entities": f"WITH {D.EDGES}, {_SC}, {_REL}, {_BEST}, {_RR_E} SELECT * FROM rr",
     "round_robin_relations": f"WITH {D.EDGES}, {_SC}, {_REL}, {_BEST}, {_LOCAL}, {_RR_R} SELECT * FROM rr",
-    "round_robin_chunks": f"WITH {_SC}, {_CHUNK_LEX}, {_turns(['SELECT pos, id FROM sem WHERE pos <= 12', 'SELECT row_number() OVER (ORDER BY score DESC, id) AS pos, id FROM lex', 'SELECT doc_id + 1 AS pos, doc_id AS id FROM documents WHERE doc_id < 10'], 'id')} SELECT * FROM rr",
+    "round_robin_chunks": f"WITH {_SC}, {_CHUNK_LEX}, {_turns(['SELECT pos, id FROM sem WHERE pos <= 12', 'SELECT row_number() OVER (ORDER BY score DESC, id) AS pos, id FROM lex', 'SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos, doc_id AS id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)'], 'id')} SELECT * FROM rr",
     "token_budget": f"WITH {D.EDGES}, {_SC}, {_LOCAL}, t AS (SELECT pos, src, tgt, length(src || ',' || tgt || ',' || edge_degree)::BIGINT AS tokens FROM loc), u AS (SELECT *, sum(tokens) OVER (ORDER BY pos)::BIGINT AS used FROM t) SELECT * FROM u WHERE used <= 400",
     "chunk_occurrence": f"WITH {_OCC} SELECT owner, chunk, n, pos FROM oo",
     "pick_polling": f"""WITH {_OCC}, z AS (SELECT owner, max(pos) AS have FROM oo GROUP BY 1), qo AS (SELECT owner, have, round_even(40 - 30 * (owner - 1) / ((SELECT max(owner) FROM z) - 1), 0)::BIGINT AS quota FROM z),
 l AS (SELECT sum(quota - least(quota, have)) AS spare FROM qo), c AS (SELECT oo.owner, oo.pos, oo.chunk, quota FROM oo JOIN qo USING (owner)), v AS (SELECT *, row_number() OVER (ORDER BY owner, pos) AS nth FROM c WHERE pos > quota)
 SELECT owner, pos, chunk, 1 AS round FROM c WHERE pos <= quota UNION ALL SELECT owner, pos, chunk, 2 FROM v, l WHERE nth <= spare""",
-    "pick_vector": f"WITH {_SC} SELECT id, score FROM sc WHERE id < 60 ORDER BY score DESC, id LIMIT 10",
+    "pick_vector": f"WITH {_SC} SELECT id, score FROM sc WHERE id IN (SELECT vec_id FROM embeddings WHERE label < 5) ORDER BY score DESC, id LIMIT 10",
     "pick_vector_missing": f"WITH {_SC} SELECT id, score FROM sc WHERE false",
     "chunk_postprocess": f"WITH {_SC}, {_RC}, {_POST} SELECT pos, id, score, tokens, ref FROM pc",
     "reference_list": f"WITH {_SC}, {_RC}, {_REFS} SELECT reference_id, file_path, n FROM rf",

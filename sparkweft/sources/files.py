@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Extensions that hold text, and those that need a parser.
 TEXT_EXTENSIONS = "txt md mdx html htm tex json xml yaml yml rtf log conf ini properties sql bat sh c h cpp hpp py java js ts swift go rb php css scss less csv".split()
@@ -27,9 +29,6 @@ def decoded(files: DataFrame) -> DataFrame:
     A file that is no valid UTF-8, is empty, or has no parser here becomes an
     error row, not a failed job.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("struct<content string, error string>")
     def read(path: pd.Series, raw: pd.Series) -> pd.DataFrame:
         out = [office_text(p, b) if p.rsplit(".", 1)[-1].lower() in BINARY_EXTENSIONS else plain_text(b) for p, b in zip(path, raw)]
@@ -165,9 +164,6 @@ def copy_workspace(table: DataFrame, old: str, new: str) -> DataFrame:
 
 def encode_vectors(df: DataFrame, column: str = "v") -> DataFrame:
     """Vectors as base64 of zlib of 16-bit floats: small, and lossy."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def pack(v: pd.Series) -> pd.Series:
         import base64
@@ -181,9 +177,6 @@ def encode_vectors(df: DataFrame, column: str = "v") -> DataFrame:
 
 
 def decode_vectors(df: DataFrame, column: str = "v") -> DataFrame:
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<float>")
     def unpack(v: pd.Series) -> pd.Series:
         import base64
