@@ -13,17 +13,17 @@ from sparkweft.operators import vector as V
 from sparkweft.sources.store import stored
 
 
-def beam_candidates(frontier: DataFrame, edges: DataFrame, seen: DataFrame, near: DataFrame, depth: int, threshold: float, weights: tuple[float, float, float, float]) -> DataFrame:
+def beam_candidates(frontier: DataFrame, edges: DataFrame, seen: DataFrame, near: DataFrame, depth: int, threshold: float | None, weights: tuple[float, float, float, float], linear: bool = False) -> DataFrame:
     """Scored steps (nbr, parent, src, tgt, sem, score) from ``frontier(node, score)`` to nodes not yet seen."""
     sem, path, weight, length = weights
     step = frontier.join(G.adjacency(edges), "node").join(seen.select(F.col("node").alias("nbr")), "nbr", "left_anti")
     step = step.join(near.select(F.col("name").alias("nbr"), F.col("score").alias("sem")), "nbr", "left").withColumn("sem", F.coalesce("sem", F.lit(0.0)))
-    score = sem * F.col("sem") + path * F.col("score") + weight * F.least(F.col("weight") / 10, F.lit(1.0)) - length * log(depth + 1)
+    score = sem * F.col("sem") + path * F.col("score") + weight * F.least(F.col("weight") / 10, F.lit(1.0)) - length * (depth if linear else log(depth + 1))
     out = step.select("nbr", F.col("node").alias("parent"), "sem", F.round(score, 6).alias("score"))
-    return out.where(F.col("score") >= threshold)
+    return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
-def beam(edges: DataFrame, near: DataFrame, anchors: DataFrame, hops: int = 2, width: int = 5, threshold: float = 0.35, top_k: int = 10, weights=(0.6, 0.2, 0.1, 0.1), stop: float = 0.8) -> DataFrame:
+def beam(edges: DataFrame, near: DataFrame, anchors: DataFrame, hops: int = 2, width: int = 5, threshold: float | None = 0.35, top_k: int = 10, weights=(0.6, 0.2, 0.1, 0.1), stop: float = 0.8, linear: bool = False) -> DataFrame:
     """(node, score, hop, parent): a beam walk from ``anchors(node, score)``.
 
     ``near(name, score)`` is the similarity of entities to the query. A hop
@@ -31,7 +31,8 @@ def beam(edges: DataFrame, near: DataFrame, anchors: DataFrame, hops: int = 2, w
     each node, and leaves the graph's other steps unseen; later hops are
     narrower. The walk ends early once one of the three best steps is close to
     the query. A frontier is at most width times the last, so it is small;
-    every hop is written out.
+    every hop is written out. With ``linear`` a hop costs its depth, not the
+    logarithm; without a threshold no step is left out for its score.
     """
     found = anchors.select("node", F.col("score").cast("double").alias("score"), F.lit(0).cast("long").alias("hop"), F.lit(None).cast("string").alias("parent"))
     frontier = stored(found, "beam")
@@ -41,7 +42,7 @@ def beam(edges: DataFrame, near: DataFrame, anchors: DataFrame, hops: int = 2, w
         if not n:
             break
         wide = width if depth == 1 else max(width - 2, 2)
-        steps = stored(beam_candidates(frontier.select("node", "score"), edges, found, near, depth, threshold, weights).orderBy(F.desc("score"), "nbr", "parent").limit(wide * n), "steps")
+        steps = stored(beam_candidates(frontier.select("node", "score"), edges, found, near, depth, threshold, weights, linear).orderBy(F.desc("score"), "nbr", "parent").limit(wide * n), "steps")
         best = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("score"), "parent"))
         frontier = stored(steps.withColumn("_n", best).where("_n = 1").select(F.col("nbr").alias("node"), "score", F.lit(depth).cast("long").alias("hop"), "parent"), "beam")
         found = found.unionByName(frontier)

@@ -43,6 +43,23 @@ def status_counts(docs: DataFrame, total: bool = False) -> DataFrame:
     return n.unionByName(n.agg(F.sum("n").alias("n")).select(F.lit("all").alias("status"), "n")) if total else n
 
 
+def by_status(docs: DataFrame, *status: str) -> DataFrame:
+    return docs.where(F.col("status").isin(*status)).withColumn("file_path", F.coalesce("file_path", F.lit("no-file-path")))
+
+
+def by_track(docs: DataFrame, track: str) -> DataFrame:
+    return docs.where(F.col("track_id") == track)
+
+
+def first_by_path(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    return docs.where(F.col("file_path") == path).orderBy(key).limit(1)
+
+
+def by_prefix(table: DataFrame, prefix: str, key: str = "id") -> DataFrame:
+    """Rows whose key begins with a prefix; the filter reaches the scan."""
+    return table.where(F.col(key).startswith(prefix))
+
+
 SORTABLE = {"doc_id", "file_path", "content_length", "created_at", "updated_at", "id"}
 
 

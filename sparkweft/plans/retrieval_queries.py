@@ -72,6 +72,12 @@ def beam_search(spark: SparkSession, sf: str) -> DataFrame:
     return _beam(spark, sf, 2)
 
 
+def beam_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """One hop without pruning, by similarity and path alone, at a linear price."""
+    anchors = Q._seeds(spark, sf).select("node", F.lit(1.0).alias("score"))
+    return R.beam(D.edges(spark, sf), _near(spark, sf), anchors, hops=1, width=3, threshold=None, top_k=20, weights=(0.7, 0.3, 0.0, 0.1), linear=True)
+
+
 def _keywords(spark: SparkSession, sf: str) -> DataFrame:
     v = D.vectors(spark, sf).where("id in (1, 2)")
     terms = F.when(F.col("id") == 1, F.array(F.lit("small"), F.lit("ring"))).otherwise(F.array(F.lit("red"), F.lit("widget")))
@@ -192,7 +198,7 @@ def mix_search(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, hybrid_chunks, hybrid_anchor, rerank_aggregate, beam_hop1, beam_search, focused_anchors, focused_edges, focused_unfiltered, focused_kept, ivf_local, round_robin_entities, round_robin_relations, round_robin_chunks, token_budget, chunk_occurrence, pick_polling, pick_vector, pick_vector_missing, chunk_postprocess, reference_list, context_text, mix_search)
+    for f in (bm25_topk, hybrid_chunks, hybrid_anchor, rerank_aggregate, beam_hop1, beam_search, beam_linear, focused_anchors, focused_edges, focused_unfiltered, focused_kept, ivf_local, round_robin_entities, round_robin_relations, round_robin_chunks, token_budget, chunk_occurrence, pick_polling, pick_vector, pick_vector_missing, chunk_postprocess, reference_list, context_text, mix_search)
 }
 
 
@@ -262,6 +268,10 @@ c2 AS (SELECT nbr, f1.node AS parent, round(0.6 * coalesce(sc.score, 0) + 0.2 *
 k2 AS (SELECT * FROM c2 WHERE score >= 0.05 ORDER BY score DESC, nbr, parent LIMIT (SELECT 2 * count(*) FROM f1)),
 f2 AS (SELECT nbr AS node, score, parent FROM (SELECT *, row_number() OVER (PARTITION BY nbr ORDER BY score DESC, parent) AS r FROM k2) WHERE r = 1)
 SELECT * FROM (SELECT node, score, 0::BIGINT AS hop, NULL AS parent FROM a UNION ALL SELECT node, score, 1, parent FROM f1 UNION ALL SELECT node, score, 2, parent FROM f2) ORDER BY score DESC, hop, node LIMIT 80""",
+    "beam_linear": f"""WITH {D.EDGES}, {D.ADJ}, {_SC}, a AS (SELECT name AS node, 1.0::DOUBLE AS score FROM sem WHERE pos <= 10),
+c AS (SELECT nbr, a.node AS parent, round(0.7 * coalesce(sc.score, 0) + 0.3 * a.score - 0.1, 6) AS score FROM a JOIN adj ON adj.node = a.node LEFT JOIN sc ON sc.name = nbr WHERE nbr NOT IN (SELECT node FROM a)),
+k AS (SELECT * FROM c ORDER BY score DESC, nbr, parent LIMIT 30)
+SELECT node, score, 0::BIGINT AS hop, NULL AS parent FROM a UNION ALL SELECT nbr, score, 1, parent FROM (SELECT *, row_number() OVER (PARTITION BY nbr ORDER BY score DESC, parent) AS r FROM k) WHERE r = 1""",
     "focused_anchors": _focused_anchor_sql(),
     "focused_edges": f"WITH {_FOCUS} SELECT * FROM fe",
     "focused_unfiltered": f"WITH {_ALLREL} SELECT src, tgt, min(pos) AS pos, any_value(weight) AS weight FROM edges JOIN an ON node = src OR node = tgt GROUP BY 1, 2 ORDER BY pos, src, tgt LIMIT 40",
