@@ -106,7 +106,7 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
 class Memo(dict):
     """Remembers the values of a function of one key: the latest ``limit`` keys at least, twice as many at most."""
 
-    def __init__(self, f, limit: int = 200_000):
+    def __init__(self, f, limit: int = 120_000):
         super().__init__()
         self.f, self.limit, self.old = f, limit, {}
 
