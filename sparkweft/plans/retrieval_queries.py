@@ -42,7 +42,7 @@ def _entities(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_anchor(spark: SparkSession, sf: str) -> DataFrame:
     ask = spark.createDataFrame([("small",), ("ring",), ("ring",)], "term string")
     lex = L.top_k(_entities(spark, sf).withColumnRenamed("name", "id"), ask, 10)
-    return L.weighted(_semantic(spark, sf, 10).select(F.col("name").alias("id"), "pos"), lex, 0.5, 10)
+    return L.weighted(_semantic(spark, sf, 10).select(F.col("name").alias("id"), "pos"), lex, 0.6, 10)
 
 
 def rerank_aggregate(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 def focused_edges(spark: SparkSession, sf: str) -> DataFrame:
     rel = V.scored(Q._relation_vectors(spark, sf), D.query_vector(spark, sf)).withColumnRenamed("score", "sim").drop("v")
-    return R.focused_edges(_anchors(spark, sf), rel, 0.5, 0.5, 0.1, 5, 30)
+    return R.focused_edges(_anchors(spark, sf), rel, 0.6, 0.4, 0.1, 5, 30)
 
 
 def focused_unfiltered(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +222,7 @@ k1 AS (SELECT * FROM c1 WHERE score >= 0.05 ORDER BY score DESC, nbr, parent LIM
 f1 AS (SELECT nbr AS node, score, parent FROM (SELECT *, row_number() OVER (PARTITION BY nbr ORDER BY score DESC, parent) AS r FROM k1) WHERE r = 1)"""
 _REL = Q._REL.split(",\nbest AS")[0]
 _ALLREL = f"{D.EDGES}, {_SC}, {_REL}, rs AS (SELECT src, tgt, weight, round(list_cosine_similarity(v, q), 6) AS sim FROM rel, qv), an AS (SELECT name AS node, pos, score FROM sem WHERE pos <= 10 UNION ALL SELECT 'S1', 11, 0.5 UNION ALL SELECT 'S2', 12, 0.4)"
-_FOCUS = f"""{_ALLREL}, jo AS (SELECT src, tgt, weight, sim, node AS anchor, pos, round(0.5 * score + 0.5 * sim, 6) AS joint FROM rs JOIN an ON node = src OR node = tgt WHERE sim >= 0.1),
+_FOCUS = f"""{_ALLREL}, jo AS (SELECT src, tgt, weight, sim, node AS anchor, pos, round(0.6 * score + 0.4 * sim, 6) AS joint FROM rs JOIN an ON node = src OR node = tgt WHERE sim >= 0.1),
 qu AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY joint DESC, src, tgt) AS r FROM jo), un AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY pos) AS f FROM qu WHERE r <= 5),
 fe AS (SELECT src, tgt, weight, sim, anchor, joint FROM un WHERE f = 1 ORDER BY joint DESC, src, tgt LIMIT 30)"""
 
@@ -260,7 +260,7 @@ SELECT name, round(s, 6) AS score FROM b ORDER BY score DESC, name LIMIT 15"""
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_CHUNK_LEX} SELECT id, score FROM lex",
     "hybrid_chunks": f"WITH {_SC}, {_CHUNK_LEX}, s AS (SELECT id, 1 - (pos - 1) / 20 AS s FROM sem WHERE pos <= 20) SELECT coalesce(s.id, lex.id) AS id, round(0.6 * coalesce(s, 0) + 0.4 * coalesce(lex.score, 0), 6) AS score FROM s FULL JOIN lex ON s.id = lex.id ORDER BY score DESC, id LIMIT 15",
-    "hybrid_anchor": f"WITH {_SC}, {_ENT}, ask(term) AS (VALUES ('small'), ('ring'), ('ring')), {_bm25('ent', 'ask', 10)}, s AS (SELECT name AS id, 1 - (pos - 1) / 10 AS s FROM sem WHERE pos <= 10) SELECT coalesce(s.id, lex.id) AS id, round(0.5 * coalesce(s, 0) + 0.5 * coalesce(lex.score, 0), 6) AS score FROM s FULL JOIN lex ON s.id = lex.id ORDER BY score DESC, id LIMIT 10",
+    "hybrid_anchor": f"WITH {_SC}, {_ENT}, ask(term) AS (VALUES ('small'), ('ring'), ('ring')), {_bm25('ent', 'ask', 10)}, s AS (SELECT name AS id, 1 - (pos - 1) / 10 AS s FROM sem WHERE pos <= 10) SELECT coalesce(s.id, lex.id) AS id, round(0.6 * coalesce(s, 0) + 0.4 * coalesce(lex.score, 0), 6) AS score FROM s FULL JOIN lex ON s.id = lex.id ORDER BY score DESC, id LIMIT 10",
     "rerank_aggregate": "WITH p AS (SELECT user_id AS doc, event_id AS pos, value AS score FROM events WHERE event_type <> 'error' AND value IS NOT NULL), g AS (SELECT doc, round(max(score), 6) AS score, 'max' AS how FROM p GROUP BY 1 UNION ALL SELECT doc, round(avg(score), 6), 'mean' FROM p GROUP BY 1 UNION ALL SELECT doc, round(arg_min(score, pos), 6), 'first' FROM p GROUP BY 1) SELECT doc, score, how, row_number() OVER (PARTITION BY how ORDER BY score DESC, doc) AS pos FROM g",
     "beam_hop1": f"{_BEAM} SELECT node, score, 0::BIGINT AS hop, NULL AS parent FROM a UNION ALL SELECT node, score, 1, parent FROM f1",
     "beam_search": f"""{_BEAM}, seen AS (SELECT node FROM a UNION SELECT node FROM f1),
