@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from sparkweft.llm.quality import classify, discounts, normal, train
+from sparkweft.llm.quality import classify, discounts, learns, models, normal, train
 
 
 def brute(texts, test, order):
@@ -65,3 +65,26 @@ def test_table(spark, sf_dir):
     got = classify(docs, labels).join(labels, "doc_id").collect()
     good, bad = ([x.keep for x in got if x.quality == q] for q in (1, 0))
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.4
+
+
+def test_whole_texts_teach(spark):
+    r = random.Random(6)
+    say = lambda n, bank: " ".join(r.choice(bank) for _ in range(n))
+    words = ["the", "cat", "sat", "on", "a", "mat"]
+    rows = [(i, say(8, words), "en") for i in range(2200)] + [(i, say(8, ["ein", "Haus", "und", "7"]), "de") for i in range(2200, 2230)]
+    # A tail behind the first 4,000 characters, and more rows than 800.
+    rows[:40] = [(i, say(1200, words) + " zebra quagga " * 20, "en") for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, "zzz", "en"), (3000, None, "en"), (3001, "", "de"), (3002, "no label", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(2230), 3000, 3001, None]], "doc_id long, quality int, toxic int")
+    teach = {x.doc_id for x in df.where(learns(df.doc_id)).select("doc_id").collect()}
+    got = models(df, labels, shard_rows=100)
+    assert set(got) == {"en", "de"}
+    for lang in got:
+        mine = [t for i, t, g in rows if g == lang and i in teach]
+        assert lang == "de" or len(mine) > 800
+        want = train(mine)
+        assert (want.names == got[lang].names).all()
+        texts = [normal(t) for t in [*mine[:30], "zebra quagga", "the Haus %% cat", "unseen"]]
+        assert np.allclose(got[lang].log_probabilities(texts)[0], want.log_probabilities(texts)[0], atol=1e-4)
+    assert got["en"].log_probabilities([normal("zebra quagga")])[0][3:].mean() > -1
+    assert models(df, labels.limit(0)) == {}
