@@ -4,13 +4,14 @@ Words of texts and items are made canonical: case is folded, and numbers,
 names (capitalised words inside a sentence) and units after a number become
 typed placeholders. Every window of ``WINDOW`` template words is hashed. A
 bitmap of fixed size holds the benchmark's windows, so that only hits leave
-the pass over the texts; hits join the benchmark's windows by hash. Hits on
-one diagonal (text position less item position) are one occurrence, and its
-slots must be consistent: one value of the item stands for one value in the
-text. A re-parameterised question passes, a chance likeness does not.
-
-An item stands in a text if a consistent occurrence has at least half of its
-windows, or a run of 13 words. Items and texts of fewer words than a window
+the pass over the texts; hits join the benchmark's windows by hash. Hits at
+consecutive places of the item on one diagonal (text position less item
+position) are a run, and its slots must be consistent: one value of the item
+stands for one value in the text. A re-parameterised question passes, a chance
+likeness does not. Consistent runs on diagonals nearby are one occurrence.
+
+An item stands in a text if an occurrence has at least half of its windows, or
+if one of its consistent runs has 13 words, whatever else hits. Items and texts of fewer words than a window
 are compared whole. Null and empty texts hold nothing, and such items are in
 no text. Rows are judged each on its own, repeated ones too; other columns
 are ignored.
@@ -22,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm.common import BITS, LOWER, byte_view, drop_rows, grams, lean, null_as_empty, rows_of, sequence_hash, slices, stored, words
 
 WINDOW, RUN = 8, 13
+#: Diagonals at most so far apart belong to one occurrence.
+NEAR = 8
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Words that are units when a number stands before them.
 UNITS = (
@@ -154,11 +157,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Short texts and items have hashes of their own kind, so they meet only each other.
     pairs = hits.join(there, "hash").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.select("key", "id", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("slots"))
-    runs = pairs.groupBy("key", "id", "item_id", "diagonal").agg(F.countDistinct("item_pos").alias("windows"), F.max("item_windows").alias("item_windows"), F.min("item_pos").alias("low"), F.max("item_pos").alias("high"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    line = ["key", "id", "item_id", "diagonal"]
+    hit = pairs.groupBy(*line, "item_pos").agg(F.max("item_windows").alias("item_windows"), F.collect_set("slots").alias("slots"))
+    # In a run of consecutive places, the place less its number on the diagonal stays the same.
+    island = F.col("item_pos") - F.row_number().over(Window.partitionBy(*line).orderBy("item_pos"))
+    runs = hit.withColumn("island", island).groupBy(*line, "island").agg(F.count(F.lit(1)).alias("length"), F.max("item_windows").alias("item_windows"), F.min("item_pos").alias("low"), F.max("item_pos").alias("high"), F.array_distinct(F.flatten(F.flatten(F.collect_list("slots")))).alias("slots"))
     runs = runs.withColumn("consistent", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s.item_slots))))
+    # Consistent runs on diagonals nearby are one occurrence with words put in or left out: their places add up, each once.
+    near = Window.partitionBy("key", "id", "item_id").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    places = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("consistent"), F.sequence("low", "high"))).over(near)))
+    runs = runs.withColumn("windows", F.when(F.col("consistent"), F.size(places)).otherwise(F.col("length")).cast("long"))
     runs = runs.withColumn("coverage", F.col("windows") / F.col("item_windows"))
-    whole = (F.col("windows") >= RUN - WINDOW + 1) & (F.col("high") - F.col("low") + 1 == F.col("windows"))
-    runs = runs.withColumn("contaminated", F.col("consistent") & ((F.col("coverage") >= 0.5) | whole))
+    runs = runs.withColumn("contaminated", F.col("consistent") & ((F.col("coverage") >= 0.5) | (F.col("length") >= RUN - WINDOW + 1)))
     best = runs.groupBy("key", "id", "item_id").agg(F.max(F.struct("contaminated", "windows", "consistent", F.col("diagonal").alias("d"), "item_windows", "coverage", F.size("slots").alias("n"))).alias("b"))
     return best.select("key", F.col("id").alias("doc_id"), "item_id", F.col("b.windows"), F.col("b.item_windows"), F.col("b.coverage"), F.col("b.n").cast("long").alias("slots"), F.col("b.consistent"), F.col("b.contaminated"))
 

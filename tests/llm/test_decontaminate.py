@@ -85,3 +85,42 @@ def test_planted(spark, sf_dir):
     held = {(d, i) for d, t in rows for i, q in items if q in t}
     assert held <= got and {d for d, _ in got} == {d for d, _ in held}
     assert {x.doc_id for x in clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in got}
+
+
+def independent(text, item, near=8):
+    """The rule in words: a consistent run of 13 words, or half of the windows in consistent runs nearby. Works on word pairs, not on windows' hashes."""
+    a, b = canonical(text), canonical(item)
+    runs = []
+    for d in range(-len(b), len(a)):
+        y = 0
+        while y < len(b):
+            n = 0
+            while y + n < len(b) and 0 <= y + n + d < len(a) and a[y + n + d][0] == b[y + n][0]:
+                n += 1
+            if n >= WINDOW:
+                slots = {(b[y + k][1], a[y + k + d][1]) for k in range(n) if b[y + k][2]}
+                if len(slots) == len({s[0] for s in slots}):
+                    runs.append((d, range(y, y + n - WINDOW + 1)))
+            y += max(n, 1)
+    half = any(2 * len({w for e, r in runs if abs(e - d) <= near for w in r}) >= len(b) - WINDOW + 1 for d, _ in runs)
+    return half or any(len(r) + WINDOW - 1 >= 13 for _, r in runs)
+
+
+def test_runs(spark):
+    w = [f"w{i}" for i in range(60)]
+    gap = lambda *parts, fill="zz": f" {fill} ".join(" ".join(w[a:b]) for a, b in parts)
+    holes = lambda *parts: " ".join(x if any(a <= i < b for a, b in parts) else f"q{i}" for i, x in enumerate(w))
+    long = [x for x in w]
+    long[2], long[40] = "Anna", "Anna"
+    item = " ".join(long)
+    wrong = lambda *parts: " ".join("Zoe" if i == 40 else x if any(a <= i < b for a, b in parts) else f"q{i}" for i, x in enumerate(long))
+    texts = [
+        holes((0, 20)), holes((0, 20), (30, 50)), holes((0, 12), (30, 42)), holes((0, 11), (15, 26), (29, 40), (45, 56)), gap((0, 12), (12, 24), (24, 36), (36, 48), (48, 60)),
+        gap((0, 12), (20, 32)), wrong((0, 20), (30, 50)), wrong((30, 50)), " ".join(w) + " " + " ".join(w[:9]),
+        gap((0, 12), (12, 24), (24, 36), (36, 48), (48, 60), fill="z " * 30), holes((0, 13)), holes((0, 12)),
+    ]
+    items = [(0, " ".join(w)), (1, item), (2, " ".join(w[:24]))]
+    want = {(d, i) for d, t in enumerate(texts) for i, q in items if independent(t, q)}
+    assert {(1, 0), (4, 2), (6, 1), (10, 0)} <= want and not {(2, 0), (5, 0), (9, 2), (11, 0)} & want
+    d, b = spark.createDataFrame([(*x, "z") for x in enumerate(texts)], KIND), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in occurrences(d, b).where("contaminated").collect()} == want
