@@ -62,7 +62,7 @@ class Scanner:
         import regex
 
         self.notices = notices
-        self.fuzzy = [regex.compile(f"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}") for n in notices]
+        self.fuzzy = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for at, n in enumerate(notices):
             size, cuts = len(n.text), n.edits + 1
@@ -89,12 +89,15 @@ class Scanner:
                 if a >= 0 and text.startswith(n.text, a):
                     if self._whole(text, a, a + len(n.text)):
                         found[at, a] = (a + len(n.text), 0)
-                    continue
+                        continue
                 # A window begins one edit budget before the place that the seed names; one that was tried covers its neighbours.
                 w = max(0, a - n.edits)
                 if tried.get(at, -1) >= a or (at, a) in found:
                     continue
-                m = self.fuzzy[at].search(text, w, a + len(n.text) + n.edits)
+                # The window ends where a word does, so that the pattern sees true borders.
+                stop = a + len(n.text) + n.edits
+                stop = text.rfind(" ", w, stop + 1) if stop < len(text) else len(text)
+                m = self.fuzzy[at].search(text, w, stop) if stop > w else None
                 if m and self._whole(text, m.start(), m.end()) and (e := sum(m.fuzzy_counts)):
                     found.setdefault((at, m.start()), (m.end(), e))
                     tried[at] = m.start() + n.edits

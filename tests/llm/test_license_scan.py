@@ -38,3 +38,13 @@ def test_fuzzy():
     assert label("all rights reservd") == {("reserved", 1)}
     assert label("mit licence") == {("mit", 1)}
     assert label("nothing of the kind") == set()
+
+
+def test_words_that_go_on():
+    s = Scanner(NOTICES)
+    label = lambda t: {(NOTICES[i].label, e) for _, _, i, e in s.spans(t)}
+    assert label("x mit licensed y") == label("mit licenses") == label("mit licensed") == {("mit", 1)}
+    assert label("apache licensed") == {("apache", 1)}
+    assert label("general public licenses") == {("gpl", 1)}
+    assert label("mit licensed mit license mit licenses") == {("mit", 0), ("mit", 1)}
+    assert label("mit licensedxx") == set()
