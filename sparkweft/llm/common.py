@@ -239,9 +239,21 @@ def shingle_sets(texts: pa.Array, k: int = 5):
                     yield at + i, h[:0]
 
 
-def total_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a frame's bytes: of the files behind it, if it reads files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def file_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that a frame reads; None where it is no plain read of one set of files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() != 1 or not leaves.head().getClass().getSimpleName().startswith("LogicalRelation"):
+        return None
+    return int(leaves.head().stats().sizeInBytes())
+
+
+def sized(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A frame and its bytes in files. What reads no files (rows in memory, joins) is written first: the planner's guess of it means nothing."""
+    found = file_bytes(df)
+    if found is None:
+        df = stored(df, name)
+        found = file_bytes(df)
+    return df, found or 0
 
 
 def null_as_empty(df: DataFrame, *names: str) -> DataFrame:

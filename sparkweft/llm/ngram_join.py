@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import drop, lean, mix, null_as_empty, possibly_in, rows_of, scratch, shared_dir, shingle_sets, stored, total_bytes
+from sparkweft.llm.common import drop, lean, mix, null_as_empty, possibly_in, rows_of, scratch, shared_dir, shingle_sets, sized, stored
 from sparkweft.llm.components import components
 
 _FIRST = "kind int, key long, doc_id long, n long, cls long, bucket int, blob binary"
@@ -56,6 +56,8 @@ def class_of(tokens: np.ndarray) -> int:
         return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
+#: Buckets at most: a bucket's number stays below 2^32 when multiplied by 32 bits of a hash.
+MOST_BUCKETS = 1 << 20
 #: Entries beyond the first that any two linked sets share, as a divisor of the size.
 SPARE = 5
 
@@ -408,10 +410,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     shared_dir(spark)
-    size = total_bytes(docs)
-    docs = null_as_empty(docs.select("doc_id", "text"), "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, size = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts")
+    docs = null_as_empty(docs, "text")
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    buckets = max(32, size // (8 << 20))
+    buckets = min(max(32, size // (8 << 20)), MOST_BUCKETS)
 
     path = scratch(spark, "shingles")
     docs.mapInArrow(lean(_scan(k, percent, buckets)), _FIRST).write.partitionBy("kind").parquet(path)
@@ -437,8 +439,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     edges = left.join(roots, "token").where("cls != root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
     blocks = components(edges)
 
-    sized = blocks.join(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "root")
-    members = sized.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(classes.select("cls", "key"), "cls")
+    counted = blocks.join(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "root")
+    members = counted.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(classes.select("cls", "key"), "cls")
     members = stored(members, "members")
 
     def sets_of(some: DataFrame) -> DataFrame:
