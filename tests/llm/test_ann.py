@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from sparkweft.llm.ann import hadamard, search
+from sparkweft.llm.ann import Rotations, hadamard, least_cosine, probes, search
 
 
 def brute(rows, k, every):
@@ -41,12 +42,74 @@ def test_edge_rows(spark):
     assert run(spark, []) == {}
 
 
-def test_recall(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
-    want, got = brute(rows, 10, 100), {}
-    for r in search(df).collect():
-        got.setdefault(r.query_id, {})[r.vec_id] = r.score
-    hits = sum(len(got[q].keys() & {v for _, v in want[q]}) for q in want)
-    assert got.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
-    assert all(len(g) == 10 for g in got.values())
+def measured(spark, rows, **kw):
+    """Recall against brute force, after checking that what was found is exact and in order."""
+    x, ids = np.array([v for _, v in rows], np.float32).astype(float), np.array([i for i, _ in rows])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids.tolist(), x)], "vec_id long, embedding array<float>")
+    got, hits, total = {}, 0, 0
+    for r in sorted(search(df, **kw).collect()):
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    asked = np.flatnonzero(ids % 100 == 0)
+    assert got.keys() == set(ids[asked].tolist())
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((ids, d)).tolist() if i != q][:10]
+        found = got[int(ids[q])]
+        assert len(found) == len(want) and found == sorted(found)
+        assert all(np.isclose(s, d[np.flatnonzero(ids == v)[0]], rtol=1e-12) for s, v in found)
+        hits += len({v for _, v in found} & set(ids[want].tolist()))
+        total += len(want)
+    return hits / total
+
+
+def table(spark, sf):
+    return sorted((r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall(spark, sf):
+    assert measured(spark, table(spark, sf)) >= 0.95
+
+
+@pytest.mark.parametrize("spread", [0.5, 1.0])
+def test_recall_with_unequal_lengths(spark, spread):
+    r = np.random.default_rng(5)
+    rows = [(i, (np.array(v) * np.exp(r.normal(0, spread))).tolist()) for i, v in table(spark, "sf0.1")]
+    assert measured(spark, rows) >= 0.95
+
+
+def test_near_copies(spark):
+    """Rows that crowd round one direction, more than a part of a bucket holds, are told apart exactly."""
+    r = np.random.default_rng(6)
+    centre = r.normal(size=32)
+    rows = [(i, (centre + 1e-3 * r.normal(size=32) if i % 3 else r.normal(size=32)).tolist()) for i in range(1500)]
+    assert measured(spark, rows, rows_each=100) >= 0.95
+
+
+def test_same_answer_on_any_cluster(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = sorted(search(df).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        assert sorted(search(df.repartition(7)).collect()) == want
+        assert sorted(search(df, rows_each=10).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_probes():
+    """More axes for weaker neighbours; none where no row can be near enough; the chance holds on fresh pairs."""
+    p = probes(np.array([1.1, 0.9, 0.5, 0.3, -0.2]), 64, 8, 0.95)
+    assert p[0] == 0 and 0 < p[1] <= p[2] <= p[3] and p[4] == 128
+    assert (least_cosine(np.array([-30, 0, 30]), 0.0, 0.5) > 1).tolist() == [True, False, True]
+    r, turn = np.random.default_rng(3), Rotations(64, 8)
+    q, w = r.normal(size=(500, 64)), r.normal(size=(500, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    w -= (w * q).sum(axis=1, keepdims=True) * q
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    x, met = 0.5 * q + np.sqrt(0.75) * w, np.zeros(500, bool)
+    for t in range(8):
+        a, own = turn.coordinates(q, t), turn.coordinates(x, t).argmax(axis=1)
+        met |= (a > a[np.arange(500), own][:, None]).sum(axis=1) < p[2]
+    assert met.mean() >= 0.92
