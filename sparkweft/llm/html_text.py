@@ -1,22 +1,30 @@
 """Main text of web pages by host suffix arrays (operator 2).
 
-A page is cut into blocks at its block-level tags; every block knows the
-containers around it. The blocks of a host's pages form one token stream, and
-the stream's suffixes are sorted by rank doubling up to ``LONG`` tokens:
-positions whose neighbour in that order shares ``LONG`` tokens and comes from
-another page lie in a long substring repeated across pages. A block most of
-whose tokens such substrings cover is the host's boilerplate.
-
-What is kept: on a page with an article (or main) element, the blocks inside
-it; without one, the blocks that are not covered and not mostly links. Blocks
-in menus, headers, footers, sidebars, notices, adverts, forms, comments and
-the like, known by tag, role, class or id, are never text; a page's own
-heading inside its article is. An article's prose stays even if other pages
-repeat it: repetition alone tells boilerplate only outside the article.
-
-Large hosts are dealt into shards of about ``SHARD`` characters by page, so
-none is gathered whole; boilerplate that stands on every page repeats in every
-shard. Null and empty pages give the empty text. Repeated rows give a row
+A page is cut into blocks at its block-level tags. The blocks of a host's
+pages form one token stream, and the stream's suffixes are sorted by rank
+doubling: suffixes that share their first ``LONG`` tokens stand together, and
+those that come from ``COMMON`` of the host's distinct pages, and ``FEWEST``
+pages at least, begin a long substring that the host repeats. (A longer
+repeated substring is a chain of such places, so no deeper order is needed.)
+Blocks that such substrings cover are boilerplate; unique runs stay.
+
+Pages of equal text count once, so mirrored pages are no repetition. Inside an
+article a block goes only if half of the host's distinct pages repeat it, and
+only while the article as a whole is not mostly repeated: near copies of an
+article stay whole. Outside, a page that is one repeated run from end to end
+is a mirror, too, and stays.
+
+Large hosts are dealt into shards of about ``SHARD`` characters by their
+text's hash, each with a suffix array of its own. A substring common on the
+host is as common in one of its shards at least; so the shards' common
+substrings are the candidates, all shards count the candidates, and the sums
+decide. The result does not depend on the shards.
+
+Tags are hints: where a page has article elements, text is what stands in
+them (else in main, else anywhere). Menus, headers and footers of a page,
+sidebars, forms, hidden elements and the like are known by tag and role; by
+class and id only outside an article, or by names inside it that mean nothing
+else. Null and empty pages give the empty text. Repeated rows give a row
 each; other columns are ignored.
 """
 
@@ -31,21 +39,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import byte_view, lean, null_as_empty, rows_of, stored, words
+from sparkweft.llm.common import byte_view, grams, lean, null_as_empty, rows_of, stored, words
 
-LONG, SHARD = 4, 4_000_000
-#: Hosts whose shard counts may be broadcast: some 100 bytes each.
-FEW_HOSTS = 100_000
+#: Tokens of a long substring; characters of a shard, about.
+LONG, SHARD = 8, 16_000_000
+#: Share of a host's distinct pages from which a substring is boilerplate outside and inside an article, and pages at least.
+COMMON, COMMON_INSIDE, FEWEST = 0.1, 0.5, 3
+#: Share of a page (of an article) in one common run (in common runs) from which it is a copy, not boilerplate.
+MIRROR, MIRROR_INSIDE = 0.8, 0.5
+#: Rows of a host table that may be broadcast: some 100 bytes each.
+FEW_HOSTS, FEW_WINDOWS = 100_000, 1_000_000
 
 # Element kinds of HTML.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math canvas audio video select textarea title".split())
-BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head".split())
-OUT_TAGS = set("nav header footer aside form menu head button dialog".split())
-OUT_ROLES = set("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-#: Words of class and id names whose element holds no article text.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "title"}
+BLOCK = {
+    "address", "article", "aside", "blockquote", "body", "br", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section",
+    "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
+OUT_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "head", "button", "dialog"}
+OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "dialog", "alert", "alertdialog"}
+#: Words of class and id names whose element, outside an article, holds no text of one.
 OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side-bar|rail|widget\w*|related|recommend\w*|share|sharing|social|comments?|comment-?list|respond|disqus|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|pagination|pager|toolbar|skip-?link|disclaimer|copyright|legal)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|byline|footer|sidebar|side-bar|rail|widget\w*|related|recommend\w*|share|sharing|social|comments?|comment-?list|respond|disqus|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|pagination|pager|toolbar|skip-?link|disclaimer|copyright|legal)(?=$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Whole class and id names whose element holds no article text inside an article either.
+INNER_NAMES = re.compile(
+    r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|(?:reader-|user-)?comments?(?:-list|-section|-form|-area)?|respond|disqus(?:_thread)?|replies|(?:social-)?(?:share|sharing)(?:-bar|-buttons?|-links?)?|social(?:-links|-bar)?|newsletter(?:-signup|-box)?|subscribe(?:-box)?|signup|cookies?-?(?:notice|banner|consent)?|gdpr|notice|popup|modal|breadcrumbs?|pagination|pager|toolbar|sidebar|widget|skip-?link|related-(?:posts|articles|links|stories))(?=$|\s)",
     re.IGNORECASE,
 )
 CLOSES = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -65,42 +87,47 @@ def _out(tag: str, attrs: str, inside: bool) -> bool:
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in OUT_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and OUT_NAMES.search(value):
+        if name in ("class", "id") and (inside or tag not in ("html", "body", "article", "main")) and (INNER_NAMES if inside else OUT_NAMES).search(value):
             return True
         if name == "style" and _HIDDEN.search(value):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, inside an article, inside something that holds none, share of link characters) of every block with text."""
-    found: list[tuple[str, bool, bool, float]] = []
+#: Where a block stands: in an article, in main, in something that holds no text.
+ARTICLE, MAIN, OUT = 1, 2, 4
+
+
+def blocks(page: str) -> list[tuple[str, int, float]]:
+    """(text, where it stands, share of link characters) of every block with text. Each tag costs its own length and the elements that it closes."""
+    found: list[tuple[str, int, float]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each holds no text
-    out = article = links = 0
+    opened: dict[str, int] = {}  # how often each tag is open
+    out = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((text, article > 0, out > 0, min(1.0, linked / len(text))))
+                found.append((text, ARTICLE * (opened.get("article", 0) > 0) | MAIN * (opened.get("main", 0) > 0) | OUT * (out > 0), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal out, article, links
+    def pop() -> str:
+        nonlocal out
         tag, dark = stack.pop()
         out -= dark
-        article -= tag in ("article", "main")
-        links -= tag == "a"
+        opened[tag] -= 1
+        return tag
 
     def say(text: str) -> None:
         nonlocal linked
         text = entities.unescape(text) if "&" in text else text
         parts.append(text)
-        if links:
+        if opened.get("a"):
             linked += len(text)
 
     at, size = 0, len(page)
@@ -120,10 +147,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
         if m[1]:
             if tag in BLOCK:
                 close()
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
             continue
         if tag in RAW:
             # Ends at its own end tag, whatever stands between.
@@ -134,20 +160,28 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
             close()
             while stack and tag in CLOSES.get(stack[-1][0], ()):
                 pop()
-            if tag not in ("br", "hr") and (hit := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None and tag in CLOSES["p"]:
-                while len(stack) > hit:
-                    pop()
+            if tag not in ("br", "hr") and opened.get("p"):
+                while pop() != "p":
+                    pass
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        dark = _out(tag, m[3], article > 0)
+        dark = _out(tag, m[3], opened.get("article", 0) > 0)
         stack.append((tag, dark))
+        opened[tag] = opened.get(tag, 0) + 1
         out += dark
-        article += tag in ("article", "main")
-        links += tag == "a"
     close()
     return found
 
 
+def candidates(page: str) -> tuple[list[str], bool]:
+    """Blocks that may be text, by the tags alone, and whether they stand in an article."""
+    found = blocks(page)
+    for kind in (ARTICLE, MAIN):
+        if mine := [text for text, where, _ in found if where & kind and not where & OUT]:
+            return mine, True
+    return [text for text, where, link in found if not where & OUT and link < 0.5], False
+
+
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order, rank of every suffix by its first ``depth`` tokens), by rank doubling; suffixes that end early come first."""
     n = len(tokens)
@@ -166,36 +200,47 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, block_end: np.ndarray, depth: int = LONG) -> np.ndarray:
-    """True for tokens inside a run of ``depth`` tokens that another page has too. block_end: where each token's page ends in the stream."""
-    n = len(tokens)
-    if n < depth:
-        return np.zeros(n, bool)
+def page_counts(tokens: np.ndarray, page: np.ndarray, page_end: np.ndarray, depth: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(place, pages) of one suffix of each group that shares its first ``depth`` tokens, and how many pages the group comes from. page_end: where each token's page ends in the stream."""
     order, rank = suffix_ranks(tokens, depth)
-    whole = np.arange(n) + depth <= block_end
-    lo, hi = np.full(n, n, np.int64), np.full(n, -1, np.int64)
-    at = order[whole[order]]
-    np.minimum.at(lo, rank[at], page[at])
-    np.maximum.at(hi, rank[at], page[at])
-    start = whole & (lo[rank] < hi[rank])
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(start), 1)
-    np.add.at(cover, np.flatnonzero(start) + depth, -1)
-    return np.cumsum(cover)[:n] > 0
-
-
-def main_text(found: list[tuple[str, bool, bool, float]], share: list[float]) -> str:
-    """The kept blocks of one page; share: how much of each block is covered."""
-    whole = any(inside for _, inside, _, _ in found)
-    keep = []
-    for (text, inside, out, link), cover in zip(found, share):
-        if not out and (inside if whole else cover < 0.5 and link < 0.5):
-            keep.append(text)
-    return "\n".join(keep)
-
-
-_BLOCKS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("n", pa.int64()), ("texts", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_())), ("out", pa.list_(pa.bool_())), ("link", pa.list_(pa.float64()))])
-_BLOCKS_SQL = "page_id long, url string, host string, n long, texts array<string>, inside array<boolean>, out array<boolean>, link array<double>"
+    at = order[(np.arange(len(tokens)) + depth <= page_end)[order]]
+    if not len(at):
+        return at, at
+    r, p = rank[at], page[at]
+    # Sorted by rank, then place: pages come in order within a group.
+    new = np.concatenate(([True], r[1:] != r[:-1]))
+    other = new | np.concatenate(([True], p[1:] != p[:-1]))
+    first = np.flatnonzero(new)
+    return at[first], np.add.reduceat(other.astype(np.int64), first)
+
+
+def cover(hashes: np.ndarray, size: int, known: np.ndarray, share: np.ndarray, depth: int = LONG) -> np.ndarray:
+    """For each of a page's ``size`` tokens the greatest share of pages that repeat a substring over it; hashes: of its substrings, in order."""
+    out = np.zeros(size)
+    if not len(known) or not len(hashes):
+        return out
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    value = np.where(known[at] == hashes, share[at], 0.0)
+    for k in range(depth):
+        np.maximum(out[k : k + len(value)], value, out=out[k : k + len(value)])
+    return out
+
+
+def main_text(texts: list[str], inside: bool, sizes: np.ndarray, shares: np.ndarray) -> str:
+    """The kept blocks of one page; sizes: tokens of each block, shares: of each token, the share of pages that repeat it."""
+    common = shares >= (COMMON_INSIDE if inside else COMMON)
+    if common.any():
+        if inside:
+            copy = common.mean() >= MIRROR_INSIDE
+        else:
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], common.astype(np.int8), [0]))))
+            copy = (edges[1::2] - edges[::2]).max() >= MIRROR * len(common)
+        if not copy:
+            first = np.concatenate(([0], np.cumsum(sizes)))
+            texts = [t for t, a, b in zip(texts, first[:-1], first[1:]) if a == b or common[a:b].mean() < 0.5]
+    return "\n".join(texts)
+
+
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 
 
@@ -204,69 +249,150 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("inside", pa.bool_()), ("blob", pa.binary())])
+_PARSED_SQL = "page_id long, url string, host string, content long, n long, first boolean, inside boolean, blob binary"
+#: Texts that a parsing task remembers, to tell which it has met.
+MET = 1 << 20
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+    import zstandard
+
+    press, met = zstandard.ZstdCompressor(), set()
     for batch in batches:
         urls = rows_of(batch, "url").to_pylist()
-        found = [blocks(x.as_py()) for x in rows_of(batch, "html")]
-        cols = [[[b[i] for b in f] for f in found] for i in range(4)]
+        hosts = [host_of(u) for u in urls]
+        found = [candidates(x.as_py()) for x in rows_of(batch, "html")]
+        # Blocks hold no line break.
+        texts = ["\n".join(t).encode() for t, _ in found]
+        content = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+        first = []
+        for key in zip(hosts, content):
+            first.append(key not in met)
+            if len(met) < MET:
+                met.add(key)
         yield pa.RecordBatch.from_arrays(
-            [rows_of(batch, "page_id"), pa.array(urls, pa.string()), pa.array([host_of(u) for u in urls], pa.string()), pa.array([sum(len(b[0]) for b in f) for f in found], pa.int64())]
-            + [pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.float64())))],
-            schema=_BLOCKS,
+            [rows_of(batch, "page_id"), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(content, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(first, pa.bool_()), pa.array([i for _, i in found], pa.bool_()), pa.array([press.compress(t) for t in texts], pa.binary())],
+            schema=_PARSED,
         )
 
 
-def host_texts(pages: list[list[tuple[str, bool, bool, float]]]) -> list[str]:
-    """Main texts of the pages of one host (or of one shard of it)."""
-    texts = pa.array([b[0] for p in pages for b in p], pa.string())
+def unpack(blob: bytes, press) -> list[str]:
+    raw = press.decompress(blob).decode()
+    return raw.split("\n") if raw else []
+
+
+def tokens_of(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes of all pages, tokens of each block, first block of each page)."""
+    texts = pa.array([b for p in pages for b in p], pa.string())
+    cuts = np.concatenate(([0], np.cumsum([len(p) for p in pages])))
     if not len(texts):
-        return [""] * len(pages)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), cuts
     raw, ends = byte_view(texts)
     _, _, tokens, first = words(raw, ends)
-    sizes = [len(p) for p in pages]
-    page_of_block = np.repeat(np.arange(len(pages)), sizes)
-    block_of_token = np.repeat(np.arange(len(texts)), np.diff(first))
-    page = page_of_block[block_of_token]
-    end = np.searchsorted(page, page, side="right") if len(page) else page
-    cover = covered(tokens, page, end)
-    n = np.maximum(np.diff(first), 1)
-    share = np.bincount(block_of_token, cover, minlength=len(texts)) / n
-    out, at = [], 0
-    for p in pages:
-        out.append(main_text(p, share[at : at + len(p)].tolist()))
-        at += len(p)
-    return out
+    return tokens, np.diff(first), cuts
+
+
+_COUNTS = pa.schema([("host", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+
+
+def _common_here(asked: bool):
+    """Shards sorted by host, shard and content: long substrings with their pages in the shard; either those common there, or those asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        press = zstandard.ZstdDecompressor()
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def close(rows: list) -> pa.RecordBatch:
-        texts = host_texts([list(zip(*r[2:])) for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        def close(host: str, pages: list, many: int, known) -> Iterator[pa.RecordBatch]:
+            tokens, sizes, cuts = tokens_of(pages)
+            per = np.array([sizes[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:])], np.int64)
+            page = np.repeat(np.arange(len(pages)), per)
+            at, n = page_counts(tokens, page, np.cumsum(per)[page] if len(page) else page)
+            if not len(at):
+                return
+            with np.errstate(over="ignore"):
+                hashes = grams(tokens, LONG)[at].view(np.int64)
+            # As common here as on the whole host, at least.
+            keep = np.isin(hashes, np.array(known, np.int64)) if asked else n * many >= least(many) * len(pages)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array([host] * int(keep.sum()), pa.string()), pa.array(hashes[keep]), pa.array(n[keep])], schema=_COUNTS)
 
-    now, rows = None, []
+        now, last, pages, many, known = None, None, [], 0, None
+        for batch in batches:
+            lists = rows_of(batch, "known") if asked else [None] * len(batch)
+            for host, shard, content, pages_of_host, blob, names in zip(*(rows_of(batch, c).to_pylist() for c in ("host", "shard", "content", "pages", "blob")), lists):
+                if (host, shard) != now:
+                    if pages:
+                        yield from close(now[0], pages, many, known)
+                    now, last, pages, many, known = (host, shard), None, [], pages_of_host, names.as_py() if asked else None
+                if content != last:
+                    last = content
+                    pages.append(unpack(blob, press))
+        if pages:
+            yield from close(now[0], pages, many, known)
+
+    return run
+
+
+def least(pages: int) -> int:
+    """Pages that a common substring of a host of so many distinct pages has."""
+    return max(FEWEST, int(np.ceil(COMMON * pages)))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
     for batch in batches:
-        keys = zip(*(rows_of(batch, c).to_pylist() for c in ("host", "shard")))
-        for key, row in zip(keys, zip(*(rows_of(batch, c).to_pylist() for c in ("page_id", "url", "texts", "inside", "out", "link")))):
-            if key != now and rows:
-                yield close(rows)
-                rows = []
-            now = key
-            rows.append(row)
-    if rows:
-        yield close(rows)
+        pages = [unpack(b, press) for b in rows_of(batch, "blob").to_pylist()]
+        tokens, sizes, cuts = tokens_of(pages)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        with np.errstate(over="ignore"):
+            hashes = grams(tokens, LONG).view(np.int64)
+        out = []
+        for i, (texts, inside, known, share) in enumerate(zip(pages, rows_of(batch, "inside").to_pylist(), rows_of(batch, "known"), rows_of(batch, "share"))):
+            a, b = first[cuts[i]], first[cuts[i + 1]]
+            names = np.array(known.as_py() or [], np.int64)
+            shares = cover(hashes[a : max(a, b - LONG + 1)], b - a, names, np.array(share.as_py() or [], np.float64))
+            out.append(main_text(texts, inside, sizes[cuts[i] : cuts[i + 1]], shares))
+        yield pa.RecordBatch.from_arrays([rows_of(batch, "page_id"), rows_of(batch, "url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def _few(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Broadcast a table only behind a check of its size; beyond, the join moves both sides."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages(page_id, url, html)``."""
     rows = null_as_empty(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"), "html")
-    size = F.length("html")
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    large = rows.select(host.alias("host"), size.alias("n")).groupBy("host").agg(F.ceil(F.sum("n") / shard).cast("long").alias("shards")).where("shards > 1")
-    # Known hosts of several shards are broadcast only while they are few; beyond, the join moves the pages.
-    large = stored(large, "hosts")
-    if large.count() <= FEW_HOSTS:
-        large = F.broadcast(large)
-    parsed = rows.mapInArrow(lean(_parse), _BLOCKS_SQL)
-    dealt = parsed.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.coalesce("shards", F.lit(1)), F.lit(1))))
-    dealt = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url")
-    return dealt.mapInArrow(lean(_extract), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stored(rows.mapInArrow(lean(_parse), _PARSED_SQL), "parsed")
+    once = parsed.where("first and n > 0")
+    # A text met by several tasks counts once for the pages; for the size of shards it may count a few times.
+    counted = once.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = once.groupBy("host").agg(F.ceil(F.sum("n") / shard).cast("long").alias("shards"))
+    hosts = stored(counted.join(sizes, "host").where(F.col("pages") >= FEWEST).withColumn("shards", F.greatest("shards", F.lit(1))), "hosts")
+    many = hosts.count()
+
+    def dealt(told: DataFrame, few: int, most: int) -> DataFrame:
+        there = once.select("host", "content", "blob").join(_few(told, few, most), "host").withColumn("shard", F.pmod("content", F.col("shards")))
+        return there.repartition("host", "shard").sortWithinPartitions("host", "shard", "content")
+
+    counts = "host string, gram long, n long"
+    here = stored(dealt(hosts, many, FEW_HOSTS).mapInArrow(lean(_common_here(False)), counts).join(_few(hosts, many, FEW_HOSTS), "host"), "candidates")
+    # Hosts of several shards: all shards count what any of them holds common.
+    asked = here.where("shards > 1").groupBy("host", "pages", "shards").agg(F.array_sort(F.collect_set("gram")).alias("known"))
+    asked = stored(asked, "asked")
+    told = asked.agg(F.sum(F.size("known")).alias("n")).first().n or 0
+    sums = dealt(asked, told, FEW_WINDOWS).mapInArrow(lean(_common_here(True)), counts).groupBy("host", "gram").agg(F.sum("n").alias("n")).join(_few(hosts, many, FEW_HOSTS), "host") if told else here.limit(0)
+    cols = ["host", "gram", "n", "pages"]
+    common = here.where("shards = 1").select(cols).unionByName(sums.select(cols))
+    common = common.where(F.col("n") >= F.greatest(F.lit(FEWEST), F.ceil(F.lit(COMMON) * F.col("pages"))))
+    # Bounded by the tokens of some ten pages a host, whatever its size.
+    lists = common.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("n") / F.col("pages")).alias("share")))).alias("known"))
+    lists = stored(lists.select("host", F.col("known.gram").alias("known"), F.col("known.share").alias("share")), "common")
+    told = lists.agg(F.sum(F.size("known")).alias("n")).first().n or 0
+    out = parsed.select("page_id", "url", "host", "inside", "blob").join(_few(lists, told, FEW_WINDOWS), "host", "left")
+    return out.mapInArrow(lean(_texts), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -1,8 +1,11 @@
 import random
+import re
+import time
 
 import numpy as np
+import pytest
 
-from sparkweft.llm.html_text import blocks, covered, extract, host_of, suffix_ranks
+from sparkweft.llm.html_text import LONG, blocks, candidates, extract, host_of, page_counts, suffix_ranks
 
 
 def test_suffix_ranks():
@@ -15,18 +18,20 @@ def test_suffix_ranks():
         assert all((keys[i] == keys[j]) == (rank[i] == rank[j]) for i in range(60) for j in range(i))
 
 
-def test_covered():
+def test_page_counts():
+    """Pages of every substring that the array groups, against all substrings of all pages."""
     r = random.Random(2)
-    for _ in range(20):
+    for _ in range(30):
         sizes = [r.randrange(0, 14) for _ in range(5)]
         page = np.repeat(np.arange(5), sizes)
         t = np.array([r.randrange(3) for _ in page], np.int64)
         end = np.cumsum(sizes)[page] if len(page) else page
-        want = np.zeros(len(t), bool)
-        for i in range(len(t) - 3):
-            if i + 4 <= end[i] and any(page[j] != page[i] and j + 4 <= end[j] and (t[j : j + 4] == t[i : i + 4]).all() for j in range(len(t) - 3)):
-                want[i : i + 4] = True
-        assert (covered(t, page, end, 4) == want).all()
+        want = {}
+        for i in range(len(t)):
+            if i + 4 <= end[i]:
+                want.setdefault(tuple(t[i : i + 4]), set()).add(int(page[i]))
+        at, n = page_counts(t, page, end, 4)
+        assert {tuple(t[i : i + 4]): k for i, k in zip(at, n)} == {g: len(p) for g, p in want.items()} and len(at) == len(want)
 
 
 def texts(spark, rows, **kw):
@@ -50,6 +55,72 @@ def test_pages(spark):
     assert got == {1: "Head <1>\nOne\nTwo lines here inline", 2: "", 3: "", 4: "just text é &am", 5: "kept\nalso link", 6: "a < b and c > d\nq", 7: "unclosed", 8: "yes", 9: "T\nx"}
 
 
+def plain(pages):
+    """Kept text of pages [(host, texts, inside)], from the rules alone: no arrays, no hashes, no shards."""
+    hosts = {}
+    for host, texts, _ in pages:
+        if texts:
+            hosts.setdefault(host, set()).add(tuple(texts))
+    share = {}
+    for host, found in hosts.items():
+        held = {}
+        for texts in found:
+            w = " ".join(texts).lower().split(" ")
+            for g in {tuple(w[i : i + LONG]) for i in range(len(w) - LONG + 1)}:
+                held[g] = held.get(g, 0) + 1
+        share[host] = {g: n / len(found) for g, n in held.items() if n >= 3 and 10 * n >= len(found)}
+    out = []
+    for host, texts, inside in pages:
+        w = " ".join(texts).lower().split(" ")
+        mark = [False] * len(w)
+        for i in range(len(w) - LONG + 1):
+            if share.get(host, {}).get(tuple(w[i : i + LONG]), 0) >= (0.5 if inside else 0.1):
+                mark[i : i + LONG] = [True] * LONG
+        runs = [len(x) for x in re.findall("1+", "".join("1" if m else "0" for m in mark))]
+        copy = 2 * sum(mark) >= len(w) if inside else max(runs, default=0) >= 0.8 * len(w)
+        kept, at = [], 0
+        for t in texts:
+            n = len(t.split(" "))
+            if copy or 2 * sum(mark[at : at + n]) < n:
+                kept.append(t)
+            at += n
+        out.append("\n".join(kept))
+    return out
+
+
+def host_pages(seed):
+    """Pages of hosts of several sizes: notices on some, most or few pages, whole or within other text, mirrored pages and near copies."""
+    r = random.Random(seed)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    out = []
+    for host, many in (("a.org", 90), ("b.org", 25), ("c.org", 4), ("d.org", 2), ("e.org", 1)):
+        notices = [(say(r.choice([5, 9, 20, 60])), r.choice([0.05, 0.12, 0.3, 0.6, 0.95])) for _ in range(6)]
+        shared, copied = say(200), say(40)
+        for i in range(many):
+            texts = [say(r.choice([3, 12, 40])) for _ in range(r.randrange(1, 5))]
+            for n, p in notices:
+                if r.random() < p:
+                    texts.insert(r.randrange(len(texts) + 1), n if r.random() < 0.8 else f"{say(3)} {n} {say(3)}")
+            if i % 10 == 3:
+                texts = [copied, "the same on every mirror"]
+            elif i % 10 == 5:
+                texts = [shared + " " + say(4)]
+            out.append((host, texts, r.random() < 0.5))
+    return out
+
+
+@pytest.mark.parametrize("kw", [{}, {"shard": 4000}, {"shard": 1500}])
+def test_against_rules(spark, kw):
+    """The returned text of whole pages, in and outside articles, by the rules; the same whatever the shards."""
+    pages = host_pages(4)
+    wrap = lambda texts, inside: ("<article>" if inside else "<div>") + "".join(f"<p>{t}</p>" for t in texts) + ("</article>" if inside else "</div>")
+    rows = [(i, f"http://{h}/{i}", f"<body><nav>menu {i}</nav>{wrap(t, inside)}<footer>all the rest of it</footer></body>") for i, (h, t, inside) in enumerate(pages)]
+    want = plain(pages)
+    assert texts(spark, rows, **kw) == dict(enumerate(want))
+    dropped = sum(w.count("\n") + 1 < len(t) for w, (_, t, _) in zip(want, pages))
+    assert dropped > 20 and sum(w.count("\n") + 1 < len(t) for w, (_, t, inside) in zip(want, pages) if inside) > 5
+
+
 def test_boilerplate_without_article(spark):
     say = random.Random(3)
     prose = [" ".join(f"w{say.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
@@ -60,18 +131,55 @@ def test_boilerplate_without_article(spark):
     copies = [(1, "http://h.org/1", "<article><p>" + prose[0] + "</p></article>"), (2, "http://h.org/2", "<article><p>" + prose[0] + "</p></article>"), (2, "http://h.org/2", "")]
     df = spark.createDataFrame(copies, "page_id long, url string, html string")
     assert sorted(r.text for r in extract(df).collect()) == sorted([prose[0], prose[0], ""])
+    mirrors = [(i, f"http://h.org/{i}", f"<div>{prose[0]}</div>") for i in range(30)]
+    assert set(texts(spark, mirrors).values()) == {prose[0]}
     assert extract(df.limit(0)).count() == 0
 
 
+def test_notice_in_articles(spark):
+    """What half of a host's articles repeat goes, without any telling name; copies of an article stay whole."""
+    say = random.Random(8)
+    prose = [" ".join(f"w{say.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    notice = "we use small files on your device to make this site work"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{p}</p><p>{notice}</p></article>") for i, p in enumerate(prose)]
+    near = [(100 + i, f"http://n.org/{i}", f"<article><p>{prose[0]}</p><p>{prose[1]}</p><p>part {i}</p></article>") for i in range(12)]
+    assert texts(spark, rows + near) == dict(enumerate(prose)) | {100 + i: f"{prose[0]}\n{prose[1]}\npart {i}" for i in range(12)}
+
+
+def test_tags_are_hints():
+    text = lambda page: candidates(page)[0]
+    assert text("<article><p class='legal'>The legal history of Rome</p><section id='related-work'><p>a</p></section><div class='comment-analysis'>b</div></article>") == ["The legal history of Rome", "a", "b"]
+    assert text("<main><ul><li>Skip to</ul><article><p>x</p></article><p>More from us</p></main>") == ["x"]
+    assert text("<div class=byline>Subscribe for more</div><p>x</p>") == ["x"]
+    assert text("<article><p>x</p><div class='comments'><article class='comment'>me too</article></div><div class='ad'>buy</div><article class='comment'>no</article></article>") == ["x"]
+    assert text("<aside><article>teaser</article></aside><div><p>x</p></div>") == ["x"]
+
+
+def test_long_and_deep_pages():
+    """Time in proportion to the page, however deep its elements nest or however many are left open."""
+    def took(page):
+        t = time.process_time()
+        blocks(page)
+        return time.process_time() - t
+
+    for make in (lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p><b>" * n + "x", lambda n: "<div>" * n + "</i>" * n, lambda n: "<p>" + "<span>" * n + "<div>" * n, lambda n: "<a title='" * n, lambda n: "<!-- " * n):
+        small, large = min(took(make(5000)) for _ in range(3)), min(took(make(40_000)) for _ in range(2))
+        assert large < 24 * small + 0.1
+    assert candidates("<article><p>" + "word " * 300_000 + "</p></article>")[0] == [("word " * 300_000).strip()]
+
+
 def test_host():
     assert [host_of(u) for u in ("http://A.com:80/x", "//u@b.org?q", None, "nonsense", "https://c.net#d")] == ["a.com", "b.org", "", "", "c.net"]
 
 
 def test_table(spark, sf_dir):
+    """Every page of the table has an article, repeated by no notice: its text, cut by a plain pattern, comes out whole."""
+    import html as entities
+
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in extract(pages).collect()}
     assert len(got) == pages.count() and all(r.n_chars == len(r.text) for r in got.values())
     for p in pages.collect():
         inner = p.html[p.html.index("<article>") + 9 : p.html.index("</article>")]
-        assert got[p.page_id].text.count("\n") + 1 == sum(1 for _ in blocks(inner))
-        assert "</" not in got[p.page_id].text and "example" not in got[p.page_id].text.split("\n")[-1][-20:]
+        want = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner)]
+        assert got[p.page_id].text == "\n".join(x for x in want if x)
