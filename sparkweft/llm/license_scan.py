@@ -1,11 +1,14 @@
 """Fuzzy short-notice search (operator 1).
 
 A notice that may hold ``k`` edits is cut into ``k + 1`` pieces; a text within
-``k`` edits holds at least one piece unchanged. One automaton finds all pieces
-of all notices; around each hit the regex library matches the notice with at
-most ``k`` errors and gives the edits and the span, which must begin and end
-with whole words. Base phrases count only where they stand without an edit;
-near misses of them add a label, never a base place.
+``k`` edits holds at least one piece unchanged, and no further than ``k``
+characters from its place. One automaton finds all pieces of all notices;
+around each hit, every run of whole words whose length fits is matched by the
+regex library with at most ``k`` errors, which gives its edits. No run within
+the budget is missed. Of runs of one notice that overlap, the one of fewest
+edits stays, then the one that starts first, then the shortest. Base phrases
+count only where they stand without an edit; near misses of them add a label,
+never a base place.
 
 Null and empty texts have no words, no places, empty labels and score 0.
 Every place counts, also in repeated rows and in texts of any length; other
@@ -15,6 +18,8 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +56,9 @@ NOTICES = (
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+_BLANK = re.compile(" ")
+
+
 def fold(text: str) -> str:
     """A-Z to a-z, nothing else."""
     return text.encode().lower().decode()
@@ -62,7 +70,9 @@ class Scanner:
         import regex
 
         self.notices = notices
-        self.fuzzy = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") for n in notices]
+        # A pattern for each number of errors, so that the first that matches names the edits.
+        self.fuzzy = [[regex.compile(f"(?:{regex.escape(n.text, literal_spaces=True)}){{e<={k}}}") for k in range(n.edits + 1)] for n in notices]
+        self.letters = [Counter(n.text) for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for at, n in enumerate(notices):
             size, cuts = len(n.text), n.edits + 1
@@ -74,34 +84,55 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), where))
         self.seeds.make_automaton()
 
-    @staticmethod
-    def _whole(text: str, a: int, b: int) -> bool:
-        return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+    def edits(self, at: int, run: str) -> int | None:
+        """Errors of the regex library's match of a whole run with a notice; None beyond the notice's budget."""
+        n = self.notices[at]
+        if run == n.text:
+            return 0
+        # Letters that one has and the other lacks each cost an edit.
+        if max((self.letters[at] - (own := Counter(run))).total(), (own - self.letters[at]).total()) > n.edits:
+            return None
+        return next((k for k, p in enumerate(self.fuzzy[at]) if k and p.fullmatch(run)), None)
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) of all places, sorted; text is words one blank apart."""
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        found: list[tuple[int, int, int, int]] = []
+        tried: set[tuple[int, int, int]] = set()
+        starts: list[int] = []
         for end, (size, where) in self.seeds.iter(text):
+            if not starts:
+                starts = [0, *(m.end() for m in _BLANK.finditer(text))]
             for at, lo in where:
                 n = self.notices[at]
-                a = end + 1 - size - lo
-                if a >= 0 and text.startswith(n.text, a):
-                    if self._whole(text, a, a + len(n.text)):
-                        found[at, a] = (a + len(n.text), 0)
-                        continue
-                # A window begins one edit budget before the place that the seed names; one that was tried covers its neighbours.
-                w = max(0, a - n.edits)
-                if tried.get(at, -1) >= a or (at, a) in found:
-                    continue
-                # The window ends where a word does, so that the pattern sees true borders.
-                stop = a + len(n.text) + n.edits
-                stop = text.rfind(" ", w, stop + 1) if stop < len(text) else len(text)
-                m = self.fuzzy[at].search(text, w, stop) if stop > w else None
-                if m and self._whole(text, m.start(), m.end()) and (e := sum(m.fuzzy_counts)):
-                    found.setdefault((at, m.start()), (m.end(), e))
-                    tried[at] = m.start() + n.edits
-        return sorted((a, end, at, e) for (at, a), (end, e) in found.items())
+                a, k = end + 1 - size - lo, n.edits
+                for i in range(bisect_left(starts, a - k), len(starts)):
+                    s = starts[i]
+                    if s > a + k:
+                        break
+                    # The ends of words whose run is as long as the budget allows.
+                    for j in range(bisect_left(starts, s + len(n.text) - k + 1, i), len(starts) + 1):
+                        e = starts[j] - 1 if j < len(starts) else len(text)
+                        if e - s > len(n.text) + k:
+                            break
+                        if e - s >= len(n.text) - k and (at, s, e) not in tried:
+                            tried.add((at, s, e))
+                            if (edits := self.edits(at, text[s:e])) is not None:
+                                found.append((at, edits, s, e))
+        return self.best(found)
+
+    @staticmethod
+    def best(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of overlapping runs (notice, edits, start, end) of a notice, that of fewest edits, then the first, then the shortest."""
+        out: list[tuple[int, int, int, int]] = []
+        held: dict[int, tuple[list[int], list[int]]] = {}
+        for at, edits, s, e in sorted(found):
+            a, b = held.setdefault(at, ([], []))
+            i = bisect_left(b, s + 1)
+            if i == len(a) or a[i] >= e:
+                a.insert(i, s)
+                b.insert(i, e)
+                out.append((s, e, at, edits))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
