@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a segment tree over pair ranks (operator 9).
 
-The leaves of the tree hold the merge rank of every pair of neighbouring
+The leaves of a binary tree hold the merge rank of every pair of neighbouring
 symbols; its root names the leftmost pair of lowest rank. A merge updates at
-most three leaves, each in logarithmic time, until no pair can merge. Nodes
-are wide, for the minimum over a few neighbours costs less than a level. Pieces
-of text repeat, so each worker remembers the ids of the pieces it has met, up
-to a bound. The vocabulary file's path is a parameter.
+most three leaves and the nodes above them that change, each in logarithmic
+time, until no pair can merge. Every piece of two symbols or more has its
+tree. Pieces of text repeat, so each worker remembers the ids of the pieces it
+has met, up to a bound. The vocabulary file's path is a parameter.
 
 Null and empty texts encode to no ids and decode to the empty text. Strings of
 added tokens inside a text become those tokens, as in the tokenizers library.
@@ -46,33 +46,35 @@ def byte_letters() -> list[str]:
 
 
 class RankTree:
-    """Min-tree over the ranks of neighbouring pairs; a key holds rank and position in one integer.
+    """Binary min-tree over the ranks of neighbouring pairs; a key holds rank and position in one integer.
 
-    Every node covers up to ``FAN`` children, so a short piece has a root and
-    leaves only and a long one a few levels.
+    Node 1 is the root, nodes 2i and 2i + 1 are the children of i, and the
+    last half are the leaves.
     """
 
-    NONE, FAN = 1 << 62, 32
+    NONE = 1 << 62
 
     def __init__(self, keys: list[int]):
-        self.levels = [keys]
-        while len(low := self.levels[-1]) > self.FAN:
-            self.levels.append([min(low[i : i + self.FAN]) for i in range(0, len(low), self.FAN)])
-        self.top = self.levels[-1]
-
-    def root(self) -> int:
-        return min(self.top)
-
-    def put(self, at: int, key: int) -> None:
-        low = self.levels[0]
-        low[at] = key
-        for up in self.levels[1:]:
-            at //= self.FAN
-            key = min(low[at * self.FAN : (at + 1) * self.FAN])
-            if up[at] == key:
-                break
-            up[at] = key
-            low = up
+        self.size = n = len(keys)
+        self.nodes = nodes = keys + keys
+        for i in range(n - 1, 0, -1):
+            a, b = nodes[2 * i], nodes[2 * i + 1]
+            nodes[i] = a if a < b else b
+
+    def put(self, changes: tuple[tuple[int, int], ...]) -> None:
+        """Set leaves and mend the nodes above them, each up to the first that stays as it was."""
+        nodes, n = self.nodes, self.size
+        for at, key in changes:
+            at += n
+            nodes[at] = key
+            while at > 1:
+                other = nodes[at ^ 1]
+                if other < key:
+                    key = other
+                at >>= 1
+                if nodes[at] == key:
+                    break
+                nodes[at] = key
 
 
 def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
@@ -81,25 +83,24 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
     if n < 2:
         return symbols
     none, rank = RankTree.NONE, ranks.get
-    keys = [none if (r := rank(a << 20 | b)) is None else r | i for i, (a, b) in enumerate(pairwise(symbols))]
-    tree = RankTree(keys)
-    top, put = tree.top, keys.__setitem__ if tree.top is keys else tree.put
+    tree = RankTree([none if (r := rank(a << 20 | b)) is None else r | i for i, (a, b) in enumerate(pairwise(symbols))])
+    nodes, put = tree.nodes, tree.put
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := min(top)) != none:
+    while (low := nodes[1]) != none:
         i = low & 0xFFFFFFFF
         j = after[i]
         symbols[i] = s = merged[low >> 32]
         symbols[j] = -1
         after[i] = k = after[j]
-        if j < n - 1:
-            put(j, none)
+        key = none
         if k < n:
             before[k] = i
-            put(i, none if (r := rank(s << 20 | symbols[k])) is None else r | i)
-        else:
-            put(i, none)
+            if (r := rank(s << 20 | symbols[k])) is not None:
+                key = r | i
+        changes = ((i, key),) if j == n - 1 else ((j, none), (i, key))
         if (h := before[i]) >= 0:
-            put(h, none if (r := rank(symbols[h] << 20 | s)) is None else r | h)
+            changes += ((h, none if (r := rank(symbols[h] << 20 | s)) is None else r | h),)
+        put(changes)
     return [s for s in symbols if s >= 0]
 
 

@@ -26,15 +26,46 @@ def test_against_library(library):
         assert c.decode(c.encode(t)) == library.decode(want, skip_special_tokens=False), t
 
 
-def test_tree():
-    r = random.Random(1)
-    keys = [r.randrange(1000) for _ in range(37)]
+class Watched(list):
+    """A list that counts what is written to it."""
+
+    written = 0
+
+    def __setitem__(self, at, value):
+        self.written += 1
+        super().__setitem__(at, value)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 37, 1000])
+def test_tree(n):
+    """The root is the minimum; a change writes one node a level at most; inner nodes exist for every size."""
+    r = random.Random(n)
+    keys = [r.randrange(1000) << 32 | i for i in range(n)]
     t = RankTree(list(keys))
-    for _ in range(200):
-        i, k = r.randrange(37), r.randrange(1000)
-        keys[i] = k
-        t.put(i, k)
-        assert t.root() == min(keys)
+    for _ in range(300):
+        i = r.randrange(n)
+        keys[i] = r.randrange(1000) << 32 | i
+        t.nodes = Watched(t.nodes)
+        t.put(((i, keys[i]),))
+        assert t.nodes[1] == min(keys) and t.nodes.written <= 1 + (n - 1).bit_length()
+    assert all(t.nodes[i] == min(t.nodes[2 * i], t.nodes[2 * i + 1]) for i in range(1, n))
+
+
+def test_tree_does_the_work(monkeypatch, library):
+    """Each merge of a word reads the tree's root and mends its inner nodes."""
+    put, inner = RankTree.put, []
+
+    def watched(self, changes):
+        before = self.nodes[1 : self.size]
+        put(self, changes)
+        inner.append(sum(a != b for a, b in zip(before, self.nodes[1 : self.size])))
+
+    monkeypatch.setattr(RankTree, "put", watched)
+    text = " internationalization"
+    c = BytePairCoder(PATH)
+    ids = c.encode(text).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert len(inner) == len(text) - len(ids) and sum(inner) >= len(inner)
 
 
 def test_frames(spark, library):
