@@ -14,6 +14,7 @@ span list. Rows are scanned one by one and whole; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words near which a long run of key characters is a candidate, and how near.
 CONTEXT = ("passw", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key", "private key", "access_key", "access key", "authorization")
 REACH = 96
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_KEY = re.compile(r"[A-Za-z0-9+/_=-]")
+_RUN = re.compile(_KEY.pattern + f"{{{LEAST},}}")
 #: Added bytes a character from which a run is novel: random letters and digits take about 0.75, words far less.
 NOVEL = 0.62
 
@@ -70,32 +73,56 @@ class Novelty:
         return (len(self.press.compress(before + run + after)) - len(self.press.compress(before + after))) / max(1, len(run))
 
 
-def candidate_spans(text: str, folded: str) -> list[tuple[int, int]]:
-    """Runs of key characters that begin within reach of a sensitive word."""
-    found: set[tuple[int, int]] = set()
+def zones(folded: str) -> list[tuple[int, int]]:
+    """Stretches of text within reach of a sensitive word, in order, merged where they meet."""
+    near = []
     for word in CONTEXT:
         at = folded.find(word)
         while at >= 0:
-            lo, hi = max(0, at - REACH), at + len(word) + REACH
-            for m in _RUN.finditer(text, lo):
-                if m.start() >= hi:
-                    break
-                # A run cut by the window's edge counts from its own start.
-                if m.start() > lo or lo == 0 or not _RUN.match(text[lo - 1 : lo + 15]):
-                    s = m[0]
-                    if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-                        found.add(m.span())
+            near.append((max(0, at - REACH), at + len(word) + REACH))
             at = folded.find(word, at + len(word))
-    return sorted(found)
+    return merged(near)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that spans cover; those that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidate_spans(text: str, folded: str) -> list[tuple[int, int]]:
+    """Runs of key characters that begin within reach of a sensitive word. Every character is looked at once."""
+    found: list[tuple[int, int]] = []
+    done = 0
+    for lo, hi in zones(folded):
+        at = max(lo, done)
+        while m := _RUN.search(text, at, min(len(text), hi + LEAST - 1)):
+            if m.start() >= hi:
+                break
+            whole = _RUN.match(text, m.start())
+            done = at = whole.end()
+            # A run that began before the stretch is out of reach.
+            begins = m.start() == 0 or not _KEY.match(text, m.start() - 1)
+            if begins and any(c.isdigit() for c in whole[0]) and any(c.isalpha() for c in whole[0]):
+                found.append(whole.span())
+    return found
 
 
 def find_spans(text: str, novelty: Novelty, threshold: float = NOVEL) -> tuple[list[tuple[int, int, str]], list[float]]:
     """All spans as (start, end, kind), by start then kind, and their novelty."""
     folded = text.encode().lower().decode()
     spans = [(a, KINDS.index(k), b) for k, found in (("assign", assign_spans(text, folded)), ("access", access_spans(text)), ("hex", [m.span() for m in _HEX.finditer(text)])) for a, b in found]
-    known = sorted((a, b) for a, _, b in spans)
+    known = merged([(a, b) for a, _, b in spans])
+    ends = [b for _, b in known]
     for a, b in candidate_spans(text, folded) if any(w in folded for w in CONTEXT) else ():
-        if not any(x < b and a < y for x, y in known) and novelty(text, a, b) >= threshold:
+        # The first known stretch that ends after the run begins.
+        i = bisect_right(ends, a)
+        if (i == len(known) or known[i][0] >= b) and novelty(text, a, b) >= threshold:
             spans.append((a, 3, b))
     spans.sort()
     return [(a, b, KINDS[k]) for a, k, b in spans], [novelty(text, a, b) for a, _, b in spans]

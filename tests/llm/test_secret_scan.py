@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
-from sparkweft.llm.secret_scan import Novelty, digest, find_spans, redact, scan
+from sparkweft.llm.secret_scan import CONTEXT, NOVEL, REACH, Novelty, digest, find_spans, redact, scan
 
 RULES = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
@@ -48,3 +49,44 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, "a password=b7db7aa4a5fcc78305 b", "en", "s", 31), (2, "clean", "en", "s", 5), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in redact(df).collect()}
     assert got == {1: ("a [secret] b", 12), 2: ("clean", 5), 3: (None, None)}
+
+
+def plain_novel(text, novelty):
+    """Novel spans by the rule: every run of the text, every place of every word, every base span."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    near = [(m.start(), m.end()) for w in CONTEXT for m in re.finditer(f"(?={re.escape(w)})", low) for m in [re.compile(re.escape(w)).match(low, m.start())]]
+    base = [(a, b) for a, _, b, _ in brute(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        a, b = m.span()
+        within = any(x - REACH <= a < y + REACH for x, y in near)
+        mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        if within and mixed and not any(x < b and a < y for x, y in base) and novelty(text, a, b) >= NOVEL:
+            out.append((a, b))
+    return out
+
+
+def test_novel_against_plain():
+    n, r = Novelty(), random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    found = 0
+    for _ in range(300):
+        parts = [r.choice([*CONTEXT, "".join(r.choice(chars) for _ in range(r.choice([4, 15, 16, 17, 40, 200]))), "word " * r.randrange(40), "passwordResetToken0", "=" * 20, "deadbeefdeadbeef0", "tokentokentoken1"]) + r.choice(["", " ", ": ", "."]) for _ in range(r.randrange(1, 12))]
+        text = "".join(parts)
+        got = [(a, b) for a, b, k in find_spans(text, n)[0] if k == "novel"]
+        assert got == plain_novel(text, n), text
+        found += len(got)
+    assert found > 50
+
+
+def test_long_runs_and_many_words():
+    n = Novelty()
+
+    def took(text):
+        t = time.process_time()
+        find_spans(text, n)
+        return time.process_time() - t
+
+    for make in (lambda k: "token" * k, lambda k: "token9" * k, lambda k: ("token " + "x " * 200) * (k // 50), lambda k: ("token" + "x1" * 150) * (k // 50), lambda k: "password=abcdefghijkl " * (k // 4)):
+        small, large = min(took(make(5000)) for _ in range(2)), took(make(50_000))
+        assert large < 30 * small + 0.3
