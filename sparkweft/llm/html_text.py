@@ -17,8 +17,8 @@ is a mirror, too, and stays.
 Large hosts are dealt into shards of about ``SHARD`` characters by their
 text's hash, each with a suffix array of its own. A substring common on the
 host is as common in one of its shards at least; so the shards' common
-substrings are the candidates, all shards count the candidates, and the sums
-decide. The result does not depend on the shards.
+substrings are the candidates, every distinct page of the host is searched for
+them, and the sums decide. The result does not depend on the shards.
 
 Tags are hints: where a page has article elements, text is what stands in
 them (else in main, else anywhere). Menus, headers and footers of a page,
@@ -297,43 +297,56 @@ def tokens_of(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 _COUNTS = pa.schema([("host", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _common_here(asked: bool):
-    """Shards sorted by host, shard and content: long substrings with their pages in the shard; either those common there, or those asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _common_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards sorted by host, shard and content: long substrings that are as common there as on the whole host, at least, with their pages in the shard."""
+    import zstandard
 
-        press = zstandard.ZstdDecompressor()
+    press = zstandard.ZstdDecompressor()
 
-        def close(host: str, pages: list, many: int, known) -> Iterator[pa.RecordBatch]:
-            tokens, sizes, cuts = tokens_of(pages)
-            per = np.array([sizes[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:])], np.int64)
-            page = np.repeat(np.arange(len(pages)), per)
-            at, n = page_counts(tokens, page, np.cumsum(per)[page] if len(page) else page)
-            if not len(at):
-                return
+    def close(host: str, pages: list, many: int) -> Iterator[pa.RecordBatch]:
+        tokens, sizes, cuts = tokens_of(pages)
+        per = np.array([sizes[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:])], np.int64)
+        page = np.repeat(np.arange(len(pages)), per)
+        at, n = page_counts(tokens, page, np.cumsum(per)[page] if len(page) else page)
+        keep = n * many >= least(many) * len(pages)
+        if keep.any():
             with np.errstate(over="ignore"):
-                hashes = grams(tokens, LONG)[at].view(np.int64)
-            # As common here as on the whole host, at least.
-            keep = np.isin(hashes, np.array(known, np.int64)) if asked else n * many >= least(many) * len(pages)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array([host] * int(keep.sum()), pa.string()), pa.array(hashes[keep]), pa.array(n[keep])], schema=_COUNTS)
-
-        now, last, pages, many, known = None, None, [], 0, None
-        for batch in batches:
-            lists = rows_of(batch, "known") if asked else [None] * len(batch)
-            for host, shard, content, pages_of_host, blob, names in zip(*(rows_of(batch, c).to_pylist() for c in ("host", "shard", "content", "pages", "blob")), lists):
-                if (host, shard) != now:
-                    if pages:
-                        yield from close(now[0], pages, many, known)
-                    now, last, pages, many, known = (host, shard), None, [], pages_of_host, names.as_py() if asked else None
-                if content != last:
-                    last = content
-                    pages.append(unpack(blob, press))
-        if pages:
-            yield from close(now[0], pages, many, known)
-
-    return run
+                hashes = grams(tokens, LONG)[at[keep]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(hashes), pa.string()), pa.array(hashes), pa.array(n[keep])], schema=_COUNTS)
+
+    now, last, pages, many = None, None, [], 0
+    for batch in batches:
+        for host, shard, content, pages_of_host, blob in zip(*(rows_of(batch, c).to_pylist() for c in ("host", "shard", "content", "pages", "blob"))):
+            if (host, shard) != now:
+                if pages:
+                    yield from close(now[0], pages, many)
+                now, last, pages, many = (host, shard), None, [], pages_of_host
+            if content != last:
+                last = content
+                pages.append(unpack(blob, press))
+    if pages:
+        yield from close(now[0], pages, many)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of its host's sorted candidates each page holds, by their places in that list; pages that hold none are left out."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rows, places = [], []
+        tokens, sizes, cuts = tokens_of([unpack(b, press) for b in rows_of(batch, "blob").to_pylist()])
+        first = np.concatenate(([0], np.cumsum(sizes)))[cuts]
+        with np.errstate(over="ignore"):
+            hashes = grams(tokens, LONG).view(np.int64)
+        for i, known in enumerate(rows_of(batch, "known")):
+            names, mine = known.values.to_numpy(), np.unique(hashes[first[i] : max(first[i], first[i + 1] - LONG + 1)])
+            at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            if (hit := names[at] == mine).any():
+                rows.append(i)
+                places.append(at[hit].astype(np.int32))
+        keep = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([rows_of(batch, "host").take(keep), rows_of(batch, "content").take(keep), pa.array(places, pa.list_(pa.int32()))], names=["host", "content", "held"])
 
 
 def least(pages: int) -> int:
@@ -376,17 +389,15 @@ def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     hosts = stored(counted.join(sizes, "host").where(F.col("pages") >= FEWEST).withColumn("shards", F.greatest("shards", F.lit(1))), "hosts")
     many = hosts.count()
 
-    def dealt(told: DataFrame, few: int, most: int) -> DataFrame:
-        there = once.select("host", "content", "blob").join(_few(told, few, most), "host").withColumn("shard", F.pmod("content", F.col("shards")))
-        return there.repartition("host", "shard").sortWithinPartitions("host", "shard", "content")
-
-    counts = "host string, gram long, n long"
-    here = stored(dealt(hosts, many, FEW_HOSTS).mapInArrow(lean(_common_here(False)), counts).join(_few(hosts, many, FEW_HOSTS), "host"), "candidates")
-    # Hosts of several shards: all shards count what any of them holds common.
-    asked = here.where("shards > 1").groupBy("host", "pages", "shards").agg(F.array_sort(F.collect_set("gram")).alias("known"))
-    asked = stored(asked, "asked")
+    there = once.select("host", "content", "blob").join(_few(hosts, many, FEW_HOSTS), "host").withColumn("shard", F.pmod("content", F.col("shards")))
+    dealt = there.repartition("host", "shard").sortWithinPartitions("host", "shard", "content")
+    here = stored(dealt.mapInArrow(lean(_common_here), "host string, gram long, n long").join(_few(hosts, many, FEW_HOSTS), "host"), "candidates")
+    # Hosts of several shards: what any shard holds common is looked for in every distinct page.
+    asked = stored(here.where("shards > 1").groupBy("host", "pages").agg(F.array_sort(F.collect_set("gram")).alias("known")), "asked")
     told = asked.agg(F.sum(F.size("known")).alias("n")).first().n or 0
-    sums = dealt(asked, told, FEW_WINDOWS).mapInArrow(lean(_common_here(True)), counts).groupBy("host", "gram").agg(F.sum("n").alias("n")).join(_few(hosts, many, FEW_HOSTS), "host") if told else here.limit(0)
+    held = once.select("host", "content", "blob").join(_few(asked, told, FEW_WINDOWS), "host").mapInArrow(lean(_held), "host string, content long, held array<int>")
+    sums = held.distinct().select("host", F.explode("held").alias("at")).groupBy("host", "at").agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.join(asked.select("host", "pages", F.posexplode("known").alias("at", "gram")), ["host", "at"])
     cols = ["host", "gram", "n", "pages"]
     common = here.where("shards = 1").select(cols).unionByName(sums.select(cols))
     common = common.where(F.col("n") >= F.greatest(F.lit(FEWEST), F.ceil(F.lit(COMMON) * F.col("pages"))))
