@@ -1,23 +1,24 @@
 """Language identification by cross-parsing entropy (operator 3).
 
 For every language a suffix automaton is built of a bounded sample of its
-labelled text: ``rows_each`` training rows of smallest id hash, their first
-``chars_row`` characters, ``chars_each`` in all. A text is parsed greedily
-against each automaton into the longest phrases that the sample holds; the
-language that needs the fewest phrases a character wins (ties: the first name).
+labelled text: the whole texts of ``rows_each`` training rows of smallest id
+hash. A text is parsed greedily against each automaton into the longest
+phrases that the sample holds; the language that needs the fewest phrases a
+character wins (ties: the first name).
 
 The parse is run in lockstep over pieces of ``PIECE`` characters, which cover
 whole texts; a phrase ends with its piece. Case is folded and whatever is no
-letter reads as a blank. Null texts and texts without a letter are ``und``
-with score 0, as is everything if no row has a label. The score is the
-distance between the best and the second language over the second's phrases
-(over one phrase a character if only one language was learned). Each row is
-predicted by its text alone; other columns are ignored but for the split.
+letter reads as a blank. The automata's transitions are one hash table, in
+proportion to the samples whatever the alphabets. Null texts and texts without
+a letter are ``und`` with score 0, as is everything if no row has a label. The
+score is the distance between the best and the second language over the
+second's phrases (over one phrase a character if only one language was
+learned). Each row is predicted by its text alone; other columns are ignored
+but for the split.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from sparkweft.llm.common import lean, null_as_empty, rows_of
 
 PIECE = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -65,54 +65,94 @@ def normal(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Parser:
-    """All languages' automata in one table of next places.
+class Transitions:
+    """A hash table from (state, symbol), as one integer, to the next state; open places, linear probing."""
+
+    EMPTY, ODD = np.int64(-1), np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, cells: np.ndarray, states: np.ndarray):
+        bits = max(4, int(2 * len(cells)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.cells, self.states = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
+        at, left = self.home(cells), np.arange(len(cells))
+        while len(left):
+            # Of those that want one free place, one gets it; the others go on to the next.
+            want = np.where(self.cells[at] == self.EMPTY, at, -1)
+            places, who = np.unique(want, return_index=True)
+            places, who = places[places >= 0], who[places >= 0]
+            self.cells[places], self.states[places] = cells[left[who]], states[left[who]]
+            rest = np.ones(len(left), bool)
+            rest[who] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def home(self, cells: np.ndarray) -> np.ndarray:
+        return ((cells.view(np.uint64) * self.ODD) >> self.shift).view(np.int64)
+
+    def find(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, found) of cells."""
+        at = self.home(cells)
+        held = self.cells[at]
+        found, out = held == cells, self.states[at]
+        on = np.flatnonzero(~found & (held != self.EMPTY))
+        at = at[on]
+        while len(on):
+            at = (at + 1) & self.mask
+            held = self.cells[at]
+            hit = held == cells[on]
+            out[on[hit]] = self.states[at[hit]]
+            found[on[hit]] = True
+            more = ~hit & (held != self.EMPTY)
+            on, at = on[more], at[more]
+        return out, found
+
 
-    A place is a row's offset, so that adding a symbol names a cell. A cell
-    holds the next place; where no phrase goes on, it holds the complement of
-    the place after a fresh start with this symbol.
-    """
+class Parser:
+    """All languages' automata in one table of transitions."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         texts = {k: normal(v) for k, v in samples.items()}
         letters = sorted({c for t in texts.values() for c in np.unique(t).tolist() if chr(c).isalpha()})
         # Symbol 0 is any letter that no sample has, 1 the blank, the last pads.
-        self.code = np.ones(0x110000 + 1, np.int16)
+        self.code = np.ones(0x110000 + 1, np.int32)
         self.code[[c for c in range(0x40000) if chr(c).isalpha()]] = 0
         for i, c in enumerate(letters):
             self.code[c] = i + 2
         self.width = len(letters) + 3
         self.pad = self.width - 1
-        tables, self.roots, base = [], [], 0
-        for name in self.languages:
+        cells, states, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+        self.roots = np.zeros(len(self.languages), np.int32)
+        # Where a phrase starts with each symbol: the root's next state, or the root.
+        self.starts = np.zeros((len(self.languages), self.width), np.int32)
+        for k, name in enumerate(self.languages):
             step = suffix_automaton(self.code[texts[name]].tolist())
-            t = np.full((len(step), self.width), -1, np.int64)
-            for s, go in enumerate(step):
-                for c, to in go.items():
-                    t[s, c] = to
-            start = np.where(t[0] < 0, 0, t[0])
-            t = np.where(t < 0, ~(start[None, :] * self.width + base), t * self.width + base)
-            t[:, self.pad] = np.arange(len(step)) * self.width + base
-            tables.append(t.ravel())
-            self.roots.append(base)
-            base += t.size
-        self.table = np.concatenate(tables).astype(np.int32 if base < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
+            self.roots[k] = base
+            self.starts[k] = base
+            for c, to in step[0].items():
+                self.starts[k, c] = base + to
+            size = sum(map(len, step))
+            cells.append(np.fromiter(((s + base) * self.width + c for s, go in enumerate(step) for c in go), np.int64, size))
+            states.append(np.fromiter((to + base for go in step for to in go.values()), np.int32, size))
+            base += len(step)
+        self.table = Transitions(np.concatenate(cells), np.concatenate(states))
 
     def phrases(self, pieces: np.ndarray) -> np.ndarray:
         """Phrases of every piece (columns) in every language (rows); pieces has one symbol a row."""
-        n = pieces.shape[1]
-        at = np.repeat(np.array(self.roots, self.table.dtype)[:, None], n, axis=1)
-        count = np.zeros(at.shape, self.table.dtype)
-        cell, sign = np.empty_like(at), np.empty_like(at)
-        bits = self.table.itemsize * 8 - 1
+        n, many = pieces.shape[1], len(self.languages)
+        at = np.repeat(self.roots[:, None], n, axis=1).ravel()
+        count = np.ones(many * n, np.int32)
+        language = np.repeat(np.arange(many), n)
         for row in pieces:
-            np.add(at, row, out=cell)
-            np.take(self.table, cell, out=at)
-            np.right_shift(at, bits, out=sign)
-            np.subtract(count, sign, out=count)
-            np.bitwise_xor(at, sign, out=at)
-        return count + 1
+            symbols = np.tile(row, many)
+            to, found = self.table.find(at.astype(np.int64) * self.width + symbols)
+            lost = np.flatnonzero(~found)
+            to[lost] = self.starts[language[lost], symbols[lost]]
+            ends = symbols == self.pad
+            to[ends] = at[ends]
+            found |= ends
+            count += ~found
+            at = to
+        return count.reshape(many, n)
 
     def rates(self, texts: list[str], many: int = 4096) -> np.ndarray:
         """Phrases a character of every text in every language."""
@@ -135,7 +175,7 @@ class Parser:
             sizes[i] = len(s)
             rows = -(-len(s) // PIECE)
             if rows:
-                flat = np.full(rows * PIECE, self.pad, self.table.dtype)
+                flat = np.full(rows * PIECE, self.pad, np.int32)
                 flat[: len(s)] = s
                 # Long texts go by parts, so that a batch of pieces stays small.
                 for lo in range(0, rows, many):
@@ -149,7 +189,7 @@ class Parser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """(language, score, phrases a character) of every text."""
-        asked = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         names, scores, best = ["und"] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         rates = self.rates([texts[i] for i in asked])
         if asked:
@@ -165,17 +205,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def samples(docs: DataFrame, rows_each: int = 48, chars_row: int = 1500, chars_each: int = 24_000) -> dict[str, str]:
-    """Training text of every language: a bounded number of characters reaches the driver."""
+def samples(docs: DataFrame, rows_each: int = 24) -> dict[str, str]:
+    """Training text of every language: the whole texts of a bounded number of rows reach the driver."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key = F.xxhash64("doc_id")
-    first = train.select("lang", F.substring("text", 1, chars_row).alias("text"), key.alias("key"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    rows = first.withColumn("nth", rank).where(F.col("nth") <= rows_each).collect()
-    out: dict[str, str] = {}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))
+    rows = train.select("doc_id", "lang", "text").withColumn("nth", rank).where(F.col("nth") <= rows_each).collect()
+    out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.nth)):
-        out[r.lang] = (out.get(r.lang, "") + r.text + "\n")[:chars_each]
-    return out
+        out.setdefault(r.lang, []).append(r.text + "\n")
+    return {k: "".join(v) for k, v in out.items()}
 
 
 def trained(docs: DataFrame, **limits: int):

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkweft.llm.language_id import PIECE, Parser, held_out, identify, keep_identified, suffix_automaton
+from sparkweft.llm.language_id import PIECE, Parser, Transitions, held_out, identify, keep_identified, suffix_automaton
 
 SAMPLES = {"en": "the quick brown fox jumps over the lazy dog and then the other things", "de": "der schnelle braune fuchs springt über den faulen hund und dann die anderen", "fr": "le renard brun rapide saute par dessus le chien paresseux et puis les autres"}
 
@@ -58,14 +58,14 @@ def test_parse(seed):
 
 def test_rows(spark):
     rows = [(i, SAMPLES[k], k, "x") for i, k in enumerate(list(SAMPLES) * 6)]
-    rows += [(100, None, "en", ""), (101, "", "de", ""), (102, "12 34 !", "fr", ""), (103, "THE FOX", None, ""), (None, "der hund", None, ""), (0, "über den hund", "fr", "")]
+    rows += [(100, None, "en", ""), (101, "", "de", ""), (102, "12 34 !", "fr", ""), (104, "½ ² Ⅷ", "fr", ""), (103, "THE FOX", None, ""), (None, "der hund", None, ""), (0, "über den hund", "fr", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = [tuple(r)[:4] for r in identify(df).collect()]
     assert len(got) == len(rows)
     by = {(r[0], r[2]) for r in got}
-    assert {(100, "und"), (101, "und"), (102, "und"), (103, "en"), (None, "de")} <= by
+    assert {(100, "und"), (101, "und"), (102, "und"), (104, "und"), (103, "en"), (None, "de")} <= by
     assert all(0 <= r[3] <= 1 for r in got)
-    assert {r[0] for r in keep_identified(df).collect()}.isdisjoint({100, 101, 102})
+    assert {r[0] for r in keep_identified(df).collect()}.isdisjoint({100, 101, 102, 104})
     assert {r[2] for r in identify(df.withColumn("lang", df.lang.substr(9, 9).cast("string")).where("lang is null")).collect()} <= {"und"}
     assert identify(df.limit(0)).count() == 0
 
@@ -75,3 +75,27 @@ def test_held_out_accuracy(spark, sf_dir):
     got = identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert got and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
     assert docs.where(held_out(docs.doc_id)).count() == len(got)
+
+
+def test_transitions():
+    r = np.random.default_rng(4)
+    cells = np.unique(r.integers(0, 1 << 40, 5000))
+    t = Transitions(cells, np.arange(len(cells), dtype=np.int32))
+    asked = np.concatenate((cells, r.integers(0, 1 << 40, 5000)))
+    to, found = t.find(asked)
+    assert (found == np.isin(asked, cells)).all() and (cells[to[found]] == asked[found]).all()
+    assert not Transitions(cells[:0], np.zeros(0, np.int32)).find(asked)[1].any()
+
+
+def test_table_grows_with_the_sample_alone():
+    """An alphabet of thousands of letters costs no more than its transitions."""
+    text = "".join(chr(0x4E00 + i * 7919 % 9000) for i in range(9000))
+    p = Parser({"zh": text, "en": SAMPLES["en"]})
+    assert len(p.table.cells) <= 8 * 3 * len(text) and p.predict([text[100:300], "the lazy dog"])[0] == ["zh", "en"]
+
+
+def test_long_text():
+    p = Parser(SAMPLES)
+    text = "der faule hund springt " * 50_000
+    names, scores, rates = p.predict([text, text[:23_000], "1" * 10**6])
+    assert names == ["de", "de", "und"] and abs(rates[0] - rates[1]) < 1e-3 and scores[2] == 0
