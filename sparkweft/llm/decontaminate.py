@@ -2,9 +2,13 @@
 
 Words of texts and items are made canonical: case is folded, and numbers,
 names (capitalised words inside a sentence) and units after a number become
-typed placeholders. Every window of ``WINDOW`` template words is hashed. A
-bitmap of fixed size holds the benchmark's windows, so that only hits leave
-the pass over the texts; hits join the benchmark's windows by hash. Hits at
+typed placeholders. Every window of ``WINDOW`` template words is hashed; one of
+nothing but placeholders says nothing of a question and is hashed by its values
+instead, so that a table of numbers meets only the same numbers. A bitmap of
+fixed size holds the benchmark's windows, so that only hits leave the pass over
+the texts; where a text repeats one window on end, only as many of its first
+and last places leave as any item has on end, for the places between can add
+nothing to them. Hits join the benchmark's windows by hash. Hits at
 consecutive places of the item on one diagonal (text position less item
 position) are a run, and its slots must be consistent: one value of the item
 stands for one value in the text. A re-parameterised question passes, a chance
@@ -13,8 +17,9 @@ likeness does not. Consistent runs on diagonals nearby are one occurrence.
 An item stands in a text if an occurrence has at least half of its windows, or
 if one of its consistent runs has 13 words, whatever else hits. Items and texts of fewer words than a window
 are compared whole. Null and empty texts hold nothing, and such items are in
-no text. Rows are judged each on its own, repeated ones too; other columns
-are ignored.
+no text. A row is judged by its id and text: rows that repeat both share one
+row of the result, and ``clean`` drops or keeps them alike. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +34,21 @@ from pyspark.sql import functions as F
 from sparkweft.llm.common import BITS, LOWER, byte_view, drop_rows, grams, lean, null_as_empty, rows_of, sequence_hash, slices, stored, words
 
 WINDOW, RUN = 8, 13
+#: Windows of a benchmark that may be broadcast: some 200 bytes each.
+FEW_WINDOWS = 500_000
 #: Diagonals at most so far apart belong to one occurrence.
 NEAR = 8
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Words that are units when a number stands before them.
 UNITS = (
-    "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ounce ounces gram grams ton tons tonne tonnes pound pounds "
-    "ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months "
-    "year years dollar dollars cent cents euro euros usd eur percent degree degrees meter meters metre metres kilometer kilometers kilometre "
-    "kilometres centimeter centimeters centimetre centimetres kilogram kilograms mph kmh watt watts volt volts"
-).split()
+    "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles",
+    "mg", "g", "kg", "lb", "lbs", "oz", "ounce", "ounces", "gram", "grams", "ton", "tons", "tonne", "tonnes", "pound", "pounds",
+    "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "cup", "cups",
+    "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
+    "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "percent", "degree", "degrees",
+    "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "centimeter", "centimeters", "centimetre", "centimetres",
+    "kilogram", "kilograms", "mph", "kmh", "watt", "watts", "volt", "volts",
+)
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -97,7 +107,27 @@ _HIT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()),
 _HIT_SQL = "key long, id long, hash long, pos long, slots array<long>, windows long"
 
 
-def _windows(bits=None):
+def window_hashes(t: np.ndarray, value: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Hash of every window: of its template words, or of its values where all are slots."""
+    g = grams(t, WINDOW)
+    if len(g):
+        many = np.concatenate(([0], np.cumsum(slot)))
+        bare = many[WINDOW:] - many[:-WINDOW] == WINDOW
+        if bare.any():
+            g = np.where(bare, ~grams(value, WINDOW), g)
+    return g
+
+
+def ends_of_runs(keep: np.ndarray, g: np.ndarray, whole: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
+    """Of whole windows that follow each other with one hash in one text, the first and the last ``most`` alone."""
+    same = np.concatenate(([False], (g[1:] == g[:-1]) & (owner[1:] == owner[:-1]) & whole[1:] & whole[:-1]))
+    begin = np.flatnonzero(~same)
+    size = np.diff(np.append(begin, len(g)))
+    nth = np.arange(len(g)) - np.repeat(begin, size)
+    return keep & ((nth < most) | (nth >= np.repeat(size, size) - most))
+
+
+def _windows(bits=None, most: int = 0):
     """Windows of every text (columns key, id, text): all of them, or those in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,18 +138,20 @@ def _windows(bits=None):
                 raw, ends = byte_view(part)
                 with np.errstate(over="ignore"):
                     t, value, slot, first = template(raw, ends)
-                    g = grams(t, WINDOW)
+                    g = window_hashes(t, value, slot)
                 size = np.diff(first)
                 owner = np.repeat(np.arange(len(part)), size)[: len(g)]
                 inside = np.arange(len(g)) + WINDOW <= first[owner + 1]
                 if held is not None:
                     place = (g & np.uint64(BITS - 1)).astype(np.int64)
                     inside &= (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                    if inside.any():
+                        inside = ends_of_runs(inside, g, np.arange(len(g)) + WINDOW <= first[owner + 1], owner, most)
                 out = [(at + int(owner[w]), int(g[w : w + 1].view(np.int64)[0]), int(w - first[owner[w]]), value[w : w + WINDOW][slot[w : w + WINDOW]].view(np.int64), int(size[owner[w]]) - WINDOW + 1) for w in np.flatnonzero(inside)]
                 for i in np.flatnonzero((size > 0) & (size < WINDOW)):
                     lo, hi = first[i], first[i + 1]
                     with np.errstate(over="ignore"):
-                        h = sequence_hash(t[lo:hi])
+                        h = sequence_hash(value[lo:hi] if slot[lo:hi].all() else t[lo:hi])
                     place = int(h[0]) & (BITS - 1)
                     if held is None or held[place >> 3] >> (place & 7) & 1:
                         out.append((at + int(i), int(h.view(np.int64)[0]), 0, value[lo:hi][slot[lo:hi]].view(np.int64), 1))
@@ -152,8 +184,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = stored(items.mapInArrow(lean(_windows()), _HIT_SQL), "benchmark")
     bits = spark.sparkContext.broadcast(_bitmap(bench))
     texts = null_as_empty(with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "text")
-    hits = texts.select("key", F.col("doc_id").alias("id"), "text").mapInArrow(lean(_windows(bits)), _HIT_SQL)
+    # How often an item has one window: no fewer than follow each other in it.
+    counted = bench.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    hits = texts.select("key", F.col("doc_id").alias("id"), "text").mapInArrow(lean(_windows(bits, counted.most or 0)), _HIT_SQL)
     there = bench.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("windows").alias("item_windows"))
+    # Few windows are broadcast, so that no task gets all hits of a hash; beyond, the join moves both sides, and skewed ones are split.
+    there = F.broadcast(there) if (counted["all"] or 0) <= FEW_WINDOWS else there
     # Short texts and items have hashes of their own kind, so they meet only each other.
     pairs = hits.join(there, "hash").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.select("key", "id", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("slots"))

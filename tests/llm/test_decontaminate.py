@@ -1,7 +1,9 @@
 import random
 import re
 
-from sparkweft.llm.decontaminate import UNITS, WINDOW, clean, occurrences
+import numpy as np
+
+from sparkweft.llm.decontaminate import UNITS, WINDOW, clean, ends_of_runs, occurrences
 
 KIND = "doc_id long, text string, item_id string"
 
@@ -23,6 +25,11 @@ def canonical(text):
     return out
 
 
+def key(window):
+    """What a window is compared by: its template, or its values if all are slots."""
+    return [(k, w[1]) for k, w in enumerate(window)] if all(w[2] for w in window) else [w[0] for w in window]
+
+
 def brute(docs, items):
     found = set()
     for d, t in docs:
@@ -32,10 +39,10 @@ def brute(docs, items):
             if not b or not a:
                 continue
             if len(b) < WINDOW or len(a) < WINDOW:
-                pairs = [(0, 0)] if [x[0] for x in a] == [x[0] for x in b] and len(a) < WINDOW else []
+                pairs = [(0, 0)] if key(a) == key(b) and len(a) < WINDOW else []
                 size = len(b)
             else:
-                pairs = [(x, y) for x in range(len(a) - WINDOW + 1) for y in range(len(b) - WINDOW + 1) if [z[0] for z in a[x : x + WINDOW]] == [z[0] for z in b[y : y + WINDOW]]]
+                pairs = [(x, y) for x in range(len(a) - WINDOW + 1) for y in range(len(b) - WINDOW + 1) if key(a[x : x + WINDOW]) == key(b[y : y + WINDOW])]
                 size = WINDOW
             lines = {}
             for x, y in pairs:
@@ -124,3 +131,29 @@ def test_runs(spark):
     assert {(1, 0), (4, 2), (6, 1), (10, 0)} <= want and not {(2, 0), (5, 0), (9, 2), (11, 0)} & want
     d, b = spark.createDataFrame([(*x, "z") for x in enumerate(texts)], KIND), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in occurrences(d, b).where("contaminated").collect()} == want
+
+
+def test_tables_of_numbers(spark):
+    """Windows of numbers alone meet the same numbers only; a text that repeats a window on end yields few hits, and the item at its end is found."""
+    numbers = " ".join(str(n * n % 97) for n in range(30))
+    others = " ".join(str(n * 7 % 89) for n in range(3000))
+    spam = "again and " * 3000
+    item = "again and again and again and again and again and then the seventh of the brothers left his house and walked"
+    docs = [(1, others), (2, "see " + numbers), (3, spam), (4, spam + item), (5, item + " " + spam), (6, "7 8 9"), (7, "word " * 5000), (8, "word " * 20)]
+    items = [(0, numbers), (1, item), (2, "1 2 3"), (3, "word " * 12)]
+    d, b = spark.createDataFrame([(*x, "z") for x in docs], KIND), spark.createDataFrame(items, "item_id long, text string")
+    found = occurrences(d, b)
+    assert {(x.doc_id, x.item_id) for x in found.where("contaminated").collect()} == {(2, 0), (4, 1), (5, 1), (7, 3), (8, 3)}
+    # The first and last places of a run, not each of thousands.
+    g, owner = np.array([5, 5, 5, 5, 5, 7, 7, 5, 5, 5], np.uint64), np.array([0] * 8 + [1] * 2)
+    whole = np.array([True] * 4 + [False] + [True] * 5)
+    assert ends_of_runs(np.ones(10, bool), g, np.ones(10, bool), owner, 2).tolist() == [True, True, False, True, True, True, True, True, True, True]
+    assert ends_of_runs(np.ones(10, bool), g, whole, owner, 1).tolist() == [True, False, False, True, True, True, True, True, True, True]
+
+
+def test_hot_window_and_long_text(spark):
+    """One passage in most texts and a text of very many words."""
+    docs = [(i, f"intro {i} " + ITEM) for i in range(300)] + [(999, "filler text " * 60_000 + OTHER)]
+    d, b = spark.createDataFrame([(*x, "z") for x in docs], KIND), spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    assert {x.doc_id for x in occurrences(d, b).where("contaminated").collect()} == {i for i, _ in docs}
+    assert clean(d, b).count() == 0
