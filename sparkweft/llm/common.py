@@ -49,16 +49,24 @@ def lean(f):
     return run
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark resolves it: executors open it by that name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; a private one only where none is set."""
+    """Folder that all executors share; a private one only where none is set and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkweft-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -71,7 +79,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return held_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def held_at(df: DataFrame, path: str) -> DataFrame:
+    """A frame that reads a table of ours, so that ``spent`` and ``settled`` find it."""
+    df._stored_at = path
+    if _on_the_way:
+        _on_the_way[-1].append(df)
+    return df
+
+
+#: Tables stored since each ``settled`` that runs began.
+_on_the_way: list[list[DataFrame]] = []
+
+
+def settled(make, name: str) -> DataFrame:
+    """Store the frame that ``make`` gives, then delete all tables that were stored on the way to it."""
+    _on_the_way.append([])
+    try:
+        out = stored(make(), name)
+    finally:
+        made = _on_the_way.pop()
+    spent(*(t for t in made if t is not out))
+    if _on_the_way:
+        _on_the_way[-1].append(out)
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing to come reads: what was made of them is stored itself."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            drop(df.sparkSession, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -239,6 +279,47 @@ def shingle_sets(texts: pa.Array, k: int = 5):
                     yield at + i, h[:0]
 
 
+class IntTable:
+    """A hash table from distinct non-negative integers to small ones; whole arrays are looked up at once. Open places, linear probing."""
+
+    EMPTY, ODD = np.int64(-1), np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
+        at, left = self.home(keys), np.arange(len(keys))
+        while len(left):
+            # Of those that want one free place, one gets it; the others go on to the next.
+            want = np.where(self.keys[at] == self.EMPTY, at, -1)
+            places, who = np.unique(want, return_index=True)
+            places, who = places[places >= 0], who[places >= 0]
+            self.keys[places], self.values[places] = keys[left[who]], values[left[who]]
+            rest = np.ones(len(left), bool)
+            rest[who] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.ODD) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found) of keys."""
+        at = self.home(keys)
+        held = self.keys[at]
+        found, out = held == keys, self.values[at]
+        on = np.flatnonzero(~found & (held != self.EMPTY))
+        at = at[on]
+        while len(on):
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            hit = held == keys[on]
+            out[on[hit]] = self.values[at[hit]]
+            found[on[hit]] = True
+            more = ~hit & (held != self.EMPTY)
+            on, at = on[more], at[more]
+        return out, found
+
+
 def file_bytes(df: DataFrame) -> int | None:
     """Bytes of the files that a frame reads; None where it is no plain read of one set of files."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -265,12 +346,12 @@ def local_path(uri: str) -> str:
 
 
 def open_fs(uri: str):
-    """(filesystem, path) for a folder in the shared store."""
+    """(filesystem, path) for a folder in the shared store, named with its scheme (see ``qualified``)."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
         path = os.path.normpath(uri[len("file:") :])
         return fs.LocalFileSystem(), "/" + path.lstrip("/")
     if "://" not in uri:
-        return fs.LocalFileSystem(), os.path.abspath(uri)
+        raise ValueError(f"{uri} names no file system")
     return fs.FileSystem.from_uri(uri)

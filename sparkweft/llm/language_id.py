@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import lean, null_as_empty, rows_of
+from sparkweft.llm.common import IntTable, lean, null_as_empty, rows_of
 
 PIECE = 256
 
@@ -65,47 +65,6 @@ def normal(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Transitions:
-    """A hash table from (state, symbol), as one integer, to the next state; open places, linear probing."""
-
-    EMPTY, ODD = np.int64(-1), np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, cells: np.ndarray, states: np.ndarray):
-        bits = max(4, int(2 * len(cells)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.cells, self.states = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
-        at, left = self.home(cells), np.arange(len(cells))
-        while len(left):
-            # Of those that want one free place, one gets it; the others go on to the next.
-            want = np.where(self.cells[at] == self.EMPTY, at, -1)
-            places, who = np.unique(want, return_index=True)
-            places, who = places[places >= 0], who[places >= 0]
-            self.cells[places], self.states[places] = cells[left[who]], states[left[who]]
-            rest = np.ones(len(left), bool)
-            rest[who] = False
-            left, at = left[rest], (at[rest] + 1) & self.mask
-
-    def home(self, cells: np.ndarray) -> np.ndarray:
-        return ((cells.view(np.uint64) * self.ODD) >> self.shift).view(np.int64)
-
-    def find(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, found) of cells."""
-        at = self.home(cells)
-        held = self.cells[at]
-        found, out = held == cells, self.states[at]
-        on = np.flatnonzero(~found & (held != self.EMPTY))
-        at = at[on]
-        while len(on):
-            at = (at + 1) & self.mask
-            held = self.cells[at]
-            hit = held == cells[on]
-            out[on[hit]] = self.states[at[hit]]
-            found[on[hit]] = True
-            more = ~hit & (held != self.EMPTY)
-            on, at = on[more], at[more]
-        return out, found
-
-
 class Parser:
     """All languages' automata in one table of transitions."""
 
@@ -134,7 +93,7 @@ class Parser:
             cells.append(np.fromiter(((s + base) * self.width + c for s, go in enumerate(step) for c in go), np.int64, size))
             states.append(np.fromiter((to + base for go in step for to in go.values()), np.int32, size))
             base += len(step)
-        self.table = Transitions(np.concatenate(cells), np.concatenate(states))
+        self.table = IntTable(np.concatenate(cells), np.concatenate(states))
 
     def phrases(self, pieces: np.ndarray) -> np.ndarray:
         """Phrases of every piece (columns) in every language (rows); pieces has one symbol a row."""

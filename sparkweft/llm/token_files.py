@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm.bpe import LETTER, NUMBER, PLAIN, Memo, byte_letters
-from sparkweft.llm.common import lean, mix, null_as_empty, open_fs, rows_of, scratch, sized
+from sparkweft.llm.common import lean, mix, null_as_empty, open_fs, qualified, rows_of, scratch, sized
 
 MAGIC, LEVELS = 0x7366_7469_6473_3032, 40
 #: Bytes of input files for a task and its shard, about.
@@ -219,6 +219,7 @@ _SHARD = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> list[dict]:
     """Write ``docs(doc_id, text)`` below ``folder``; the shards in order, one small dict each."""
+    folder = qualified(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from sparkweft.llm.language_id import PIECE, Parser, Transitions, held_out, identify, keep_identified, suffix_automaton
+from sparkweft.llm.common import IntTable
+from sparkweft.llm.language_id import PIECE, Parser, held_out, identify, keep_identified, suffix_automaton
 
 SAMPLES = {"en": "the quick brown fox jumps over the lazy dog and then the other things", "de": "der schnelle braune fuchs springt über den faulen hund und dann die anderen", "fr": "le renard brun rapide saute par dessus le chien paresseux et puis les autres"}
 
@@ -77,21 +78,21 @@ def test_held_out_accuracy(spark, sf_dir):
     assert docs.where(held_out(docs.doc_id)).count() == len(got)
 
 
-def test_transitions():
+def test_table():
     r = np.random.default_rng(4)
     cells = np.unique(r.integers(0, 1 << 40, 5000))
-    t = Transitions(cells, np.arange(len(cells), dtype=np.int32))
+    t = IntTable(cells, np.arange(len(cells), dtype=np.int32))
     asked = np.concatenate((cells, r.integers(0, 1 << 40, 5000)))
     to, found = t.find(asked)
     assert (found == np.isin(asked, cells)).all() and (cells[to[found]] == asked[found]).all()
-    assert not Transitions(cells[:0], np.zeros(0, np.int32)).find(asked)[1].any()
+    assert not IntTable(cells[:0], np.zeros(0, np.int32)).find(asked)[1].any()
 
 
 def test_table_grows_with_the_sample_alone():
     """An alphabet of thousands of letters costs no more than its transitions."""
     text = "".join(chr(0x4E00 + i * 7919 % 9000) for i in range(9000))
     p = Parser({"zh": text, "en": SAMPLES["en"]})
-    assert len(p.table.cells) <= 8 * 3 * len(text) and p.predict([text[100:300], "the lazy dog"])[0] == ["zh", "en"]
+    assert len(p.table.keys) <= 8 * 3 * len(text) and p.predict([text[100:300], "the lazy dog"])[0] == ["zh", "en"]
 
 
 def test_long_text():
