@@ -1,7 +1,10 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is a handful of joins and minima whose result is written to the
-shared folder, so a lost executor costs a round's tasks, not the loop.
+shared folder, so a lost executor costs a round's tasks, not the loop; the
+round before is deleted then. A hub's edges are never gathered: minima are
+taken before they are moved, and the few nodes of very many edges meet theirs
+by a broadcast, where they lie.
 """
 
 from __future__ import annotations
@@ -9,39 +12,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import stored
+from sparkweft.llm.common import spent, stored
 
+#: A hub has this many edges, and at least one in ``HUBS`` of all: so hubs are ``2 * HUBS`` at most.
+HUB_EDGES, HUBS = 1000, 50_000
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def _with_low(e: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``e`` and its u's least neighbour m, of ``low(u, m, edges)``; n: the number of edges."""
+    least = max(HUB_EDGES, n // HUBS)
+    hubs = F.broadcast(low.where(F.col("edges") >= least).select("u", "m"))
+    told = e.join(hubs, "u", "left")
+    rest = told.where("m is null").drop("m").join(low.where(F.col("edges") < least).select("u", "m"), "u")
+    return told.where("m is not null").unionByName(rest)
+
+
+def _low(e: DataFrame) -> DataFrame:
+    return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges"))
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _low(both).select("u", F.least("m", "u").alias("m"), "edges")
+    return _with_low(both.where("v > u"), low, 2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    pairs = down.join(low, "u")
-    kept = pairs.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _low(down)
+    kept = _with_low(down, low, n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; root is the smallest node of its component.
 
-    Self-loops only name a node that has no other edge; nulls are dropped. An
-    empty table gives an empty result.
+    Self-loops and edges with a null are dropped. An empty table gives an
+    empty result.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna()
     e = stored(edges.where("u != v").distinct(), "edges")
-    before = None
+    before, n = None, e.count()
     for _ in range(max_rounds):
-        e = stored(_small_star(_large_star(e)), "stars")
+        new = stored(_small_star(_large_star(e, n), n), "stars")
+        spent(e)
+        e = new
         # A sum over hashes moves whenever any edge does.
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

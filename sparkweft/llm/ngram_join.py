@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import drop, lean, mix, null_as_empty, possibly_in, rows_of, scratch, shared_dir, shingle_sets, sized, stored
+from sparkweft.llm.common import drop, held_at, lean, mix, null_as_empty, possibly_in, rows_of, scratch, shared_dir, shingle_sets, sized, spent, stored
 from sparkweft.llm.components import components
 
 _FIRST = "kind int, key long, doc_id long, n long, cls long, bucket int, blob binary"
@@ -417,7 +417,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
 
     path = scratch(spark, "shingles")
     docs.mapInArrow(lean(_scan(k, percent, buckets)), _FIRST).write.partitionBy("kind").parquet(path)
-    first = spark.read.schema(_FIRST).parquet(path)
+    first = held_at(spark.read.schema(_FIRST).parquet(path), path)
     rows = first.where("kind = 0").select("key", "doc_id", "n", "cls")
     packed = first.where("kind = 1").select("bucket", "blob")
     known = first.where("kind = 2").select("blob")
@@ -428,16 +428,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.min("doc_id").alias("low"))
     need = classes.select("cls", entries_needed(F.col("n"), percent).alias("need"))
-    able = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).join(need, "cls").where("held >= need").select("cls", "need")
-    left = shared.join(stored(able, "able"), "cls")
+    able = stored(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).join(need, "cls").where("held >= need").select("cls", "need"), "able")
+    left = shared.join(able, "cls")
     # In order of how many hold an entry, two linked sets still meet if each leaves out its need - 1 commonest entries.
     own = Window.partitionBy("cls")
     often = left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "token")
     left = often.withColumn("held", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("often"), F.desc("token")))).where("held >= need and nth >= need").select("token", "cls")
     left = stored(left, "entries")
+    spent(shared, able)
     roots = left.groupBy("token").agg(F.min("cls").alias("root"), F.max("cls").alias("top")).where("root < top").select("token", "root")
     edges = left.join(roots, "token").where("cls != root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
     blocks = components(edges)
+    spent(left)
 
     counted = blocks.join(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "root")
     members = counted.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(classes.select("cls", "key"), "cls")

@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from sparkweft.llm import language_id
-from sparkweft.llm.common import stored
+from sparkweft.llm.common import shared_dir, stored
 from sparkweft.llm.secret_scan import Novelty, find_spans
 from tests.llm import brute, test_decontaminate
 
@@ -23,6 +23,50 @@ def test_edge_rows(spark, sf_dir):
     assert P.drop_near_duplicates(spark, two.limit(0), sf_dir).count() == 0
 
 
+def test_edge_rows_of_later_stages(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns through stages 3 to 5."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    key = "password=b7db7aa4a5fcc78305"
+    long = "many plain words follow here " * 20_000
+    rows = [
+        (1, "clean text", "en", "s", 10), (1, "clean text", "en", "s", 10), (2, None, None, None, None), (3, "", None, "s", 0), (None, f"x {key} y", "de", None, None), (None, f"x {key} y", "de", None, None),
+        (4, "before " + item + " after", "en", "s", 7), (4, "the same id over another text", "en", "s", 7), (5, long + key, None, "s", None), (6, long + item, "en", "s", 1),
+    ]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], KIND + ", key string, novelty int")
+    three = stored(P.remove_benchmark(spark, docs, sf_dir), "t")
+    want = [r for r in rows if not (r[1] or "").endswith((item, item + " after"))]
+    assert three.columns == P.COLUMNS and sorted(map(tuple, three.collect()), key=str) == sorted(want, key=str) and len(want) == 8
+    four = stored(P.redact_secrets(spark, three, sf_dir), "t")
+    clean = [(d, t.replace(key, "[secret]"), lang, s, len(t.replace(key, "[secret]"))) if t and key in t else (d, t, lang, s, n) for d, t, lang, s, n in want]
+    assert four.columns == P.COLUMNS and sorted(map(tuple, four.collect()), key=str) == sorted(clean, key=str)
+    five = P.encode_tokens(spark, four, sf_dir).collect()
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(((r.doc_id, r.n_tokens) for r in five), key=str) == sorted(((d, len(lib.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in clean), key=str)
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS).limit(0)
+    for _, stage in P.STAGES:
+        at = stage(spark, docs, sf_dir)
+        assert at.count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS).limit(50)
+    assert P.remove_benchmark(spark, full, str(tmp_path)).count() == 50
+
+
+def test_what_is_stored_on_the_way_goes(spark, sf_dir):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = P.run(spark, sf_dir)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and out.count() > 0
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS)
     rows = [tuple(r) for r in docs.collect()]
