@@ -1,8 +1,9 @@
 """A corpus pipeline over ``documents``: five stages, each one operator applied to all its predecessor kept.
 
 Every stage takes ``(spark, docs, sf_dir)``. Between stages the rows are
-written as Parquet below the shared folder and read again. All stages but the
-last return the columns of ``documents``.
+written as Parquet below the shared folder and read again; what a stage stored
+on its way, and its input, is deleted then. All stages but the last return the
+columns of ``documents``.
 
 1. language_id (operator 3): texts in which no language is found go.
 2. ngram_jaccard_join (7): of each group of near duplicates (word 5-grams,
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import bpe, decontaminate, language_id, ngram_join, secret_scan
-from sparkweft.llm.common import drop_rows, read_table, small_batches, stored
+from sparkweft.llm.common import drop_rows, read_table, settled, small_batches, spent, stored
 from sparkweft.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -82,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        spent(before)
     return STAGES[-1][1](spark, docs, sf_dir)
