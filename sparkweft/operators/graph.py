@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.sources.store import stored
+from sparkweft.sources.store import spent, stored
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -126,16 +126,20 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, component): labels spread to neighbours and jump to their label's label until none moves."""
-    adj = adjacency(edges).select("node", "nbr")
+    adj = stored(adjacency(edges).select("node", "nbr"), "adjacency")
     lab = stored(adj.groupBy("node").agg(F.min("nbr").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(most):
         near = adj.join(lab.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
         low = lab.join(near, "node").select("node", "component", F.least("component", "c").alias("low"))
         jump = low.alias("a").join(low.select(F.col("node").alias("n2"), F.col("low").alias("far")), F.col("low") == F.col("n2"), "left")
         new = stored(jump.select("node", F.col("component").alias("old"), F.least("low", F.coalesce("far", "low")).alias("component")), "labels")
+        spent(lab)
+        settled = new.where("old <> component").isEmpty()
         lab = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
+        if settled:
+            spent(adj)
             return lab
+        lab._stored_at = new._stored_at
     raise RuntimeError("components did not settle")
 
 

@@ -1,42 +1,94 @@
-"""BM25 over exploded postings."""
+"""BM25 over stored postings.
+
+An index is built once: postings, the words with their inverse document
+frequency, and one row about the corpus. Saved, postings and words lie in
+files by a hash of the word, so that a query reads the buckets of its words
+alone. ``about`` tells the state of what was indexed; an index of another
+state is stale and is not loaded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def index(docs: DataFrame, terms: str = "terms") -> tuple[DataFrame, DataFrame]:
-    """(postings(term, id, tf, len), corpus(n, avg_len)) of ``docs(id, terms)``."""
+@dataclass(frozen=True)
+class Index:
+    """postings(bucket, term, id, tf, len), terms(bucket, term, df, idf), corpus(n, avg_len)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+    buckets: int
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def index(docs: DataFrame, terms: str = "terms", buckets: int = 16) -> Index:
+    """An index of ``docs(id, terms)``. A negative idf becomes a share of the mean."""
     sized = docs.select("id", F.size(terms).cast("long").alias("len"), terms)
     postings = sized.select("id", "len", F.explode(terms).alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    postings = postings.select(bucket_of("term", buckets).alias("bucket"), "term", "id", "tf", "len")
+    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    return Index(postings, _weights(postings, corpus), corpus, buckets)
 
 
-def idf(postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, idf): a negative value becomes a share of the mean."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus), how="cross")
-    raw = df.select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+def _weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    df = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus), how="cross")
+    raw = df.select("bucket", "term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(F.broadcast(mean), how="cross").select("bucket", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def save(ix: Index, path: str, about: str = "") -> Index:
+    """Write an index below a folder; what is read back. The words are weighed from the postings as written."""
+    spark = ix.postings.sparkSession
+    ix.postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    ix.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    postings, corpus = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
+    _weights(postings, corpus).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    spark.createDataFrame([(ix.buckets, about)], "buckets int, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return load(spark, path, about)
 
 
-def scores(docs: DataFrame, query: DataFrame, terms: str = "terms") -> DataFrame:
-    """(id, raw) of documents that hold a word of ``query(term)``; a word asked twice counts twice."""
-    postings, corpus = index(docs, terms)
-    asked = query.groupBy("term").agg(F.count(F.lit(1)).alias("qf")).join(idf(postings, corpus), "term")
-    hit = postings.join(F.broadcast(asked), "term").join(F.broadcast(corpus), how="cross")
+def load(spark: SparkSession, path: str, about: str | None = None) -> Index:
+    """A saved index; fails if it was made of another state than ``about``."""
+    told = spark.read.schema("buckets int, about string").parquet(f"{path}/about").first()
+    if about is not None and told.about != about:
+        raise ValueError(f"the index at {path} is stale")
+    # Types of the ids are those of the documents.
+    postings = spark.read.parquet(f"{path}/postings")
+    terms = spark.read.schema("term string, df bigint, idf double, bucket int").parquet(f"{path}/terms")
+    return Index(postings, terms, spark.read.schema("n bigint, avg_len double").parquet(f"{path}/corpus"), told.buckets)
+
+
+def top_each(ix: Index, query: DataFrame, k: int) -> DataFrame:
+    """(kw, id, score) for every keyword of ``query(kw, term)``: scores above 0 over the keyword's greatest, its k best. A word asked twice counts twice."""
+    asked = query.groupBy("kw", "term").agg(F.count(F.lit(1)).alias("qf"))
+    words = sorted({r.term for r in asked.select("term").distinct().collect()})  # a query's few words
+    spark = ix.postings.sparkSession
+    held = spark.createDataFrame([(w,) for w in words], "term string").select(bucket_of("term", ix.buckets).alias("b")).distinct()
+    there = F.col("bucket").isin([r.b for r in held.collect()]) & F.col("term").isin(words)
+    asked = asked.join(F.broadcast(ix.terms.where(there).select("term", "idf")), "term")
+    hit = ix.postings.where(there).join(F.broadcast(asked), "term").join(F.broadcast(ix.corpus), how="cross")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("id").agg(F.sum(part).alias("raw"))
+    raw = hit.groupBy("kw", "id").agg(F.sum(part).alias("raw")).where("raw > 0")
+    greatest = raw.groupBy("kw").agg(F.max("raw").alias("top"))
+    scored = raw.join(F.broadcast(greatest), "kw").withColumn("score", F.round(F.col("raw") / F.col("top"), 6))
+    best = F.row_number().over(Window.partitionBy("kw").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("_n", best).where(F.col("_n") <= k).select("kw", "id", "score")
 
 
-def top_k(docs: DataFrame, query: DataFrame, k: int, terms: str = "terms") -> DataFrame:
-    """(id, score): scores above 0 over the greatest, the k best."""
-    s = scores(docs, query, terms).where("raw > 0")
-    best = s.agg(F.max("raw").alias("top"))
-    return s.join(F.broadcast(best), how="cross").select("id", F.round(F.col("raw") / F.col("top"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def top_k(ix: Index, query: DataFrame, k: int) -> DataFrame:
+    """(id, score) for the words of ``query(term)``."""
+    return top_each(ix, query.select(F.lit(0).alias("kw"), "term"), k).select("id", "score")
 
 
 def weighted(semantic: DataFrame, lexical: DataFrame, alpha: float, k: int) -> DataFrame:
@@ -49,7 +101,9 @@ def weighted(semantic: DataFrame, lexical: DataFrame, alpha: float, k: int) -> D
 
 
 def rerank_aggregate(parts: DataFrame, how: str = "max") -> DataFrame:
-    """(doc, score) of scored parts ``(doc, pos, score)``: max, mean or first; an unknown way is max."""
+    """(doc, score, pos) of scored parts ``(doc, pos, score)``: max, mean or first; an unknown way is max."""
+    from sparkweft.operators.ranking import numbered
+
     s = parts.where("score is not null")
     agg = {"mean": F.avg("score"), "first": F.min_by("score", "pos")}.get(how, F.max("score"))
-    return s.groupBy("doc").agg(F.round(agg, 6).alias("score")).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "doc")).cast("long"))
+    return numbered(s.groupBy("doc").agg(F.round(agg, 6).alias("score")), F.desc("score"), "doc")

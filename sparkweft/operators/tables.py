@@ -77,10 +77,10 @@ def shown_status(status: Column, multimodal_done: Column) -> Column:
 
 
 def enqueue(new: DataFrame, known: DataFrame, summary: Column) -> DataFrame:
-    """Rows of ``new(pos, content, file_path)`` to be worked on: the first of equal contents, unless its id is known."""
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy("content").orderBy("pos"))).where("_n = 1").drop("_n")
-    rows = first.withColumn("id", F.concat(F.lit("doc-"), F.md5("content")))
-    return rows.join(known.select("id"), "id", "left_anti").select("id", "file_path", F.lit("pending").alias("status"), summary.alias("content_summary"), F.length("content").cast("long").alias("content_length"))
+    """Rows of ``new(pos, content, file_path)`` to be worked on: the first of equal contents, unless its id is known. Contents are told apart by their hashes, so no text is moved to find repeats."""
+    rows = new.select(F.concat(F.lit("doc-"), F.md5("content")).alias("id"), "pos", "file_path", summary.alias("content_summary"), F.length("content").cast("long").alias("content_length"))
+    first = rows.groupBy("id").agg(F.min(F.struct("pos", "file_path", "content_summary", "content_length")).alias("f"))
+    return first.join(known.select("id"), "id", "left_anti").select("id", "f.file_path", F.lit("pending").alias("status"), "f.content_summary", "f.content_length")
 
 
 def work_set(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,16 +71,70 @@ def bucket_count(n: int, low: int = 32, high: int = 256) -> int:
     return max(low, min(high, int(n**0.5)))
 
 
-def ivf_top_k(vectors: DataFrame, query: DataFrame, k: int, probes: int = 5, most: int = 20, factor: int = 3, threshold: float | None = None) -> DataFrame:
-    """Top-k among the buckets nearest to the query: the probes double until factor * k vectors are in reach or ``most`` buckets are."""
-    near = centroids(vectors).join(F.broadcast(query.limit(1)), how="cross").withColumn("sim", F.round(cosine(F.col("c"), F.col("q")), 6))
-    by = Window.orderBy(F.desc("sim"), "bucket")
-    near = near.withColumn("rank", F.row_number().over(by)).withColumn("reach", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = [probes]
-    while steps[-1] < most:
-        steps.append(min(most, 2 * steps[-1]))
-    # How many vectors each number of probes reaches, in one row; then the first number that is enough.
-    reach = near.agg(*[F.coalesce(F.max(F.when(F.col("rank") <= s, F.col("reach"))), F.lit(0)).alias(f"r{s}") for s in steps])
-    enough = F.coalesce(*[F.when(F.col(f"r{s}") >= factor * k, F.lit(s)) for s in steps[:-1]], F.lit(steps[-1]))
-    probed = near.join(F.broadcast(reach), how="cross").where(F.col("rank") <= enough).select("bucket")
-    return top_k(vectors.join(F.broadcast(probed), "bucket", "left_semi"), query, k, threshold)
+@dataclass(frozen=True)
+class Ivf:
+    """An inverted file: vectors(id, name, v, bucket), centroids(bucket, c, n) and how many vectors there are."""
+
+    vectors: DataFrame
+    centroids: DataFrame
+    size: int
+
+
+#: Below so many vectors an inverted file is searched whole.
+FEWEST = 1000
+
+
+def ivf_save(vectors: DataFrame, path: str, about: str = "") -> Ivf:
+    """Write ``vectors(id, name, v, bucket)`` below a folder, a directory a bucket, and the buckets' centroids; what is read back."""
+    spark = vectors.sparkSession
+    vectors.repartitionByRange("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+    kept = spark.read.schema(_filed(vectors)).parquet(f"{path}/vectors")
+    centroids(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    n = spark.read.parquet(f"{path}/centroids").agg(F.sum("n").alias("n")).first().n or 0
+    spark.createDataFrame([(n, about, _filed(vectors))], "n bigint, about string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return ivf_load(spark, path, about)
+
+
+def _filed(vectors: DataFrame) -> str:
+    """Columns of the stored vectors: the bucket is the directory, so it comes last."""
+    kinds = dict(vectors.dtypes)
+    return ", ".join(f"{c} {k}" for c, k in kinds.items() if c != "bucket") + f", bucket {kinds['bucket']}"
+
+
+def ivf_load(spark: SparkSession, path: str, about: str | None = None) -> Ivf:
+    """A saved inverted file; fails if it was made of another state than ``about``."""
+    told = spark.read.schema("n bigint, about string, kind string").parquet(f"{path}/about").first()
+    if about is not None and told.about != about:
+        raise ValueError(f"the inverted file at {path} is stale")
+    return Ivf(spark.read.schema(told.kind).parquet(f"{path}/vectors"), spark.read.schema("bucket bigint, c array<double>, n bigint").parquet(f"{path}/centroids"), told.n)
+
+
+def ivf_build(vectors: DataFrame, path: str, about: str = "", seed: int = 42) -> Ivf:
+    """An inverted file of ``vectors(id, name, v)``: k-means over their directions, as many buckets as their number asks for."""
+    return ivf_save(assign_buckets(vectors, bucket_count(vectors.count()), seed), path, about)
+
+
+def ivf_probed(ivf: Ivf, query: DataFrame, k: int, probes: int = 5, most: int = 20, factor: int = 3) -> list[int]:
+    """Buckets nearest to the query: the probes double until factor * k vectors are in reach or ``most`` buckets are."""
+    near = ivf.centroids.join(F.broadcast(query.limit(1)), how="cross").select("bucket", "n", F.round(cosine(F.col("c"), F.col("q")), 6).alias("sim"))
+    near = near.orderBy(F.desc("sim"), "bucket").limit(most).collect()  # ``most`` small rows
+    while probes < most and sum(r.n for r in near[:probes]) < factor * k:
+        probes = min(most, 2 * probes)
+    return [r.bucket for r in near[:probes]]
+
+
+def ivf_top_k(ivf: Ivf, query: DataFrame, k: int, probes: int = 5, most: int = 20, factor: int = 3, threshold: float | None = None, fewest: int = 0) -> DataFrame:
+    """Top-k among the probed buckets, of which alone the files are read; of all vectors where the file has less than ``fewest``."""
+    if ivf.size < fewest:
+        return top_k(ivf.vectors, query, k, threshold)
+    return top_k(ivf.vectors.where(F.col("bucket").isin(ivf_probed(ivf, query, k, probes, most, factor))), query, k, threshold)
+
+
+def upsert_vectors(table: DataFrame, new: DataFrame, embed, text: str = "content", key: str = "id") -> DataFrame:
+    """Vectors with those of ``new`` replaced or added; ``embed`` makes a vector column of a text column. Columns the table does not have are left out."""
+    fresh = new.withColumn("v", embed(F.col(text))).select([c for c in table.columns if c in [*new.columns, "v"]])
+    return table.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def delete_vectors(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return table.join(gone.select(key), key, "left_anti")

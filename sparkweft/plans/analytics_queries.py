@@ -14,7 +14,7 @@ TYPES = ["ECONOMY", "STANDARD", "supplier"]
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     p = D.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.col("p_type").alias("kind"))
-    return p.unionByName(D.table(spark, sf, "supplier").where("s_suppkey < 50").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.lit("supplier").alias("kind")))
+    return p.unionByName(D.table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.when(F.col("s_nationkey") < 20, "supplier").otherwise("unknown").alias("kind")))
 
 
 def schema_correctness(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +109,7 @@ QUERIES = {
     for f in (schema_correctness, type_histogram, type_entropy, token_distribution, token_histogram, orphan_chunks, category_rules, eval_stats, mode_summary, win_rates, build_time, eval_split, triplets, qrels, mrr_recall, answer_overlap)
 }
 
-_N = "n AS (SELECT 'P' || p_partkey AS name, p_type AS kind FROM part UNION ALL SELECT 'S' || s_suppkey, 'supplier' FROM supplier WHERE s_suppkey < 50)"
+_N = "n AS (SELECT 'P' || p_partkey AS name, p_type AS kind FROM part UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_nationkey < 20 THEN 'supplier' ELSE 'unknown' END FROM supplier)"
 _TOK = f"t AS (SELECT len({D.TERMS}) AS tokens FROM documents)"
 _EVAL = "(('0x' || substr(md5(source), 1, 6))::BIGINT % 100 < 30)"
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions.text import words
+from sparkweft.operators import graph as G
+from sparkweft.operators import lexical as L
+from sparkweft.operators import vector as V
+from sparkweft.sources.store import fingerprint, kept, scratch, stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,13 +28,51 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, tgt, weight, keywords): parts and their suppliers, src < tgt."""
+    """(src, tgt, weight, keywords): parts and their suppliers, src < tgt. The graph store: made once of each state of its source."""
     li = table(spark, sf, "lineitem")
+    return kept(spark, "edges", [li], lambda: stored(_edges(li), "edges"))
+
+
+def _edges(li: DataFrame) -> DataFrame:
     return li.groupBy(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).agg(
         F.count(F.lit(1)).cast("double").alias("weight"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("keywords")
     )
 
 
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """(node, nbr, weight), stored in order of the node, so that the rows of few nodes are few row groups."""
+    li = table(spark, sf, "lineitem")
+    return kept(spark, "adjacency", [li], lambda: stored(G.adjacency(edges(spark, sf)).repartitionByRange("node", "nbr").sortWithinPartitions("node"), "adjacency"))
+
+
+def degrees(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return kept(spark, "degrees", [li], lambda: stored(G.degrees(edges(spark, sf)), "degrees"))
+
+
+def chunk_index(spark: SparkSession, sf: str) -> L.Index:
+    """The words of the chunks, saved once of each state of the documents."""
+    docs = table(spark, sf, "documents")
+    return kept(spark, "chunk-index", [docs], lambda: L.save(L.index(chunks(spark, sf)), scratch(spark, "bm25"), fingerprint(docs)))
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    """(name, terms, v) of the parts that have a vector."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), words(F.concat_ws(" ", "p_name", "p_type")).alias("terms"))
+    return p.join(vectors(spark, sf).select("name", "v"), "name")
+
+
+def entity_index(spark: SparkSession, sf: str) -> L.Index:
+    sources = [table(spark, sf, "part"), table(spark, sf, "embeddings")]
+    return kept(spark, "entity-index", sources, lambda: L.save(L.index(entities(spark, sf).withColumnRenamed("name", "id")), scratch(spark, "bm25"), fingerprint(*sources)))
+
+
+def ivf(spark: SparkSession, sf: str) -> V.Ivf:
+    """The vectors in files by their label's bucket, saved once of each state of the embeddings."""
+    e = table(spark, sf, "embeddings")
+    return kept(spark, "ivf", [e], lambda: V.ivf_save(vectors(spark, sf), scratch(spark, "ivf"), fingerprint(e)))
+
+
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
     """(src, tgt, weight): a dense graph of nations that trade more than the mean pair, without loops, src < tgt."""
     li, o = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")

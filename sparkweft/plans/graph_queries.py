@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.operators import graph as G
 from sparkweft.operators import vector as V
+from sparkweft.operators.ranking import numbered
 from sparkweft.plans import data as D
 
 K = 10
@@ -22,7 +23,18 @@ def vector_by_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return V.ivf_top_k(D.vectors(spark, sf), D.query_vector(spark, sf), K, probes=2, most=8).select("id", "bucket", "score")
+    return V.ivf_top_k(D.ivf(spark, sf), D.query_vector(spark, sf), K, probes=2, most=8).select("id", "bucket", "score")
+
+
+def ivf_build(spark: SparkSession, sf: str) -> DataFrame:
+    """What the inverted file holds: each bucket's size and its centroid's first and last numbers and length."""
+    c = D.ivf(spark, sf).centroids
+    return c.select("bucket", "n", F.round(F.col("c")[0], 6).alias("first"), F.round(F.element_at("c", -1), 6).alias("last"), F.round(F.sqrt(V.dot(F.col("c"), F.col("c"))), 6).alias("length"))
+
+
+def ivf_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted file, searched whole while it has fewer than 1,000 vectors."""
+    return V.ivf_top_k(D.ivf(spark, sf), D.query_vector(spark, sf), K, probes=2, most=8, fewest=V.FEWEST).select("id", "bucket", "score")
 
 
 def node_degree(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +122,8 @@ def clustering(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(D.edges(spark, sf).where("weight >= 3"))
+    """Of all edges. SQL would take each pair of a component; the test compares with a union-find."""
+    return G.components(D.edges(spark, sf))
 
 
 def degree_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,9 +135,8 @@ def degree_stats(spark: SparkSession, sf: str) -> DataFrame:
 def local_search(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest entities, then all their edges by the sum of degrees and weight."""
     e = D.edges(spark, sf)
-    hit = G.edges_of(e, _seeds(spark, sf))
-    best = G.with_edge_degree(hit, G.degrees(e)).orderBy(F.desc("edge_degree"), F.desc("weight"), "src", "tgt")
-    return V.ranked(best, F.desc("edge_degree"), F.desc("weight"), "src", "tgt").select("pos", "src", "tgt", "weight", "edge_degree")
+    hit = G.with_edge_degree(G.edges_of(e, _seeds(spark, sf)), D.degrees(spark, sf))
+    return numbered(hit.select("src", "tgt", "weight", "edge_degree"), F.desc("edge_degree"), F.desc("weight"), "src", "tgt")
 
 
 def _relation_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +183,7 @@ best AS (SELECT row_number() OVER (ORDER BY score DESC, src, tgt) AS pos, src, t
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, vector_by_ids, ivf_topk, node_degree, edge_degree, one_hop, edges_batch, popular_labels, search_labels, bfs_subgraph, bfs_capped, bfs_edges, top_degree_subgraph, export_relations, rename_entity, merge_entities, delete_entities, degree_minmax, clustering, components, degree_stats, local_search, relation_topk, global_search, naive_search)
+    for f in (vector_topk, vector_by_ids, ivf_topk, ivf_build, ivf_exact, node_degree, edge_degree, one_hop, edges_batch, popular_labels, search_labels, bfs_subgraph, bfs_capped, bfs_edges, top_degree_subgraph, export_relations, rename_entity, merge_entities, delete_entities, degree_minmax, clustering, components, degree_stats, local_search, relation_topk, global_search, naive_search)
 }
 
 ORACLE_SQL = {
@@ -204,12 +216,12 @@ WHERE score IS NOT NULL ORDER BY score DESC, node LIMIT 50""",
     "clustering": f"""WITH {D.NATIONS}, {D.ADJ},
 t AS (SELECT a.node, count(*) AS n FROM adj a JOIN adj b ON a.node = b.node AND a.nbr < b.nbr JOIN edges e ON e.src = a.nbr AND e.tgt = b.nbr GROUP BY 1)
 SELECT deg.node, degree, coalesce(n, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM deg LEFT JOIN t USING (node)""",
-    "components": f"""WITH RECURSIVE {D.EDGES.replace("edges AS", "e0 AS", 1)}, edges AS (SELECT * FROM e0 WHERE weight >= 3), {D.ADJ},
-r(a, b) AS (SELECT node, node FROM deg UNION SELECT r.a, adj.nbr FROM r JOIN adj ON adj.node = r.b)
-SELECT a AS node, min(b) AS component FROM r GROUP BY 1""",
     "degree_stats": f"WITH {D.EDGES}, {D.ADJ} SELECT count(*) AS nodes, round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree, round(quantile_cont(degree, 0.5), 6)::DOUBLE AS median_degree, (sum(degree) / 2)::BIGINT AS edges, round(sum(degree) / (count(*) * (count(*) - 1)), 9) AS density, count(*) FILTER (degree >= 50) AS hubs FROM deg",
     "local_search": f"WITH {D.EDGES}, {D.ADJ}, {_TOP}, {_HOP} SELECT row_number() OVER (ORDER BY a.degree + b.degree DESC, weight DESC, src, tgt) AS pos, src, tgt, weight, a.degree + b.degree AS edge_degree FROM hop JOIN deg a ON a.node = src JOIN deg b ON b.node = tgt",
     "relation_topk": f"WITH {D.EDGES}, {D.VECTORS}, {D.QUERY}, {_REL} SELECT pos, src, tgt, score FROM best",
     "global_search": f"WITH {D.EDGES}, {D.VECTORS}, {D.QUERY}, {_REL}, f AS (SELECT node, min(o) AS o FROM (SELECT src AS node, 2 * pos AS o FROM best UNION ALL SELECT tgt, 2 * pos + 1 FROM best) GROUP BY 1) SELECT row_number() OVER (ORDER BY o) AS pos, node FROM f",
     "naive_search": f"WITH {D.VECTORS}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 3), t AS (SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM vec, qv WHERE round(list_cosine_similarity(v, q), 6) >= 0.2 ORDER BY score DESC, id LIMIT 10) SELECT row_number() OVER (ORDER BY score DESC, id) AS pos, id, source AS file_path, score FROM t JOIN documents ON doc_id = id",
 }
+_PROBED = ORACLE_SQL["ivf_topk"]
+ORACLE_SQL["ivf_exact"] = _PROBED.replace("WHERE bucket IN", "WHERE (SELECT count(*) FROM vec) < 1000 OR bucket IN")
+ORACLE_SQL["ivf_build"] = _PROBED.split(",\nnr AS")[0] + " SELECT bucket, n, round(c[1], 6) AS first, round(c[len(c)], 6) AS last, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS length FROM c"

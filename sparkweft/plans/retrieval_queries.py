@@ -11,6 +11,7 @@ from sparkweft.operators import graph as G
 from sparkweft.operators import lexical as L
 from sparkweft.operators import modes as R
 from sparkweft.operators import vector as V
+from sparkweft.operators.ranking import numbered
 from sparkweft.plans import data as D
 from sparkweft.plans import graph_queries as Q
 
@@ -22,7 +23,7 @@ def _question(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return L.top_k(D.chunks(spark, sf), _question(spark, sf), 20)
+    return L.top_k(D.chunk_index(spark, sf), _question(spark, sf), 20)
 
 
 def _semantic(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -33,15 +34,9 @@ def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return L.weighted(_semantic(spark, sf, 20), bm25_topk(spark, sf), 0.6, 15)
 
 
-def _entities(spark: SparkSession, sf: str) -> DataFrame:
-    """(name, terms, v) of the parts that have a vector."""
-    p = D.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), words(F.concat_ws(" ", "p_name", "p_type")).alias("terms"))
-    return p.join(D.vectors(spark, sf).select("name", "v"), "name")
-
-
 def hybrid_anchor(spark: SparkSession, sf: str) -> DataFrame:
     ask = spark.createDataFrame([("small",), ("ring",), ("ring",)], "term string")
-    lex = L.top_k(_entities(spark, sf).withColumnRenamed("name", "id"), ask, 10)
+    lex = L.top_k(D.entity_index(spark, sf), ask, 10)
     return L.weighted(_semantic(spark, sf, 10).select(F.col("name").alias("id"), "pos"), lex, 0.6, 10)
 
 
@@ -55,27 +50,40 @@ def rerank_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def _near(spark: SparkSession, sf: str) -> DataFrame:
-    return V.scored(D.vectors(spark, sf), D.query_vector(spark, sf)).select("name", "score")
-
-
-def _beam(spark: SparkSession, sf: str, hops: int) -> DataFrame:
+def _beam(spark: SparkSession, sf: str, **kw) -> DataFrame:
     anchors = Q._seeds(spark, sf).select("node", F.lit(1.0).alias("score"))
-    return R.beam(D.edges(spark, sf), _near(spark, sf), anchors, hops=hops, width=4, threshold=0.05, top_k=20)
+    return R.beam(D.adjacency(spark, sf), D.vectors(spark, sf), D.query_vector(spark, sf), anchors, top_k=20, **kw)
 
 
 def beam_hop1(spark: SparkSession, sf: str) -> DataFrame:
-    return _beam(spark, sf, 1)
+    return _beam(spark, sf, hops=1, width=4, threshold=0.05)
 
 
 def beam_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _beam(spark, sf, 2)
+    return _beam(spark, sf, hops=2, width=4, threshold=0.05)
 
 
 def beam_linear(spark: SparkSession, sf: str) -> DataFrame:
     """One hop without pruning, by similarity and path alone, at a linear price."""
-    anchors = Q._seeds(spark, sf).select("node", F.lit(1.0).alias("score"))
-    return R.beam(D.edges(spark, sf), _near(spark, sf), anchors, hops=1, width=3, threshold=None, top_k=20, weights=(0.7, 0.3, 0.0, 0.1), linear=True)
+    return _beam(spark, sf, hops=1, width=3, threshold=None, weights=(0.7, 0.3, 0.0, 0.1), linear=True)
+
+
+def beam_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a beam starts: entities by vector and words, and ends of the best relations."""
+    ask = spark.createDataFrame([("small",), ("ring",)], "term string")
+    lex = L.top_k(D.entity_index(spark, sf), ask, 20)
+    return R.beam_anchors(_semantic(spark, sf, 20), lex, Q._best_relations(spark, sf, 6), 10)
+
+
+def anchor_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors after a reranker that scored some of them, a few below its floor."""
+    marks = D.table(spark, sf, "embeddings").where("label % 3 < 2").select(F.concat(F.lit("P"), F.col("vec_id") + 1).alias("node"), F.round(F.col("label") / 100, 6).alias("score"))
+    return R.rerank_anchors(_semantic(spark, sf, 40).select(F.col("name").alias("node"), "score"), marks, 0.02, 12)
+
+
+def fallback_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = D.table(spark, sf, "part").where("p_size < 30").select(F.concat(F.lit("P"), "p_partkey").alias("name"))
+    return R.fallback_anchors(_semantic(spark, sf, 30).select("name", "score"), nodes, D.degrees(spark, sf))
 
 
 def _keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +93,7 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def focused_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return R.focused_anchors(_entities(spark, sf), _keywords(spark, sf), 15, 6, 0.25)
+    return R.focused_anchors(D.entity_index(spark, sf), D.entities(spark, sf), _keywords(spark, sf), 15, 6, 0.25)
 
 
 def _anchors(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,12 +114,21 @@ def focused_kept(spark: SparkSession, sf: str) -> DataFrame:
     return R.anchors_kept(_anchors(spark, sf), focused_edges(spark, sf)).select("node", "score")
 
 
+def _ivf_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    found = V.ivf_top_k(D.ivf(spark, sf), D.query_vector(spark, sf), 10, probes=2, most=8)
+    return V.ranked(found, F.desc("score"), "id").select(F.col("name").alias("node"), "pos", "score")
+
+
 def ivf_local(spark: SparkSession, sf: str) -> DataFrame:
     """Local search from the anchors of an inverted-file search."""
-    e = D.edges(spark, sf)
-    seeds = V.ivf_top_k(D.vectors(spark, sf), D.query_vector(spark, sf), 10, probes=2, most=8).select(F.col("name").alias("node"))
-    hit = G.with_edge_degree(G.edges_of(e, seeds), G.degrees(e))
-    return V.ranked(hit, F.desc("edge_degree"), F.desc("weight"), "src", "tgt").select("pos", "src", "tgt", "weight", "edge_degree")
+    hit = G.with_edge_degree(G.edges_of(D.edges(spark, sf), _ivf_anchors(spark, sf)), D.degrees(spark, sf))
+    return numbered(hit.select("src", "tgt", "weight", "edge_degree"), F.desc("edge_degree"), F.desc("weight"), "src", "tgt")
+
+
+def ivf_focused(spark: SparkSession, sf: str) -> DataFrame:
+    """Focused edges of the anchors of an inverted-file search."""
+    rel = V.scored(Q._relation_vectors(spark, sf), D.query_vector(spark, sf)).withColumnRenamed("score", "sim").drop("v")
+    return R.focused_edges(_ivf_anchors(spark, sf), rel, 0.6, 0.4, 0.1, 5, 30)
 
 
 def _local_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +140,7 @@ def round_robin_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def round_robin_relations(spark: SparkSession, sf: str) -> DataFrame:
-    a = Q.local_search(spark, sf).where("pos <= 25").select("pos", "src", "tgt")
+    a = Q.local_search(spark, sf).select("pos", "src", "tgt")
     return U.round_robin([a, Q._best_relations(spark, sf, 15).select("pos", "src", "tgt")], ["src", "tgt"])
 
 
@@ -190,15 +207,21 @@ def context_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mix_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The payload of a mixed search, flattened: how many rows of each section, and the first of each."""
+    """The payload of a mixed search, flattened: every row of every section."""
     p = U.user_format(round_robin_entities(spark, sf), round_robin_relations(spark, sf), chunk_postprocess(spark, sf).select("pos", "id", "ref"), reference_list(spark, sf))
-    d = lambda k: F.size(f"data.{k}").cast("long").alias(f"n_{k}")
-    return p.select("status", d("entities"), d("relationships"), d("chunks"), d("references"), F.expr("data.entities[0].node").alias("first_entity"), F.expr("data.references[0].file_path").alias("first_path"))
+    told = {
+        "entities": "x.node", "relationships": "concat_ws('-', x.src, x.tgt)", "chunks": "concat_ws(':', x.ref, x.id)", "references": "concat_ws(':', x.reference_id, x.file_path)",
+    }
+    out = None
+    for name, what in told.items():
+        part = p.select("status", F.lit(name).alias("section"), F.posexplode(F.expr(f"transform(data.{name}, x -> {what})")).alias("at", "row"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("status", "section", (F.col("at") + 1).cast("long").alias("pos"), "row")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, hybrid_chunks, hybrid_anchor, rerank_aggregate, beam_hop1, beam_search, beam_linear, focused_anchors, focused_edges, focused_unfiltered, focused_kept, ivf_local, round_robin_entities, round_robin_relations, round_robin_chunks, token_budget, chunk_occurrence, pick_polling, pick_vector, pick_vector_missing, chunk_postprocess, reference_list, context_text, mix_search)
+    for f in (bm25_topk, hybrid_chunks, hybrid_anchor, rerank_aggregate, beam_hop1, beam_search, beam_linear, beam_anchors, anchor_rerank, fallback_anchors, focused_anchors, focused_edges, focused_unfiltered, focused_kept, ivf_local, ivf_focused, round_robin_entities, round_robin_relations, round_robin_chunks, token_budget, chunk_occurrence, pick_polling, pick_vector, pick_vector_missing, chunk_postprocess, reference_list, context_text, mix_search)
 }
 
 
@@ -240,7 +263,7 @@ _RC = rf"rc AS (SELECT pos, id, CASE WHEN id % 5 > 0 THEN score END AS score, le
 _POST = "pp AS (SELECT *, sum(tokens) OVER (ORDER BY pos) AS used FROM (SELECT * FROM rc WHERE coalesce(score, 1) >= 0.25 ORDER BY pos LIMIT 20)), pc AS (SELECT pos, id, score, tokens, 'DC' || row_number() OVER (ORDER BY pos) AS ref FROM pp WHERE used <= 6000)"
 _REFS = "rf AS (SELECT row_number() OVER (ORDER BY n DESC, f)::VARCHAR AS reference_id, file_path, n FROM (SELECT file_path, count(*) AS n, min(pos) AS f FROM rc GROUP BY 1))"
 _RR_E = _turns(["SELECT pos, name AS node FROM sem WHERE pos <= 10", "SELECT pos, node FROM glo"], "node")
-_RR_R = _turns(["SELECT pos, src, tgt FROM loc WHERE pos <= 25", "SELECT pos, src, tgt FROM best"], "src, tgt")
+_RR_R = _turns(["SELECT pos, src, tgt FROM loc", "SELECT pos, src, tgt FROM best"], "src, tgt")
 
 
 def _focused_anchor_sql() -> str:
@@ -291,10 +314,19 @@ SELECT owner, pos, chunk, 1 AS round FROM c WHERE pos <= quota UNION ALL SELECT
     "reference_list": f"WITH {_SC}, {_RC}, {_REFS} SELECT reference_id, file_path, n FROM rf",
     "context_text": f"""WITH {D.EDGES}, {_SC}, {_REL}, {_BEST} SELECT string_agg('{{"src":"' || src || '","tgt":"' || tgt || '"}}', chr(10) ORDER BY pos) AS context FROM best""",
     "mix_search": f"""WITH {D.EDGES}, {_SC}, {_REL}, {_BEST}, {_LOCAL}, {_RR_E.replace('rr AS', 're AS', 1)}, {_RR_R}, {_RC}, {_POST}, {_REFS}
-SELECT 'success' AS status, (SELECT count(*) FROM re) AS n_entities, (SELECT count(*) FROM rr) AS n_relationships, (SELECT count(*) FROM pc) AS n_chunks, (SELECT count(*) FROM rf) AS n_references, (SELECT node FROM re WHERE pos = 1) AS first_entity, (SELECT file_path FROM rf WHERE reference_id = '1') AS first_path""",
+SELECT 'success' AS status, 'entities' AS section, pos, node AS row FROM re UNION ALL SELECT 'success', 'relationships', pos, src || '-' || tgt FROM rr
+UNION ALL SELECT 'success', 'chunks', row_number() OVER (ORDER BY pos), ref || ':' || id FROM pc UNION ALL SELECT 'success', 'references', row_number() OVER (ORDER BY reference_id), reference_id || ':' || file_path FROM rf""",
+    "beam_anchors": f"""WITH {D.EDGES}, {_SC}, {_REL}, {_ENT}, ask(term) AS (VALUES ('small'), ('ring')), {_bm25('ent', 'ask', 20)}, s AS (SELECT name AS id, 1 - (pos - 1) / 20 AS s FROM sem WHERE pos <= 20),
+w AS (SELECT coalesce(s.id, lex.id) AS node, round(0.6 * coalesce(s, 0) + 0.4 * coalesce(lex.score, 0), 6) AS score FROM s FULL JOIN lex ON s.id = lex.id ORDER BY score DESC, node LIMIT 20),
+br AS (SELECT row_number() OVER (ORDER BY score DESC, src, tgt) AS pos, src, tgt FROM (SELECT src, tgt, round(list_cosine_similarity(v, q), 6) AS score FROM rel, qv ORDER BY score DESC, src, tgt LIMIT 6))
+SELECT node, max(score) AS score FROM (SELECT * FROM w UNION ALL SELECT src, round(0.9 / pos, 6) FROM br UNION ALL SELECT tgt, round(0.9 / pos, 6) FROM br) GROUP BY 1 ORDER BY score DESC, node LIMIT 10""",
+    "anchor_rerank": f"WITH {_SC}, m AS (SELECT 'P' || (vec_id + 1) AS node, round(label / 100, 6) AS ms FROM embeddings WHERE label % 3 < 2) SELECT name AS node, coalesce(ms, score) AS score FROM sem LEFT JOIN m ON node = name WHERE pos <= 40 AND coalesce(ms, score) >= 0.02 ORDER BY 2 DESC, 1 LIMIT 12",
+    "fallback_anchors": f"WITH {D.EDGES}, {D.ADJ}, {_SC} SELECT name AS node, score, coalesce(degree, 0) AS degree FROM sem LEFT JOIN deg ON node = name WHERE pos <= 30 AND name IN (SELECT 'P' || p_partkey FROM part WHERE p_size < 30)",
 }
 ORACLE_SQL["ivf_local"] = (
     Q.ORACLE_SQL["ivf_topk"].replace("WITH ", f"WITH {D.EDGES}, {D.ADJ}, ", 1).replace("SELECT id, bucket, score FROM sc WHERE bucket IN", "s AS (SELECT name FROM sc WHERE bucket IN")
     .replace("p AS (SELECT CASE", "pr AS (SELECT CASE").replace("FROM nr, p WHERE rank <= p)", "FROM nr, pr WHERE rank <= p)").replace("8 END AS p FROM nr)\n", "8 END AS p FROM nr),\n")
     + "), h AS (SELECT * FROM edges WHERE src IN (FROM s) OR tgt IN (FROM s)) SELECT row_number() OVER (ORDER BY a.degree + b.degree DESC, weight DESC, src, tgt) AS pos, src, tgt, weight, a.degree + b.degree AS edge_degree FROM h JOIN deg a ON a.node = src JOIN deg b ON b.node = tgt"
 )
+_IVF = Q.ORACLE_SQL["ivf_topk"].replace("SELECT id, bucket, score FROM sc WHERE bucket IN", "ia AS (SELECT name AS node, row_number() OVER (ORDER BY score DESC, id) AS pos, score FROM sc WHERE bucket IN").replace("p AS (SELECT CASE", "pr AS (SELECT CASE").replace("FROM nr, p WHERE rank <= p)", "FROM nr, pr WHERE rank <= p)").replace("8 END AS p FROM nr)\n", "8 END AS p FROM nr),\n")
+ORACLE_SQL["ivf_focused"] = _IVF.replace("WITH ", f"WITH {D.EDGES}, ", 1) + "), " + _FOCUS.replace(f"{D.EDGES}, {_SC}, ", "").split(", an AS (")[0] + ", an AS (SELECT * FROM ia)" + ",\njo AS" + _FOCUS.split("jo AS", 1)[1] + " SELECT * FROM fe"

@@ -1,24 +1,65 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Tables and indexes in the folder that all executors share."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one where it is unset."""
+    """The folder named by spark.checkpoint.dir; a private one where it is unset and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkweft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: what follows does not depend on what made it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing to come reads."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+def fingerprint(*sources: DataFrame) -> str:
+    """What the files behind some frames are called and how large they are together: another value means another state."""
+    told = hashlib.md5()
+    for df in sources:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        told.update(repr([str(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]).encode())
+        for name in sorted(df.inputFiles()):
+            told.update(name.encode())
+    return told.hexdigest()
+
+
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[DataFrame], make: Callable[[], object]):
+    """What ``make`` gives, made once in a session for each state of the sources' files; it should be stored."""
+    key = (spark.sparkContext.applicationId, name, fingerprint(*sources))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

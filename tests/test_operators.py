@@ -1,8 +1,13 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import text as T
-from sparkweft.operators import analytics, chunking, extract, fusion, graph, hooks, lexical, merge, tables, vector
+from sparkweft.operators import analytics, chunking, extract, fusion, graph, hooks, lexical, merge, ranking, tables, vector
+from sparkweft.sources import store
+from sparkweft.sources.store import scratch
 
 
 def rows(df):
@@ -74,9 +79,22 @@ def test_ivf_all_buckets_is_exact(spark, sf_dir):
 
     v, q = data.vectors(spark, sf_dir), data.query_vector(spark, sf_dir)
     exact = rows(vector.top_k(v, q, 5).select("id", "score"))
-    assert rows(vector.ivf_top_k(v, q, 5, probes=10, most=10).select("id", "score")) == exact
-    built = vector.assign_buckets(v, 8)
+    filed = vector.ivf_save(v, scratch(spark, "ivf"))
+    assert rows(vector.ivf_top_k(filed, q, 5, probes=10, most=10).select("id", "score")) == exact
+    path = scratch(spark, "ivf")
+    built = vector.ivf_build(v.drop("bucket"), path, "now")
+    assert built.centroids.count() <= 32 and built.size == v.count()
     assert rows(vector.ivf_top_k(built, q, 1, probes=8, most=8).select("id")) == rows(vector.top_k(v, q, 1).select("id"))
+    # Few vectors are searched whole; a file of another state is refused.
+    assert rows(vector.ivf_top_k(built, q, 5, probes=1, most=1, fewest=vector.FEWEST).select("id", "score")) == exact
+    again = vector.ivf_load(spark, path, "now")
+    assert rows(again.vectors.select("id", "bucket")) == rows(built.vectors.select("id", "bucket"))
+    with pytest.raises(ValueError, match="stale"):
+        vector.ivf_load(spark, path, "later")
+    # Vectors lie in the bucket of the nearest mean, but for a few that the last round of k-means moved.
+    c = {r.bucket: np.array(r.c) for r in built.centroids.collect()}
+    off = [r for r in built.vectors.collect() if min(c, key=lambda b: float(np.linalg.norm(c[b] - r.v))) != r.bucket]
+    assert len(off) <= 0.1 * built.size
     assert vector.bucket_count(100) == 32 and vector.bucket_count(10_000) == 100 and vector.bucket_count(10**7) == 256
     with pytest.raises(Exception, match="dimensions"):
         vector.check_dimension(v, 3).collect()
@@ -110,10 +128,11 @@ def test_beam_stops_and_merge_strategies(spark):
     from sparkweft.operators import modes
 
     e = spark.createDataFrame([("a", "b", 10.0), ("b", "c", 10.0), ("a", "d", 1.0)], "src string, tgt string, weight double")
-    near = spark.createDataFrame([("b", 0.9), ("c", 0.9), ("d", 0.0)], "name string, score double")
+    e, q = graph.adjacency(e), spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    near = spark.createDataFrame([("b", [0.9, 0.19**0.5]), ("c", [0.9, 0.19**0.5]), ("d", [0.0, 1.0])], "name string, v array<double>")
     start = spark.createDataFrame([("a", 1.0)], "node string, score double")
-    assert {r.node for r in modes.beam(e, near, start, hops=3).collect()} == {"a", "b"}
-    assert {r.node for r in modes.beam(e, near, start, hops=3, stop=2.0).collect()} == {"a", "b", "c"}
+    assert {r.node for r in modes.beam(e, near, q, start, hops=3).collect()} == {"a", "b"}
+    assert {r.node for r in modes.beam(e, near, q, start, hops=3, stop=2.0).collect()} == {"a", "b", "c"}
     p = spark.createDataFrame([(1, "x, y"), (2, None), (3, "y,x"), (4, "x, y")], "pos int, v string")
     one = lambda s: p.agg(merge.merge_attribute(s, "v").alias("r")).first().r
     assert one("concatenate") == "x, y\n\ny,x\n\nx, y" and one("keep_last") == "x, y" and one("join_unique") == "x, y<SEP>y,x" and one("join_unique_comma") == "x,y"
@@ -132,3 +151,57 @@ def test_hooks(spark):
 def test_overlap(spark):
     d = spark.createDataFrame([(["a", "b"], ["b", "c", "b"]), (["a"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in d.select(analytics.overlap(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0]
+
+
+def test_lexical_index(spark):
+    """A saved index gives what one in memory gives, reads the buckets of its words alone, and is refused once it is stale."""
+    d = spark.createDataFrame([(i, [f"w{(i * j) % 17}" for j in range(1, 9)]) for i in range(60)], "id long, terms array<string>")
+    ask = spark.createDataFrame([("w1",), ("w5",), ("w5",), ("none",)], "term string")
+    path = scratch(spark, "bm25")
+    memory, saved = lexical.index(d), lexical.save(lexical.index(d), path, "one")
+    want = rows(lexical.top_k(memory, ask, 7))
+    assert len(want) == 7 and rows(lexical.top_k(saved, ask, 7)) == want == rows(lexical.top_k(lexical.load(spark, path, "one"), ask, 7))
+    plan = lexical.top_k(saved, ask, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    with pytest.raises(ValueError, match="stale"):
+        lexical.load(spark, path, "two")
+    two = spark.createDataFrame([(1, "w1"), (1, "w5"), (1, "w5"), (2, "w3")], "kw int, term string")
+    each = rows(lexical.top_each(saved, two, 7))
+    assert [r[1:] for r in each if r[0] == 1] == want and {r[0] for r in each} == {1, 2}
+
+
+def test_numbers_over_ranges(spark):
+    d = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"), (F.col("id") % 7).alias("n")).repartition(9)
+    got = {r.k: r.pos for r in ranking.numbered(d, F.desc("k")).collect()}
+    assert got == {k: 500 - k for k in range(500)}
+    n = {r.k: r.n for r in d.collect()}
+    assert {r.k: r.used for r in ranking.running(d, "n", "k").collect()} == {k: sum(n[i] for i in range(k + 1)) for k in range(500)}
+    assert ranking.numbered(d.limit(0), "k").count() == 0
+
+
+def test_kept_until_the_files_change(spark, tmp_path):
+    made = []
+    path = f"{tmp_path}/t"
+    spark.range(10).write.parquet(path)
+    make = lambda: made.append(1) or len(made)
+    assert store.kept(spark, "t", [spark.read.parquet(path)], make) == store.kept(spark, "t", [spark.read.parquet(path)], make) == 1
+    spark.range(20).write.mode("overwrite").parquet(path)
+    assert store.kept(spark, "t", [spark.read.parquet(path)], make) == 2
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(f"n{r.randrange(90)}", f"n{r.randrange(90)}") for _ in range(70)] + [("hub", f"m{i}") for i in range(50)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(*e, 1.0) for e in edges], "src string, tgt string, weight double")
+    assert {x.node: x.component for x in graph.components(df).collect()} == {x: find(x) for x in up}
