@@ -1,7 +1,8 @@
-"""Scalar text functions as column expressions: no Python runs on rows."""
+"""Scalar text functions as column expressions; Python runs, on Arrow batches, in ``unescaped`` alone."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +106,33 @@ def mode_prefix(question: Column | str) -> Column:
         (there & (F.regexp_extract(q, pattern, 2) == "context")).alias("only_context"),
         F.when(there, F.ltrim(F.regexp_replace(q, pattern, ""))).otherwise(q).alias("question"),
     )
+
+
+def unescaped(x: Column | str) -> Column:
+    """Without HTML escapes of any name or number: there are too many names for an expression, so Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        from html import unescape
+
+        return t.map(lambda s: None if s is None else unescape(s))
+
+    return run(_c(x))
+
+
+def escapes_decoded(x: Column | str) -> Column:
+    """With escapes of the form u and four hexadecimal digits after a backslash read as their characters, and nothing else changed."""
+    t = F.regexp_replace(_c(x), r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
+    for raw, told in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(raw), F.lit(told))
+    return F.get(F.from_json(F.concat(F.lit('["'), t, F.lit('"]')), "array<string>"), F.lit(0))
+
+
+def created_text(seconds: Column | str) -> Column:
+    """Seconds since the epoch as date and time of the session's zone."""
+    return F.date_format(F.timestamp_seconds(_c(seconds)), "yyyy-MM-dd HH:mm:ss")
+
+
+def track_id(prefix: str) -> Column:
+    """A fresh id of a batch: prefix, time, random part. It differs from call to call."""
+    return F.concat_ws("_", F.lit(prefix), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))

@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweft.functions.text import without_thoughts
+
 #: The marks of the extraction format.
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
 
 
+#: Damaged field marks, in the order in which they are put right; {c} stands for the mark's core.
+DAMAGED = (
+    r"<\|{c}\|*?{c}\|>",
+    r"<\|\\{c}\|>",
+    r"<\|+>",
+    r"<.?\|{c}\|.?>",
+    r"<\|?{c}\|?>",
+    r"<[^|]{c}\|>|<\|{c}[^|]>",
+    r"<\|{c}\|+(?!>)",
+    r"<\|{c}:(?!>)",
+    r"<\|+{c}>",
+    r"<\|\|(?!>)",
+    r"(?<!<)\|{c}\|>",
+    r"<\|{c}\|>\|",
+    r"\|\|{c}\|\|",
+)
+
+
 def repaired(x: Column, core: str = "#") -> Column:
-    """Field marks that a model wrote slightly wrong, put right: doubled, escaped, halved or padded parts."""
-    c = re.escape(core)
+    """Field marks that a model wrote slightly wrong, put right one kind of damage after another."""
     good = FIELD.replace("#", core)
-    for bad in (
-        rf"<\|{c}\|*?{c}\|>",  # the core twice
-        rf"<\|\\{c}\|>",  # escaped
-        r"<\|\|>|<\|>",  # no core
-        rf"<.?\|{c}\|.?>",  # a stray character inside
-        rf"<{c}\|>|<\|{c}>|<{c}>",  # a bar missing
-        rf"(?<!\|)<\|{c}\|(?![>|])",  # no end
-        rf"<\|{c}\|\|+>|<\|\|+{c}\|>",  # bars too many
-        rf"(?<![<|])\|{c}\|>",  # no begin
-        rf"<<\|{c}\|>>?|<\|{c}\|>>",  # brackets too many
-    ):
-        x = F.regexp_replace(x, bad, F.lit(good))
+    for bad in DAMAGED:
+        x = F.regexp_replace(x, bad.replace("{c}", re.escape(core)), F.lit(good))
     return x
 
 
@@ -78,3 +88,24 @@ def judge_json(x: Column) -> Column:
 def questions(x: Column) -> Column:
     """All questions in a list of lines ``- Question N: ...``."""
     return F.transform(F.regexp_extract_all(F.replace(x, F.lit("**"), F.lit("")), F.lit(r"- Question [0-9]+: (.+)"), F.lit(1)), lambda s: F.trim(s))
+
+
+def keyword_lists(answer: Column) -> Column:
+    """(hl, ll) of a model's answer: the two lists of its JSON object, past its thinking, fences and stray commas; empty where there is none."""
+    told = F.from_json(judge_json(without_thoughts(answer)), "high_level_keywords array<string>, low_level_keywords array<string>")
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(told["high_level_keywords"], none).alias("hl"), F.coalesce(told["low_level_keywords"], none).alias("ll"))
+
+
+def query_keywords(questions: DataFrame, cache: DataFrame, model: Callable[[Column], Column] | None = None, short: int = 50) -> DataFrame:
+    """(id, how, hl, ll) of ``questions(id, question, hl, ll)``: the lists given, else those of a cached answer ``(id, answer)``, else the model's.
+
+    A question shorter than ``short`` for which both lists are empty is its own low-level keyword.
+    """
+    j = questions.join(cache.select("id", keyword_lists(F.col("answer")).alias("_c")), "id", "left")
+    given = (F.size("hl") > 0) | (F.size("ll") > 0)
+    asked = keyword_lists(model(F.col("question")) if model else F.lit(None).cast("string"))
+    how = F.when(given, "given").when(F.col("_c").isNotNull(), "cache").otherwise("model")
+    j = j.withColumn("how", how).withColumn("k", F.when(given, F.struct("hl", "ll")).when(F.col("_c").isNotNull(), F.col("_c")).otherwise(asked))
+    alone = (F.size("k.hl") == 0) & (F.size("k.ll") == 0) & (F.length("question") < short)
+    return j.select("id", "how", F.col("k.hl").alias("hl"), F.when(alone, F.array("question")).otherwise(F.col("k.ll")).alias("ll"))

@@ -143,6 +143,53 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def truncation(found: DataFrame, most: int) -> DataFrame:
+    """One row (nodes, is_truncated): what a view of at most ``most`` of the found nodes shows, and whether that cap cut it. Depth alone cuts nothing."""
+    n = F.count(F.lit(1))
+    return found.agg(F.least(n, F.lit(most)).cast("long").alias("nodes"), (n > most).alias("is_truncated"))
+
+
+def labels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(label) of every node, once, in order."""
+    n = edges.select(F.explode(F.array("src", "tgt")).alias("label"))
+    return (n if nodes is None else n.unionByName(nodes.select(F.col("name").alias("label")))).distinct().orderBy("label")
+
+
+def transitivity(edges: DataFrame) -> DataFrame:
+    """One row (transitivity): closed over all pairs of neighbours."""
+    c = clustering(edges)
+    pairs = F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
+    return c.agg(F.round(F.when(pairs > 0, F.sum("triangles") / pairs).otherwise(F.lit(0.0)), 6).alias("transitivity"))
+
+
+def clustering_by(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(kind, n, mean, median) of the clustering coefficients by ``kinds(node, kind)``."""
+    j = clustering(edges).join(kinds, "node")
+    return j.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coefficient"), 6).alias("mean"), F.round(F.percentile("coefficient", 0.5), 6).alias("median"))
+
+
+def degree_counts(edges: DataFrame, cuts: tuple[int, ...] = (100, 50)) -> DataFrame:
+    """One row: nodes, the greatest degree, and how many nodes reach each cut."""
+    d = degrees(edges)
+    return d.agg(F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("greatest"), *[F.count_if(F.col("degree") >= c).alias(f"from_{c}") for c in cuts])
+
+
+def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, community): each node takes the label of greatest weight among its neighbours, its own counting once, ties to the smaller; all at once, until none moves or the rounds end."""
+    adj = adjacency(edges)
+    lab = stored(adj.select("node").distinct().withColumn("community", F.col("node")), "communities")
+    for _ in range(rounds):
+        votes = adj.join(lab.select(F.col("node").alias("nbr"), "community"), "nbr").select("node", "community", "weight").unionByName(lab.withColumn("weight", F.lit(1.0)))
+        best = votes.groupBy("node", "community").agg(F.sum("weight").alias("w")).groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community"))["community"].alias("community"))
+        new = stored(best, "communities")
+        same = new.join(lab, ["node", "community"], "left_anti").isEmpty()
+        spent(lab)
+        lab = new
+        if same:
+            break
+    return lab
+
+
 def min_max_size(deg: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Degrees scaled to sizes for drawing; the extremes are one row."""
     ends = deg.agg(F.min("degree").alias("lo"), F.max("degree").alias("hi"))

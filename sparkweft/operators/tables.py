@@ -116,3 +116,24 @@ def token_totals(usage: DataFrame) -> DataFrame:
     """Sums of prompt, completion and total tokens; a missing total is the sum of the two."""
     z = F.lit(0)
     return usage.agg(F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce("prompt", z)).alias("prompt"), F.sum(F.coalesce("completion", z)).alias("completion"), F.sum(F.coalesce("total", F.coalesce("prompt", z) + F.coalesce("completion", z))).alias("total"))
+
+
+def is_empty(table: DataFrame) -> DataFrame:
+    """One row (is_empty)."""
+    return table.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return table.limit(0)
+
+
+def delete_class(cache: DataFrame, mode: str | None = None, kind: str | None = None, key: str = "key") -> DataFrame:
+    """Cache rows but for those of one class: of a mode, of a kind, or both; rows whose key has no class stay."""
+    parts = F.split(key, ":", 3)
+    hit = F.size(parts) == 3
+    if mode is not None:
+        hit = hit & (F.get(parts, F.lit(0)) == mode)
+    if kind is not None:
+        hit = hit & (F.get(parts, F.lit(1)) == kind)
+    return cache.where(~hit)
