@@ -147,9 +147,10 @@ def drop_rows(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return sure.unionByName(told.where("_maybe").select(*df.columns).join(keys, key, "left_anti"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Python workers hold a batch of texts in several forms at once; keep it small."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Python workers hold a batch of texts in several forms at once, beside the JVM's copy; keep it small, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -287,7 +288,9 @@ class IntTable:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits, np.int32)
+        # Half as wide where all keys fit.
+        kind = np.int32 if not len(keys) or keys.max() < 1 << 31 else np.int64
+        self.keys, self.values = np.full(1 << bits, self.EMPTY, kind), np.zeros(1 << bits, np.int32)
         at, left = self.home(keys), np.arange(len(keys))
         while len(left):
             # Of those that want one free place, one gets it; the others go on to the next.
