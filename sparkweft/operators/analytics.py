@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweft.operators.ranking import numbered, running
+
 
 def rate(condition: Column) -> Column:
     """Share of rows for which a condition holds."""
@@ -44,7 +46,7 @@ def token_distribution(df: DataFrame, tokens: str, quantiles=(0.1, 0.5, 0.9)) ->
     task sorts all rows.
     """
     g = df.groupBy(F.col(tokens).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    g = g.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    g = running(g, "c", "v", name="upto")
     n = g.agg(F.sum("c").alias("_n"))
     g = g.join(F.broadcast(n), how="cross")
     at = [F.min(F.when(F.col("upto") > F.floor(F.col("_n") * q), F.col("v"))).alias(f"p{round(100 * q)}") for q in quantiles]
@@ -113,7 +115,7 @@ def triplets(chunks: DataFrame, per_query: int = 2) -> DataFrame:
     with all: chunks are numbered inside their file, files lie on a ring, and
     the nth negative is a chunk of the nth file after one's own.
     """
-    files = chunks.select("path").distinct().withColumn("f", F.row_number().over(Window.orderBy(F.md5("path"))) - 1)
+    files = numbered(chunks.select("path").distinct().withColumn("_h", F.md5("path")), "_h", name="f").select("path", (F.col("f") - 1).alias("f"))
     m = files.agg(F.count(F.lit(1)).alias("m"))
     sized = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
     ring = files.join(sized, "path")

@@ -30,17 +30,17 @@ def split_windows(docs: DataFrame, mark: str, size: int, overlap: int, only: boo
 
     tok = tokenizer or (lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
-    def cut(piece: Column) -> Column:
-        t = tok(piece)
-        n = F.size(t)
-        one = F.array(F.struct(n.cast("long").alias("tokens"), F.trim(piece).alias("content")))
+    def cut(p: Column) -> Column:
+        n = F.size(p.t)
+        one = F.array(F.struct(n.cast("long").alias("tokens"), F.trim(p.piece).alias("content")))
         if only:
             return F.when(n > size, F.raise_error(F.lit(f"a piece has more than {size} tokens")).cast(one_type)).otherwise(one)
-        return F.when(n > size, windows(t, size, overlap, sep)).otherwise(one)
+        return F.when(n > size, windows(p.t, size, overlap, sep)).otherwise(one)
 
     one_type = "array<struct<tokens:bigint,content:string>>"
-    pieces = F.flatten(F.transform(F.split("content", re.escape(mark)), cut))
-    return docs.select("id", F.posexplode(pieces).alias("i", "w")).select("id", F.col("i").cast("long").alias("chunk_order_index"), "w.tokens", "w.content")
+    # A piece's tokens are made once, in a column of their own; what follows reads them.
+    told = docs.select("id", F.transform(F.split("content", re.escape(mark)), lambda p: F.struct(p.alias("piece"), tok(p).alias("t"))).alias("pieces"))
+    return told.select("id", F.posexplode(F.flatten(F.transform("pieces", cut))).alias("i", "w")).select("id", F.col("i").cast("long").alias("chunk_order_index"), "w.tokens", "w.content")
 
 
 def rerank_windows(docs: DataFrame, most: int = 480, overlap: int = 32, terms: str = "terms", sep: str = " ") -> DataFrame:

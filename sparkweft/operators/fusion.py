@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweft.operators.ranking import numbered, running
+
 
 def round_robin(lists: list[DataFrame], keys: list[str]) -> DataFrame:
     """Lists of ``(pos, keys..., others)`` taken in turn, the first of equal keys kept; columns pos, keys, source."""
@@ -13,12 +15,14 @@ def round_robin(lists: list[DataFrame], keys: list[str]) -> DataFrame:
     for d in tagged[1:]:
         u = u.unionByName(d)
     first = u.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "source"))).where("_n = 1")
-    return first.withColumn("out", F.row_number().over(Window.orderBy("pos", "source")).cast("long")).select(F.col("out").alias("pos"), *keys, "source")
+    return numbered(first.select("pos", *keys, "source"), "pos", "source", name="out").select(F.col("out").alias("pos"), *keys, "source")
 
 
 def prefix_budget(rows: DataFrame, tokens: str, budget: int, *, by: str | None = None, order: str = "pos") -> DataFrame:
     """The longest prefix whose tokens fit; nothing after the first that does not is looked at."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if by is None:
+        return running(rows, tokens, order).where(F.col("used") <= budget)
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
 
 
@@ -46,7 +50,7 @@ def pick_polling(chunks: DataFrame, most: int, least: int = 1) -> DataFrame:
     left = q.agg(F.sum(F.col("quota") - F.least("quota", "have")).alias("spare"))
     c = chunks.join(q.select("owner", "quota"), "owner")
     first = c.where("pos <= quota")
-    over = c.where("pos > quota").withColumn("nth", F.row_number().over(Window.orderBy("owner", "pos"))).join(F.broadcast(left), how="cross").where("nth <= spare")
+    over = numbered(c.where("pos > quota"), "owner", "pos", name="nth").join(F.broadcast(left), how="cross").where("nth <= spare")
     return first.select("owner", "pos", "chunk", F.lit(1).alias("round")).unionByName(over.select("owner", "pos", "chunk", F.lit(2).alias("round")))
 
 

@@ -56,7 +56,7 @@ def cache_flatten(spark: SparkSession, sf: str) -> DataFrame:
     c = D.table(spark, sf, "conversations").withColumn("hash", F.concat_ws("-", "conv_id", "turn"))
     kind = F.when(F.col("turn") % 3 > 0, F.col("role"))
     entry = F.struct("hash", F.struct(kind.alias("cache_type"), F.length("text").cast("long").alias("return")))
-    nested = c.groupBy(F.concat(F.lit("m"), F.col("conv_id") % 4).alias("mode")).agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
+    nested = c.groupBy("conv_id", F.concat(F.lit("m"), F.col("conv_id") % 4).alias("mode")).agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
     return K.flatten_cache(nested)
 
 

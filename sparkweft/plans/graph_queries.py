@@ -139,17 +139,17 @@ def local_search(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(hit.select("src", "tgt", "weight", "edge_degree"), F.desc("edge_degree"), F.desc("weight"), "src", "tgt")
 
 
-def _relation_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, tgt, weight, v): each edge has the vector of a number made of its ends."""
-    v = D.vectors(spark, sf)
+def _relation_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, tgt, weight, score): each edge has the vector of a number made of its ends; vectors are compared once, whatever shares them."""
+    v = V.scored(D.vectors(spark, sf).select("id", "v"), D.query_vector(spark, sf)).select("id", "score")
     n = v.agg(F.count(F.lit(1)).alias("n"))
     e = D.edges(spark, sf).join(F.broadcast(n), how="cross").withColumn("id", (F.substring("src", 2, 20).cast("long") * 31 + F.substring("tgt", 2, 20).cast("long")) % F.col("n"))
-    return e.join(v.select("id", "v"), "id").select("src", "tgt", "weight", "v")
+    return e.join(v, "id").select("src", "tgt", "weight", "score")
 
 
 def _best_relations(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    s = V.scored(_relation_vectors(spark, sf), D.query_vector(spark, sf)).drop("v")
-    return V.ranked(s.orderBy(F.desc("score"), "src", "tgt").limit(k), F.desc("score"), "src", "tgt")
+    best = _relation_scores(spark, sf).orderBy(F.desc("score"), "src", "tgt").limit(k)
+    return V.ranked(best, F.desc("score"), "src", "tgt")
 
 
 def global_search(spark: SparkSession, sf: str) -> DataFrame:

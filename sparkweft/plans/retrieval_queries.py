@@ -102,7 +102,7 @@ def _anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def focused_edges(spark: SparkSession, sf: str) -> DataFrame:
-    rel = V.scored(Q._relation_vectors(spark, sf), D.query_vector(spark, sf)).withColumnRenamed("score", "sim").drop("v")
+    rel = Q._relation_scores(spark, sf).withColumnRenamed("score", "sim")
     return R.focused_edges(_anchors(spark, sf), rel, 0.6, 0.4, 0.1, 5, 30)
 
 
@@ -127,7 +127,7 @@ def ivf_local(spark: SparkSession, sf: str) -> DataFrame:
 
 def ivf_focused(spark: SparkSession, sf: str) -> DataFrame:
     """Focused edges of the anchors of an inverted-file search."""
-    rel = V.scored(Q._relation_vectors(spark, sf), D.query_vector(spark, sf)).withColumnRenamed("score", "sim").drop("v")
+    rel = Q._relation_scores(spark, sf).withColumnRenamed("score", "sim")
     return R.focused_edges(_ivf_anchors(spark, sf), rel, 0.6, 0.4, 0.1, 5, 30)
 
 
@@ -212,11 +212,9 @@ def mix_search(spark: SparkSession, sf: str) -> DataFrame:
     told = {
         "entities": "x.node", "relationships": "concat_ws('-', x.src, x.tgt)", "chunks": "concat_ws(':', x.ref, x.id)", "references": "concat_ws(':', x.reference_id, x.file_path)",
     }
-    out = None
-    for name, what in told.items():
-        part = p.select("status", F.lit(name).alias("section"), F.posexplode(F.expr(f"transform(data.{name}, x -> {what})")).alias("at", "row"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("status", "section", (F.col("at") + 1).cast("long").alias("pos"), "row")
+    each = F.array(*[F.struct(F.lit(name).alias("section"), F.expr(f"transform(data.{name}, x -> {what})").alias("rows")) for name, what in told.items()])
+    sections = p.select("status", F.inline(each))
+    return sections.select("status", "section", F.posexplode("rows").alias("at", "row")).select("status", "section", (F.col("at") + 1).cast("long").alias("pos"), "row")
 
 
 QUERIES = {
