@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import IntTable, lean, null_as_empty, rows_of
+from sparkweft.llm.common import IntTable, give_back, lean, null_as_empty, rows_of
 
 PIECE = 256
 
@@ -164,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def samples(docs: DataFrame, rows_each: int = 24) -> dict[str, str]:
+def samples(docs: DataFrame, rows_each: int = 12) -> dict[str, str]:
     """Training text of every language: the whole texts of a bounded number of rows reach the driver."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))
@@ -177,7 +177,9 @@ def samples(docs: DataFrame, rows_each: int = 24) -> dict[str, str]:
 
 def trained(docs: DataFrame, **limits: int):
     """A broadcast parser learned from ``docs(doc_id, text, lang)``."""
-    return docs.sparkSession.sparkContext.broadcast(Parser(samples(docs, **limits)))
+    told = docs.sparkSession.sparkContext.broadcast(Parser(samples(docs, **limits)))
+    give_back()
+    return told
 
 
 def predict(docs: DataFrame, parser) -> DataFrame:
