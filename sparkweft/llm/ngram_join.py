@@ -58,6 +58,8 @@ def class_of(tokens: np.ndarray) -> int:
 
 #: Buckets at most: a bucket's number stays below 2^32 when multiplied by 32 bits of a hash.
 MOST_BUCKETS = 1 << 20
+#: Blocks of several chunks that may be broadcast: some 30 bytes each.
+FEW_BLOCKS = 1_000_000
 #: Entries beyond the first that any two linked sets share, as a divisor of the size.
 SPARE = 5
 
@@ -94,11 +96,9 @@ def _scan(k: int, percent: int, buckets: int, batch_docs: int = 4096, batch_toke
         b = (t1 >> np.uint64(32)).astype(np.int64) * buckets >> 32
         cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(b))):
-            kinds, idx = np.unique(c1[lo:hi], return_inverse=True)
-            head = np.array([hi - lo, len(kinds)], np.int64).tobytes()
             rows["kind"].append(1)
             rows["bucket"].append(int(b[lo]))
-            rows["blob"].append(head + t1[lo:hi].tobytes() + kinds.tobytes() + idx.astype(np.int32 if len(kinds) > 65_000 else np.uint16).tobytes() + many[lo:hi].tobytes())
+            rows["blob"].append(_pack(t1[lo:hi], c1[lo:hi], many[lo:hi]))
         n = len(rows["kind"])
         none = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), none, none, none, none, pa.array(rows["bucket"], pa.int32()), pa.array(rows["blob"], pa.binary())], schema=_ARROW)
@@ -131,15 +131,26 @@ def _scan(k: int, percent: int, buckets: int, batch_docs: int = 4096, batch_toke
     return run
 
 
+def _pack(t: np.ndarray, c: np.ndarray, many: np.ndarray) -> bytes:
+    """Entries of one bucket: tokens, classes (by a list of the distinct ones where that is shorter), and whether each is already known to be shared."""
+    kinds, idx = np.unique(c, return_inverse=True)
+    idx = idx.astype(np.int32 if len(kinds) > 65_000 else np.uint16)
+    told = kinds.tobytes() + idx.tobytes()
+    listed = len(told) < c.nbytes
+    return np.array([len(t), len(kinds) if listed else 0], np.int64).tobytes() + t.tobytes() + (told if listed else c.tobytes()) + np.packbits(many).tobytes()
+
+
 def _unpack(blob: bytes):
     m, kinds = np.frombuffer(blob, np.int64, 2)
     at = 16
     t = np.frombuffer(blob, np.uint64, m, at)
-    c = np.frombuffer(blob, np.int64, kinds, at := at + 8 * m)
-    kind = np.int32 if kinds > 65_000 else np.uint16
-    idx = np.frombuffer(blob, kind, m, at := at + 8 * kinds)
-    many = np.frombuffer(blob, bool, m, at + idx.itemsize * m)
-    return t, c[idx], many
+    c = np.frombuffer(blob, np.int64, kinds or m, at := at + 8 * m)
+    at += c.nbytes
+    if kinds:
+        idx = np.frombuffer(blob, np.int32 if kinds > 65_000 else np.uint16, m, at)
+        c, at = c[idx], at + idx.nbytes
+    many = np.unpackbits(np.frombuffer(blob, np.uint8, -(-m // 8), at), count=m).astype(bool)
+    return t, c, many
 
 
 _SHARED = pa.schema([("token", pa.int64()), ("cls", pa.int64())])
@@ -257,12 +268,6 @@ class Links:
 
     def walk(self) -> list[tuple[int, int]]:
         a, b, p = self.a, self.b, self.percent
-        if len(a.sets) <= 3 and len(b.sets) <= 3:
-            for i in range(len(a.sets)):
-                for j in range(i + 1 if self.same else 0, len(b.sets)):
-                    if self.la[i] != self.lb[j] and self.verify(i, j):
-                        self.join(i, j)
-            return self.joined
         middle = float(np.median(np.concatenate((a.size, b.size))))
         bits = 1 << int(np.clip(np.ceil(np.log2(4 * middle + 1)), 8, 14))
         a.sign(bits)
@@ -441,7 +446,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     blocks = components(edges)
     spent(left)
 
-    counted = blocks.join(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "root")
+    # Blocks of several chunks are few; they are broadcast behind a check of their number, so that no block is gathered to be counted.
+    large = stored(blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")).where("chunks > 1"), "large")
+    counted = blocks.join(F.broadcast(large) if large.count() <= FEW_BLOCKS else large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     members = counted.select(F.col("node").alias("cls"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "chunks").join(classes.select("cls", "key"), "cls")
     members = stored(members, "members")
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkweft.llm.ngram_join import Tree, join_sets, jaccard_components
+from sparkweft.llm.ngram_join import Tree, _pack, _unpack, join_sets, jaccard_components
 from tests.llm import brute
 
 
@@ -67,3 +67,26 @@ def test_tree_against_pairs(seed):
                 up = [min(a, b) if x in (a, b) else x for x in up]
     assert got.tolist() == [int(x) for x in up]
     assert len(Tree(sets).sets) == len(sets)
+
+
+def test_packed_entries():
+    """Packed entries come back, with few classes, with a class for each entry, and with none."""
+    r = np.random.default_rng(5)
+    for m, kinds in ((1000, 3), (1000, 10**9), (1, 1), (200_000, 10**9), (100_000, 70_000), (0, 1)):
+        t, c, many = r.integers(0, 2**63, m).astype(np.uint64), r.integers(0, kinds, m), r.random(m) < 0.3
+        blob = _pack(t, c, many)
+        assert all((x == y).all() for x, y in zip(_unpack(blob), (t, c, many)))
+        assert len(blob) <= 16 + 16 * m + m // 8 + 1
+
+
+def test_hot_passage_and_long_text(spark):
+    """One passage in most texts, hundreds of copies of one text, and texts of very many words."""
+    r = random.Random(12)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    hot, long, copy = say(60), say(60_000), say(30)
+    rows = [(i, f"{say(40)} {hot} {say(40)}", "", 0) for i in range(150)]
+    rows += [(1000 + i, copy, "", 0) for i in range(300)] + [(2000, long, "", 0), (2001, long + " " + say(50), "", 0), (2002, say(50_000), "", 0), (2003, "again " * 50_000, "", 0), (2004, "again " * 9, "", 0)]
+    rows += [(3000 + i, f"{hot} {say(3)}", "", 0) for i in range(40)]
+    got = run(spark, rows, chunk=16)
+    assert got == brute.jaccard_components([x[:2] for x in rows])
+    assert {c for d, _, c in got if d in (2000, 2001)} == {2000} and {c for d, _, c in got if 1000 <= d < 2000} == {1000}
