@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Extensions that hold text, and those that need a parser.
-TEXT_EXTENSIONS = "txt md mdx html htm tex json xml yaml yml rtf log conf ini properties sql bat sh c h cpp hpp py java js ts swift go rb php css scss less csv".split()
-BINARY_EXTENSIONS = "pdf docx pptx xlsx odt epub".split()
+TEXT_EXTENSIONS = (
+    "txt", "md", "mdx", "html", "htm", "tex", "json", "xml", "yaml", "yml", "rtf", "log", "conf", "ini", "properties", "sql", "bat", "sh", "c", "h", "cpp", "hpp",
+    "py", "java", "js", "ts", "swift", "go", "rb", "php", "css", "scss", "less", "csv",
+)
+BINARY_EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "odt", "epub")
 
 
 def extension(path: Column) -> Column:
@@ -19,7 +24,7 @@ def extension(path: Column) -> Column:
 def new_files(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     """(path, length, modificationTime, content) of supported files below a folder that are not in ``known(path)``."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    d = d.where(extension(F.col("path")).isin(TEXT_EXTENSIONS + BINARY_EXTENSIONS))
+    d = d.where(extension(F.col("path")).isin(*TEXT_EXTENSIONS, *BINARY_EXTENSIONS))
     return d if known is None else d.join(known.select("path"), "path", "left_anti")
 
 
@@ -31,7 +36,8 @@ def decoded(files: DataFrame) -> DataFrame:
     """
     @pandas_udf("struct<content string, error string>")
     def read(path: pd.Series, raw: pd.Series) -> pd.DataFrame:
-        out = [office_text(p, b) if p.rsplit(".", 1)[-1].lower() in BINARY_EXTENSIONS else plain_text(b) for p, b in zip(path, raw)]
+        parse = {"pdf": lambda p, b: pdf_text(b)} | dict.fromkeys(BINARY_EXTENSIONS[1:], office_text)
+        out = [parse.get(p.rsplit(".", 1)[-1].lower(), lambda p, b: plain_text(b))(p, b) for p, b in zip(path, raw)]
         return pd.DataFrame(out, columns=["content", "error"])
 
     return files.select("path", read("path", "content").alias("r")).select("path", "r.content", "r.error")
@@ -93,6 +99,65 @@ def office_text(path: str, raw: bytes) -> tuple[str | None, str | None]:
         return None, f"{type(e).__name__}: {e}"
 
 
+#: Strings and operators of a page's content that show text or move to a new line.
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|\b(?:Tj|TJ|Td|TD|Tm|BT|ET)\b|T\*|['\"](?=\s)|-?\d+(?:\.\d+)?", re.DOTALL)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _PDF_ESCAPES.get(m[1], b"" if m[1] in (b"\n", b"\r") else m[1])
+        raw = re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.DOTALL)
+    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+
+
+def pdf_text(raw: bytes | None) -> tuple[str | None, str | None]:
+    """Text of a PDF file: the strings its pages show, in order, for fonts in a Latin encoding. Encrypted files, and those that show no such text, are errors."""
+    import zlib
+
+    raw = bytes(raw or b"")
+    if not raw.startswith(b"%PDF"):
+        return None, "no PDF"
+    if b"/Encrypt" in raw:
+        return None, "encrypted"
+    lines: list[str] = []
+    for m in re.finditer(rb"(?<!end)stream\r?\n", raw):
+        head = raw[max(0, raw.rfind(b"obj", 0, m.start())) : m.start()]
+        end = raw.find(b"endstream", m.end())
+        body = raw[m.end() : end if end >= 0 else len(raw)]
+        if b"/FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body or b"ET" not in body:
+            continue
+        said, held, line, inside = [], [], "", False
+        for t in _SHOWN.findall(body):
+            if t in (b"BT", b"ET", b"Td", b"TD", b"T*", b"Tm", b"'", b'"'):
+                if line and t != b"BT":
+                    said.append(line)
+                    line = ""
+                if t in (b"'", b'"') and held:
+                    line = held[-1]
+                held = []
+            elif t in (b"Tj", b"TJ"):
+                line += "".join(held)
+                held = []
+            elif t == b"[" or t == b"]":
+                inside = t == b"["
+            elif t[:1] in (b"(", b"<"):
+                held.append(_pdf_string(t))
+            elif inside and float(t) < -200:  # a gap as wide as a blank
+                held.append(" ")
+        lines += [x for x in (*said, line) if x.strip()]
+    text = "\n".join(lines)
+    return (text, None) if text.strip() else (None, "no text")
+
+
 def read_kv(spark: SparkSession, path: str) -> DataFrame:
     """(id, value as JSON) of a JSON object file; values of any shape."""
     t = spark.read.text(path, wholetext=True)
@@ -136,25 +201,67 @@ def unique_contexts(spark: SparkSession, path: str) -> DataFrame:
     return first.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long").alias("pos"), "context")
 
 
-EXPORTS = ("csv", "txt", "md", "json", "parquet")
+EXPORTS = ("csv", "txt", "md", "json", "parquet", "xlsx")
+#: Rows that a sheet can hold.
+SHEET_ROWS = 1_048_576
+
+
+def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
+    """One workbook with a sheet a table, header first. A table that a sheet cannot hold is an error; rows stream through the driver."""
+    import tempfile
+    import zipfile
+
+    spark = next(iter(tables.values())).sparkSession
+    for name, d in tables.items():
+        if d.limit(SHEET_ROWS).count() == SHEET_ROWS:
+            raise ValueError(f"{name} has more rows than a sheet can hold")
+    escape = lambda v: re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v)).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    cell = lambda v: "<c/>" if v is None else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    row = lambda values: f"<row>{''.join(map(cell, values))}</row>".encode()
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    many = range(1, len(tables) + 1)
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as local:
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i in many) + "</Types>")
+            z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in many) + "</Relationships>")
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(tables, 1)) + "</sheets></workbook>")
+            for i, d in enumerate(tables.values(), 1):
+                with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
+                    out.write(f'<worksheet xmlns="{main}"><sheetData>'.encode() + row(d.columns))
+                    for r in d.toLocalIterator():
+                        out.write(row(r))
+                    out.write(b"</sheetData></worksheet>")
+        local.flush()
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local.name}"), to)
+
+
+def _flat(d: DataFrame) -> DataFrame:
+    """Nested columns as JSON."""
+    return d.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in d.dtypes])
 
 
 def export(entities: DataFrame, relations: DataFrame, path: str, kind: str = "csv") -> None:
     """Entities and relations (both directions of a pair stay one row) below a folder, in one of the formats."""
     if kind not in EXPORTS:
         raise ValueError(f"unsupported format {kind}; one of {', '.join(EXPORTS)}")
-    flat = lambda d: d.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in d.dtypes])
+    if kind == "xlsx":
+        return write_xlsx({"entities": _flat(entities), "relations": _flat(relations)}, f"{path}.xlsx" if not path.endswith(".xlsx") else path)
     for name, d in (("entities", entities), ("relations", relations)):
         to = f"{path}/{name}"
         if kind in ("json", "parquet"):
             d.write.mode("overwrite").format(kind).save(to)
         elif kind == "csv":
-            flat(d).write.mode("overwrite").option("header", "true").csv(to)
+            _flat(d).write.mode("overwrite").option("header", "true").csv(to)
         else:
             sep = " | " if kind == "md" else "\t"
-            cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat(d).columns]
+            cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _flat(d).columns]
             line = F.concat_ws(sep, *cols)
-            flat(d).select((F.concat(F.lit("| "), line, F.lit(" |")) if kind == "md" else line).alias("value")).write.mode("overwrite").text(to)
+            _flat(d).select((F.concat(F.lit("| "), line, F.lit(" |")) if kind == "md" else line).alias("value")).write.mode("overwrite").text(to)
 
 
 def copy_workspace(table: DataFrame, old: str, new: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_files(spark, tmp_path):
     assert got.keys() == {"a.txt", "b.md", "c.txt", "d.docx", "e.xlsx", "f.pdf", "h.docx"}
     assert got["a.txt"] == ("hello é", None) and got["b.md"] == (None, "not UTF-8") and got["c.txt"] == (None, "empty")
     assert got["d.docx"] == ("One\nx\\\\y\tz", None) and got["e.xlsx"] == ("==== Sheet: One ====\na\\tb\t5", None)
-    assert got["f.pdf"] == (None, "no parser for pdf") and got["h.docx"][1].startswith("BadZipFile")
+    assert got["f.pdf"] == (None, "no text") and got["h.docx"][1].startswith("BadZipFile")
     assert S.new_files(spark, f"file://{tmp_path}", found.where("path like '%a.txt'")).count() == 6
 
 
@@ -83,3 +83,25 @@ def test_streaming(spark, tmp_path):
     again = spark.createDataFrame([("x", "one two three")], "file_path string, content string")
     ingest.ingest_batch(spark, again, f"file://{out}", 99)
     assert spark.read.parquet(f"file://{out}/status").count() == 2
+
+
+def pdf(content, compress=True):
+    import zlib
+
+    body = zlib.compress(content) if compress else content
+    return b"%PDF-1.4\n1 0 obj <</Type/Page/Resources<</Font<<>>>>>> endobj\n2 0 obj\n<< /Length 9 " + (b"/Filter /FlateDecode " if compress else b"") + b">>\nstream\n" + body + b"\nendstream endobj\n%%EOF"
+
+
+def test_pdf():
+    page = rb"BT /F1 12 Tf 72 700 Td (Hello \(world\) \351) Tj 0 -14 Td [(Two) -300 (wo) 20 (rds)] TJ T* <48690a> Tj (next) ' ET"
+    for compress in (True, False):
+        assert S.pdf_text(pdf(page, compress)) == ("Hello (world) é\nTwo words\nHi\n\nnext", None)
+    assert S.pdf_text(b"%PDF-1.4 <</Encrypt 1 0 R>>") == (None, "encrypted") and S.pdf_text(b"%PDF") == (None, "no text") and S.pdf_text(None) == (None, "no PDF")
+
+
+def test_workbook(spark, tmp_path):
+    e = spark.createDataFrame([("a<b", 1, ["x"]), (None, 2, [])], "name string, n int, sources array<string>")
+    r = spark.createDataFrame([("a", "b", 1.5)], "src string, tgt string, weight double")
+    S.export(e, r, f"file://{tmp_path}/kg", "xlsx")
+    got = S.office_text("kg.xlsx", (tmp_path / "kg.xlsx").read_bytes())
+    assert got == ('==== Sheet: entities ====\nname\tn\tsources\na<b\t1\t["x"]\n\t2\t[]\n==== Sheet: relations ====\nsrc\ttgt\tweight\na\tb\t1.5', None)
