@@ -65,21 +65,25 @@ def question_extraction(spark: SparkSession, sf: str) -> DataFrame:
     from sparkweft.operators.extract import questions
 
     b = D.table(spark, sf, "benchmark")
-    t = F.concat(F.lit("**- Question 1: item "), "item_id", F.lit("?**\n- Question 2: "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30), F.lit(" \n- Answer: none"))
+    t = F.concat(F.lit("**- Question 1: item "), "item_id", F.lit("?**\n- Question 2: "), F.regexp_replace("text", r"\s+", " "), F.lit(" \n- Answer: none"))
     return b.select("item_id", F.posexplode(questions(t)).alias("pos", "question")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def judge_requests(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"))
-    ask = b.select("pos", F.concat(F.lit("q"), "pos").alias("question"))
-    return E.judge_requests(ask, b.select("pos", F.concat(F.lit("one "), "pos").alias("answer")), b.where("pos % 3 <> 0").select("pos", F.concat(F.lit("two "), "pos").alias("answer")))
+    """Requests for a judge: whole items as questions, a whole text with the item's number as each of two answers."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"[^A-Za-z0-9]+", " "))
+    ask = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), plain("text").alias("question"))
+    one = D.table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), plain("text").alias("answer"))
+    two = D.table(spark, sf, "conversations").where("turn = 1").select(F.col("conv_id").alias("pos"), plain("text").alias("answer"))
+    return E.judge_requests(ask, one, two)
 
 
 def context_sections(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.table(spark, sf, "supplier")
-    line = F.concat(F.lit('{"s":'), "s_suppkey", F.lit("}"))
-    c = F.concat(F.lit("-----Entities-----\n\n```json\n"), line, F.lit("\n"), line, F.lit("\n```\n\n-----Relationships-----\n\n```json\n\n"), line, F.lit("\n```\n"))
-    return E.context_sections(b.select(F.col("s_suppkey").alias("id"), F.replace(c, F.lit("-----\n"), F.lit("\n")).alias("context")))
+    """Contexts with two sections, rows made of whole conversation turns."""
+    c = D.table(spark, sf, "conversations")
+    line = F.concat(F.lit('{"s":"'), F.trim(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")), F.lit('"}'))
+    t = F.concat(F.lit("-----Entities-----\n\n```json\n"), line, F.lit("\n"), line, F.lit("\n```\n\n-----Relationships-----\n\n```json\n\n"), line, F.lit("\n```\n"))
+    return E.context_sections(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.replace(t, F.lit("-----\n"), F.lit("\n")).alias("context")))
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +118,10 @@ SELECT verdict, count(*) AS n, sum(weight)::DOUBLE AS weight FROM v GROUP BY 1""
     "update_cache_list": "WITH a AS (SELECT conv_id AS chunk, list(turn::VARCHAR ORDER BY turn::VARCHAR) AS k FROM conversations WHERE turn < 3 GROUP BY 1), b AS (SELECT conv_id AS chunk, list(turn::VARCHAR ORDER BY turn::VARCHAR) AS k FROM conversations WHERE role = 'user' GROUP BY 1) SELECT a.chunk, array_to_string(list_concat(a.k, list_filter(coalesce(b.k, []), lambda x: NOT list_contains(a.k, x))), ',') AS keys FROM a LEFT JOIN b ON a.chunk = b.chunk",
     "status_step": f"WITH {D.STATUSES} SELECT doc_id, status, CASE WHEN status IN ('pending', 'failed') AND content_length > 500 THEN 'processing' WHEN status = 'processing' AND content_length > 5000 THEN 'failed' WHEN status = 'processing' THEN 'processed' ELSE status END AS next FROM st",
     "head_tail_summary": f"WITH t AS (SELECT doc_id, {D.TERMS} AS w FROM documents) SELECT doc_id, array_to_string(list_concat(w[21:25], CASE WHEN len(w) > 20 THEN w[greatest(1, len(w) - 24) : len(w) - 20] ELSE [] END), ' ') AS summary FROM t",
-    "question_extraction": r"SELECT item_id, 0::BIGINT AS pos, 'item ' || item_id || '?' AS question FROM benchmark UNION ALL SELECT item_id, 1, trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 30)) FROM benchmark",
-    "judge_requests": r"""SELECT item_id AS pos, '{"custom_id":"request-' || item_id || '","body":{"model":"judge","messages":[{"role":"user","content":"Question: q' || item_id || '\nAnswer 1: one ' || item_id || '\nAnswer 2: two ' || item_id || '"}]}}' AS request FROM benchmark WHERE item_id % 3 <> 0""",
-    "context_sections": """SELECT s_suppkey AS id, section, pos::BIGINT AS pos, '{"s":' || s_suppkey || '}' AS row FROM supplier, (VALUES ('entities', 0), ('entities', 1), ('relationships', 0)) t(section, pos)""",
+    "question_extraction": r"SELECT item_id, 0::BIGINT AS pos, 'item ' || item_id || '?' AS question FROM benchmark UNION ALL SELECT item_id, 1, trim(regexp_replace(text, '\s+', ' ', 'g')) FROM benchmark",
+    "judge_requests": r"""WITH q AS (SELECT item_id AS pos, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM benchmark), a AS (SELECT doc_id AS pos, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS a FROM documents), b AS (SELECT conv_id AS pos, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS b FROM conversations WHERE turn = 1)
+SELECT pos, '{"custom_id":"request-' || pos || '","body":{"model":"judge","messages":[{"role":"user","content":"Question: ' || t || '\nAnswer 1: ' || a || '\nAnswer 2: ' || b || '"}]}}' AS request FROM q JOIN a USING (pos) JOIN b USING (pos)""",
+    "context_sections": """SELECT conv_id * 1000 + turn AS id, section, pos::BIGINT AS pos, '{"s":"' || trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) || '"}' AS row FROM conversations, (VALUES ('entities', 0), ('entities', 1), ('relationships', 0)) t(section, pos)""",
     "hybrid_search": f"{_RR} SELECT 'entity' AS section, pos, node AS name FROM re UNION ALL SELECT 'relation', pos, src || '-' || tgt FROM rr",
     "relation_budget": f"WITH {D.EDGES}, {D.VECTORS}, {D.QUERY}, {Q._REL}, u AS (SELECT pos, src, tgt, sum(length(src) + length(tgt)) OVER (ORDER BY pos)::BIGINT AS used FROM best) SELECT pos, src, tgt, used, 70::BIGINT AS left FROM u WHERE used <= 70",
 }
