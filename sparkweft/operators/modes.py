@@ -133,4 +133,4 @@ def unfiltered_edges(anchors: DataFrame, edges: DataFrame, most: int) -> DataFra
 def anchors_kept(anchors: DataFrame, edges: DataFrame) -> DataFrame:
     """Anchors that still have an edge."""
     ends = edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
-    return anchors.join(F.broadcast(ends), "node", "left_semi")
+    return anchors.join(ends, "node", "left_semi")

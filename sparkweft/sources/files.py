@@ -170,6 +170,23 @@ def write_kv(table: DataFrame, path: str, key: str = "id") -> None:
     table.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(F.struct(*rest)))).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table behind JDBC. With a numeric key it is read in ``parts`` ranges between the key's ends, which the database tells; filters and columns reach the database."""
+    read = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    whole = read().option("dbtable", table)
+    if key is None:
+        return whole.load()
+    low, high = read().option("query", f"select min({key}) as a, max({key}) as b from {table}").load().first()
+    if low is None:
+        return whole.load()
+    return whole.option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(high + 1)).option("numPartitions", str(parts)).load()
+
+
+def write_jdbc(table: DataFrame, url: str, name: str, mode: str = "append", parts: int = 8, **options: str) -> None:
+    """A table to a database, over at most ``parts`` connections."""
+    table.write.format("jdbc").option("url", url).option("dbtable", name).option("numPartitions", str(parts)).options(**options).mode(mode).save()
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(name, data map), edges(src, tgt, data map)) of a GraphML file, attributes under their key ids."""
     data = "array<struct<_key:string,_VALUE:string>>"

@@ -105,3 +105,14 @@ def test_workbook(spark, tmp_path):
     S.export(e, r, f"file://{tmp_path}/kg", "xlsx")
     got = S.office_text("kg.xlsx", (tmp_path / "kg.xlsx").read_bytes())
     assert got == ('==== Sheet: entities ====\nname\tn\tsources\na<b\t1\t["x"]\n\t2\t[]\n==== Sheet: relations ====\nsrc\ttgt\tweight\na\tb\t1.5', None)
+
+
+def test_jdbc(spark, tmp_path):
+    """Over the embedded database that comes with Spark."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    t = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "ID int, VALUE string")
+    S.write_jdbc(t, url, "kv", "overwrite", driver=driver)
+    S.write_jdbc(t.where("ID < 3"), url, "kv", driver=driver)
+    got = S.read_jdbc(spark, url, "kv", "ID", 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == sorted([tuple(r) for r in t.collect()] + [(i, f"v{i}") for i in range(3)])
+    assert S.read_jdbc(spark, url, "kv", driver=driver).where("ID = 7").count() == 1
