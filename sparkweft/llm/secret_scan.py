@@ -1,7 +1,8 @@
 """Secret scan by dictionary-primed compression novelty (operator 6).
 
 Candidates are the base patterns' matches and, near words that speak of
-secrets, any long run of key characters. Each candidate is measured: zstandard,
+secrets, any long run of key characters that has letters and digits, or letters
+of ever changing case. Each candidate is measured: zstandard,
 primed with a dictionary of common identifiers and words of code, compresses
 the candidate's surroundings with and without it; the bytes it adds, over the
 bytes it has, are its novelty. What is no base match is reported, as kind
@@ -33,6 +34,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = ("passw", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer", "private_key", "private key", "access_key", "access key", "authorization")
 REACH = 96
 LEAST = 16
+#: Share of neighbouring letters that differ in case: a half in random ones, less than a third in names made of words.
+SWITCHES = 0.4
 _KEY = re.compile(r"[A-Za-z0-9+/_=-]")
 _RUN = re.compile(_KEY.pattern + f"{{{LEAST},}}")
 #: Added bytes a character from which a run is novel: random letters and digits take about 0.75, words far less.
@@ -95,6 +98,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def keyish(run: str) -> bool:
+    """Whether a run may be a key at all: letters and digits, or letters whose case changes as often as in random ones. Words of one case, however rare, are as incompressible as keys of one case."""
+    letters = [c.islower() for c in run if c.isalpha()]
+    if not letters or any(c.isdigit() for c in run):
+        return bool(letters)
+    return len(letters) > 1 and sum(a != b for a, b in zip(letters, letters[1:])) >= SWITCHES * (len(letters) - 1)
+
+
 def candidate_spans(text: str, folded: str) -> list[tuple[int, int]]:
     """Runs of key characters that begin within reach of a sensitive word. Every character is looked at once."""
     found: list[tuple[int, int]] = []
@@ -108,7 +119,7 @@ def candidate_spans(text: str, folded: str) -> list[tuple[int, int]]:
             done = at = whole.end()
             # A run that began before the stretch is out of reach.
             begins = m.start() == 0 or not _KEY.match(text, m.start() - 1)
-            if begins and any(c.isdigit() for c in whole[0]) and any(c.isalpha() for c in whole[0]):
+            if begins and keyish(whole[0]):
                 found.append(whole.span())
     return found
 

@@ -43,6 +43,9 @@ def test_novel():
     assert kinds("the bearer Zx81qLm0Pw9TtBv2Yc7RkQ3sNh5Jd8Fa ends") == ["novel"]
     assert kinds("the bearer passwordResetToken0 getAccessToken ends") == []
     assert kinds("nothing near Zx81qLm0Pw9TtBv2Yc7RkQ3sNh5Jd8Fa") == []
+    assert kinds("the bearer ZxqLmPwTtBvYcRkQsNhJdFaGe ends") == ["novel"]
+    for plain in ("internationalization", "Geschwindigkeitsbegrenzung", "RESPONSABILIDADES", "getAccessTokenFromStore", "AuthorizationServerSettings"):
+        assert kinds(f"the bearer {plain} ends") == []
 
 
 def test_redact(spark):
@@ -60,7 +63,9 @@ def plain_novel(text, novelty):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
         a, b = m.span()
         within = any(x - REACH <= a < y + REACH for x, y in near)
-        mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        case = re.sub("[a-z]", "l", re.sub("[A-Z]", "U", re.sub("[^A-Za-z]", "", m[0])))
+        switches = len(re.findall("(?=lU|Ul)", case))
+        mixed = len(case) > 0 and (re.search("[0-9]", m[0]) is not None or len(case) > 1 and switches >= 0.4 * (len(case) - 1))
         if within and mixed and not any(x < b and a < y for x, y in base) and novelty(text, a, b) >= NOVEL:
             out.append((a, b))
     return out
