@@ -427,20 +427,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, chunk: in
     packed = first.where("kind = 1").select("bucket", "blob")
     known = first.where("kind = 2").select("blob")
     shared = known.mapInArrow(lean(_shared_here), "token long, cls long").union(_by(packed, "bucket").mapInArrow(lean(_shared_across), "token long, cls long"))
-    shared = stored(shared.distinct(), "shared")
-    for kind in (1, 2):
-        drop(spark, f"{path}/kind={kind}")
-
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.min("doc_id").alias("low"))
     need = classes.select("cls", entries_needed(F.col("n"), percent).alias("need"))
-    able = stored(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).join(need, "cls").where("held >= need").select("cls", "need"), "able")
-    left = shared.join(able, "cls")
-    # In order of how many hold an entry, two linked sets still meet if each leaves out its need - 1 commonest entries.
+    # Dealt by class once: there repeated entries go, are counted, and meet what their class needs.
     own = Window.partitionBy("cls")
-    often = left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "token")
+    held = shared.repartition("cls").distinct().withColumn("held", F.count(F.lit(1)).over(own))
+    able = stored(held.join(need, "cls").where("held >= need").select("token", "cls", "need"), "able")
+    for kind in (1, 2):
+        drop(spark, f"{path}/kind={kind}")
+    # In order of how many hold an entry, two linked sets still meet if each leaves out its need - 1 commonest entries.
+    often = able.join(able.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "token")
     left = often.withColumn("held", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("often"), F.desc("token")))).where("held >= need and nth >= need").select("token", "cls")
     left = stored(left, "entries")
-    spent(shared, able)
+    spent(able)
     roots = left.groupBy("token").agg(F.min("cls").alias("root"), F.max("cls").alias("top")).where("root < top").select("token", "root")
     edges = left.join(roots, "token").where("cls != root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
     blocks = components(edges)
