@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweft.llm.common import IntTable, lean, null_as_empty, rows_of
+from sparkweft.llm.common import IntTable, give_back, lean, null_as_empty, rows_of
 
 #: Characters whose classes, folding and composition are the same in every
 #: Unicode version and library; other texts are cut by the library itself.
@@ -196,7 +196,7 @@ class Memo(dict):
 class Pieces:
     """Packed ids of pieces of text: of the last ``limit`` distinct ones at least, of twice as many at most, besides those asked for at once."""
 
-    def __init__(self, encode, limit: int = 200_000):
+    def __init__(self, encode, limit: int = 120_000):
         self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -301,7 +301,9 @@ class BytePairCoder:
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> BytePairCoder:
-    return BytePairCoder(path)
+    made = BytePairCoder(path)
+    give_back()  # what reading the file took
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
