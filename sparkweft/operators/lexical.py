@@ -33,8 +33,12 @@ def bucket_of(term: Column | str, buckets: int) -> Column:
 
 def index(docs: DataFrame, terms: str = "terms", buckets: int = 16) -> Index:
     """An index of ``docs(id, terms)``. A negative idf becomes a share of the mean."""
-    sized = docs.select("id", F.size(terms).cast("long").alias("len"), terms)
-    postings = sized.select("id", "len", F.explode(terms).alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    sized = docs.select("id", F.size(terms).cast("long").alias("len"), F.sort_array(terms).alias("sorted"))
+    # A document's words are counted where it lies: in its sorted words, each run is a word.
+    new = lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1))
+    runs = sized.where("len > 0").select("id", "len", "sorted", F.filter(F.sequence(F.lit(0), (F.col("len") - 1).cast("int")), new).alias("runs"))
+    each = lambda i, k: F.struct(F.get("sorted", i).alias("term"), (F.coalesce(F.get("runs", k + 1), F.col("len")) - i).cast("long").alias("tf"))
+    postings = runs.select("id", "len", F.inline(F.transform("runs", each)))
     postings = postings.select(bucket_of("term", buckets).alias("bucket"), "term", "id", "tf", "len")
     corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     return Index(postings, _weights(postings, corpus), corpus, buckets)
@@ -47,10 +51,15 @@ def _weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), how="cross").select("bucket", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def save(ix: Index, path: str, about: str = "") -> Index:
-    """Write an index below a folder; what is read back. The words are weighed from the postings as written."""
+def save(ix: Index, path: str, about: str = "", parts: int = 1) -> Index:
+    """Write an index below a folder, a bucket in ``parts`` files; what is read back. The words are weighed from the postings as written.
+
+    Postings are dealt by bucket and a salt of word and document, so that a word
+    of most documents is spread over its bucket's parts.
+    """
     spark = ix.postings.sparkSession
-    ix.postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    salt = F.pmod(F.xxhash64("term", "id"), F.lit(parts))
+    ix.postings.repartition(ix.buckets * parts, "bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     ix.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     postings, corpus = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
     _weights(postings, corpus).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")

@@ -54,6 +54,12 @@ def fingerprint(*sources: DataFrame) -> str:
     return told.hexdigest()
 
 
+def file_parts(df: DataFrame, size: int) -> int:
+    """How many parts of ``size`` bytes the files behind a plain read make, one at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max(1, int(sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) // size))
+
+
 _kept: dict[tuple[str, str, str], object] = {}
 
 
