@@ -9,7 +9,7 @@ from sparkweft.functions.text import words
 from sparkweft.operators import graph as G
 from sparkweft.operators import lexical as L
 from sparkweft.operators import vector as V
-from sparkweft.sources.store import file_parts, fingerprint, kept, scratch, stored
+from sparkweft.sources.store import file_parts, fingerprint, kept, stored_at
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> DataFrame:
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """(src, tgt, weight, keywords): parts and their suppliers, src < tgt. The graph store: made once of each state of its source."""
     li = table(spark, sf, "lineitem")
-    return kept(spark, "edges", [li], lambda: stored(_edges(li), "edges"))
+    return kept(spark, "edges", [li], lambda path: stored_at(_edges(li), path))
 
 
 def _edges(li: DataFrame) -> DataFrame:
@@ -42,18 +42,18 @@ def _edges(li: DataFrame) -> DataFrame:
 def adjacency(spark: SparkSession, sf: str) -> DataFrame:
     """(node, nbr, weight), stored in order of the node, so that the rows of few nodes are few row groups."""
     li = table(spark, sf, "lineitem")
-    return kept(spark, "adjacency", [li], lambda: stored(G.adjacency(edges(spark, sf)).repartitionByRange("node", "nbr").sortWithinPartitions("node"), "adjacency"))
+    return kept(spark, "adjacency", [li], lambda path: stored_at(G.adjacency(edges(spark, sf)).repartitionByRange("node", "nbr").sortWithinPartitions("node"), path))
 
 
 def degrees(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return kept(spark, "degrees", [li], lambda: stored(G.degrees(edges(spark, sf)), "degrees"))
+    return kept(spark, "degrees", [li], lambda path: stored_at(G.degrees(edges(spark, sf)), path))
 
 
 def chunk_index(spark: SparkSession, sf: str) -> L.Index:
     """The words of the chunks, saved once of each state of the documents."""
     docs = table(spark, sf, "documents")
-    return kept(spark, "chunk-index", [docs], lambda: L.save(L.index(chunks(spark, sf)), scratch(spark, "bm25"), fingerprint(docs), file_parts(docs, 16 * 64 << 20)))
+    return kept(spark, "chunk-index", [docs], lambda path: L.save(L.index(chunks(spark, sf)), path, fingerprint(docs), file_parts(docs, 16 * 64 << 20)))
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,13 +64,13 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_index(spark: SparkSession, sf: str) -> L.Index:
     sources = [table(spark, sf, "part"), table(spark, sf, "embeddings")]
-    return kept(spark, "entity-index", sources, lambda: L.save(L.index(entities(spark, sf).withColumnRenamed("name", "id")), scratch(spark, "bm25"), fingerprint(*sources)))
+    return kept(spark, "entity-index", sources, lambda path: L.save(L.index(entities(spark, sf).withColumnRenamed("name", "id")), path, fingerprint(*sources)))
 
 
 def ivf(spark: SparkSession, sf: str) -> V.Ivf:
     """The vectors in files by their label's bucket, saved once of each state of the embeddings."""
     e = table(spark, sf, "embeddings")
-    return kept(spark, "ivf", [e], lambda: V.ivf_save(vectors(spark, sf), scratch(spark, "ivf"), fingerprint(e)))
+    return kept(spark, "ivf", [e], lambda path: V.ivf_save(vectors(spark, sf), path, fingerprint(e)))
 
 
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,13 +28,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: what follows does not depend on what made it."""
-    path = scratch(df.sparkSession, name)
+    return stored_at(df, scratch(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def spent(*tables: DataFrame) -> None:
     """Delete stored tables that nothing to come reads."""
     for df in tables:
@@ -60,12 +68,13 @@ def file_parts(df: DataFrame, size: int) -> int:
     return max(1, int(sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) // size))
 
 
-_kept: dict[tuple[str, str, str], object] = {}
+_kept: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
-def kept(spark: SparkSession, name: str, sources: list[DataFrame], make: Callable[[], object]):
-    """What ``make`` gives, made once in a session for each state of the sources' files; it should be stored."""
+def kept(spark: SparkSession, name: str, sources: list[DataFrame], make: Callable[[str], object]):
+    """What ``make`` gives that writes below the path it is handed, made once in a session for each state of the sources' files, and again if it is gone."""
     key = (spark.sparkContext.applicationId, name, fingerprint(*sources))
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+    if key not in _kept or not exists(spark, _kept[key][0]):
+        path = scratch(spark, name)
+        _kept[key] = path, make(path)
+    return _kept[key][1]

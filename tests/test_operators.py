@@ -183,10 +183,18 @@ def test_kept_until_the_files_change(spark, tmp_path):
     made = []
     path = f"{tmp_path}/t"
     spark.range(10).write.parquet(path)
-    make = lambda: made.append(1) or len(made)
-    assert store.kept(spark, "t", [spark.read.parquet(path)], make) == store.kept(spark, "t", [spark.read.parquet(path)], make) == 1
+
+    def make(to):
+        made.append(to)
+        return store.stored_at(spark.read.parquet(path), to)
+
+    ask = lambda: store.kept(spark, "t", [spark.read.parquet(path)], make).count()
+    assert ask() == ask() == 10 and len(made) == 1
     spark.range(20).write.mode("overwrite").parquet(path)
-    assert store.kept(spark, "t", [spark.read.parquet(path)], make) == 2
+    assert ask() == ask() == 20 and len(made) == 2
+    # What someone deleted is made again.
+    store.spent(store.kept(spark, "t", [spark.read.parquet(path)], make))
+    assert ask() == 20 and len(made) == 3
 
 
 def test_components(spark):
