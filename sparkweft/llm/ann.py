@@ -46,6 +46,8 @@ FIRST = 8
 SEEK = 0.95
 #: Rows of a bucket's part, queries compared with it at once, and ratio of the lengths in a band.
 ROWS, QUERIES, RATIO = 16_384, 1024, 1.2
+#: Pairs of queries and rows compared at once.
+CELLS = 1 << 20
 #: Buckets whose sizes may be broadcast: some 40 bytes each.
 FEW_BUCKETS = 200_000
 
@@ -137,25 +139,35 @@ def probes(cosines: np.ndarray, dims: int, tables: int, seek: float) -> np.ndarr
     return np.where(cosines > 1, 0, p)
 
 
-def nearest(x: np.ndarray, low: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, places, distances) of the k + 1 nearest rows of ``x`` within each query's bound, by distance, then ``low``."""
+def nearest(x: np.ndarray, low: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, places, distances): for each query, the rows of ``x`` within its bound that may be among the k + 1 nearest by distance, then ``low``; all of those, and hardly more."""
     ux, lx = unit_rows(x)
     uq, lq = unit_rows(q)
-    dots = uq @ ux.T
-    with np.errstate(all="ignore"):
-        for i in range(len(q)):
-            t = np.exp(lx - lq[i])
+    step = max(1, CELLS // len(x))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        with np.errstate(all="ignore"):
+            t = np.exp(lx[None, :] - lq[part, None])
             # Squares of distances over the query's own length, but for some rounding; the near ones are measured exactly.
-            near, slack = 1 + t * t - 2 * t * dots[i], 1e-12 * (1 + t * t)
-            limit = np.exp(2 * (np.log(bound[i]) - lq[i]))
-            fit = ~(near - slack > limit * (1 + 1e-12))
-            if np.count_nonzero(fit) > k + 1:
-                upper = near + slack
-                fit &= ~(near - slack > np.partition(upper[fit], k)[k])
-            at = np.flatnonzero(fit)
-            d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((low[at], d))[: k + 1]
-            yield i, at[best], d[best]
+            slack = 1e-12 * (1 + t * t)
+            near = 1 + t * t - 2 * t * (uq[part] @ ux.T)
+            limit = np.exp(2 * (np.log(bound[part]) - lq[part])) * (1 + 1e-12)
+            least = near - slack
+            fit = ~(least > limit[:, None])
+            if len(x) > k + 1:
+                upper = np.where(fit, near + slack, np.inf)
+                fit &= ~(least > np.partition(upper, k, axis=1)[:, k][:, None])
+            i, j = np.nonzero(fit)
+            d = np.sqrt(((x[j] - q[part][i]) ** 2).sum(axis=1))
+        # Beyond ties, few are more than needed; where many tie, the first by ``low`` stay.
+        crowd = np.flatnonzero(np.bincount(i, minlength=len(fit)) > 4 * (k + 1))
+        if len(crowd):
+            kept = ~np.isin(i, crowd)
+            for c in crowd.tolist():
+                mine = np.flatnonzero(i == c)
+                kept[mine[np.lexsort((low[j[mine]], d[mine]))[: k + 1]]] = True
+            i, j, d = i[kept], j[kept], d[kept]
+        yield i + at, j, d
 
 
 _CODED = "rid long, dims int, band long, axes array<int>, v binary, low long"
@@ -220,7 +232,7 @@ def _probe(tables: int, kind: str, seek: float, first: bool):
 
 
 def _match(k: int, kind: str):
-    """Buckets sorted by key, rows before queries: the k + 1 nearest rows of every query in each."""
+    """Buckets sorted by key, rows before queries: what may be among the k + 1 nearest rows of every query in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: list, asked: list) -> Iterator[pa.RecordBatch]:
@@ -228,10 +240,10 @@ def _match(k: int, kind: str):
                 return
             x, q = (np.frombuffer(b"".join(r[1] for r in part), kind).reshape(len(part), -1).astype(np.float64) for part in (rows, asked))
             rid, low = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            out = [(asked[i][0], at, d) for i, at, d in nearest(x, low, q, np.array([r[3] for r in asked]), k) if len(at)]
-            if out:
-                at = np.concatenate([a for _, a, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([a for a, _, _ in out], [len(a) for _, a, _ in out]), pa.int64()), pa.array(rid[at]), pa.array(low[at]), pa.array(np.concatenate([d for _, _, d in out]))], schema=_FOUND)
+            names = np.array([r[0] for r in asked], np.int64)
+            for i, j, d in nearest(x, low, q, np.array([r[3] for r in asked]), k):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(rid[j]), pa.array(low[j]), pa.array(d)], schema=_FOUND)
 
         now, rows, asked = None, [], []
         for batch in batches:

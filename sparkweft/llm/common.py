@@ -344,10 +344,6 @@ def null_as_empty(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file:") :].replace("///", "/", 1) if uri.startswith("file:") else uri
-
-
 def open_fs(uri: str):
     """(filesystem, path) for a folder in the shared store, named with its scheme (see ``qualified``)."""
     from pyarrow import fs

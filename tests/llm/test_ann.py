@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from sparkweft.llm.ann import Rotations, hadamard, least_cosine, probes, search
+from sparkweft.llm.ann import Rotations, hadamard, least_cosine, nearest, probes, search
 
 
 def brute(rows, k, every):
@@ -113,3 +113,14 @@ def test_probes():
         a, own = turn.coordinates(q, t), turn.coordinates(x, t).argmax(axis=1)
         met |= (a > a[np.arange(500), own][:, None]).sum(axis=1) < p[2]
     assert met.mean() >= 0.92
+
+
+def test_many_ties():
+    """Thousands of rows at one distance: the smallest ids stay, and no more than needed leave the bucket."""
+    x = np.eye(3000, 16)[:16].repeat(200, axis=0) * 2.0
+    low = np.random.default_rng(2).permutation(len(x))
+    q = np.ones((3, 16))
+    for bound in (np.inf, 10.0):
+        i, j, d = (np.concatenate(c) for c in zip(*nearest(x, low, q, np.full(3, bound), 10)))
+        for n in range(3):
+            assert sorted(low[j[i == n]].tolist()) == list(range(11)) and np.allclose(d, np.sqrt(16))
