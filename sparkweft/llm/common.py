@@ -74,11 +74,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there. Options are those of Parquet."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return held_at(spark.read.schema(df.schema).parquet(path), path)
 
 
