@@ -45,7 +45,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[32] = True
 
 #: n-grams that a task holds before it hands them on, words given to duckdb at once, and n-grams of a bucket.
-HELD, AT_ONCE, BUCKET = 1_500_000, 400_000, 1_500_000
+HELD, AT_ONCE, BUCKET = 700_000, 250_000, 1_000_000
 #: Groups of candidates that ask for parts.
 GROUPS = 64
 
@@ -96,7 +96,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece, text, n = pieces_of(part)
             held.append(pa.table([langs.take(pa.array(text + at)), piece, pa.array(n, pa.int64()), pa.array(np.ones(len(n), np.int64))], names=["lang", "piece", "words", "m"]))
             size += piece.nbytes
-        if size > 16 << 20:
+        if size > 8 << 20:
             yield from emit(held)
             held, size = [], 0
     if held:
@@ -114,7 +114,7 @@ def _duck(folder: str):
     """A connection of one thread and little memory, which spills below the shared folder where that is a plain one."""
     import duckdb
 
-    conf = {"threads": 1, "memory_limit": "320MB", "preserve_insertion_order": "false"}
+    conf = {"threads": 1, "memory_limit": "224MB", "preserve_insertion_order": "false"}
     if folder.startswith("file:"):
         fs, at = open_fs(f"{folder}/{uuid.uuid4().hex}")
         fs.create_dir(at, recursive=True)
@@ -268,7 +268,9 @@ def _add_up(folder: str, least: int):
 def _bitmap(spark: SparkSession, counted: DataFrame):
     """The bits of counted n-grams, 8 MB whatever their number, for all tasks."""
     at = F.col("bit") + 1
-    rows = counted.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    each = counted.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
+    # Bits are moved, not a half-empty bitmap from every task.
+    rows = each.repartition("b").groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(BITS // 8, np.uint8)
     for r in rows:
         own = np.frombuffer(bytes(r.bits), np.uint8)
@@ -285,7 +287,7 @@ def phrase_counts(pieces: DataFrame, least: int = 30, longest: int = 4) -> DataF
 
     def counted(sizes: tuple[int, ...], parts: int, known) -> DataFrame:
         packed = pieces.select("lang", "piece", "m").mapInArrow(lean(_count(folder, sizes, parts, known, buckets)), "bucket int, blob binary")
-        return stored(packed.repartition(buckets, "bucket").mapInArrow(lean(_add_up(folder, least)), _COUNTED_SQL), "counts")
+        return stored(packed.repartitionById(buckets, "bucket").mapInArrow(lean(_add_up(folder, least)), _COUNTED_SQL), "counts")
 
     out, known, parts = [], None, 0
     for sizes in [(1,), (2,), tuple(range(3, longest + 1))]:
