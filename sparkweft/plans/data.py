@@ -53,7 +53,7 @@ def degrees(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_index(spark: SparkSession, sf: str) -> L.Index:
     """The words of the chunks, saved once of each state of the documents."""
     docs = table(spark, sf, "documents")
-    return kept(spark, "chunk-index", [docs], lambda path: L.save(L.index(chunks(spark, sf)), path, fingerprint(docs), file_parts(docs, 16 * 64 << 20)))
+    return kept(spark, "chunk-index", [docs], lambda path: L.save(L.index(chunks(spark, sf)), path, fingerprint(docs), file_parts(docs, 16 * 64 << 20)), lambda path: L.load(spark, path))
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,13 +64,13 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_index(spark: SparkSession, sf: str) -> L.Index:
     sources = [table(spark, sf, "part"), table(spark, sf, "embeddings")]
-    return kept(spark, "entity-index", sources, lambda path: L.save(L.index(entities(spark, sf).withColumnRenamed("name", "id")), path, fingerprint(*sources)))
+    return kept(spark, "entity-index", sources, lambda path: L.save(L.index(entities(spark, sf).withColumnRenamed("name", "id")), path, fingerprint(*sources)), lambda path: L.load(spark, path))
 
 
 def ivf(spark: SparkSession, sf: str) -> V.Ivf:
     """The vectors in files by their label's bucket, saved once of each state of the embeddings."""
     e = table(spark, sf, "embeddings")
-    return kept(spark, "ivf", [e], lambda path: V.ivf_save(vectors(spark, sf), path, fingerprint(e)))
+    return kept(spark, "ivf", [e], lambda path: V.ivf_save(vectors(spark, sf), path, fingerprint(e)), lambda path: V.ivf_load(spark, path))
 
 
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
