@@ -142,9 +142,14 @@ def local_search(spark: SparkSession, sf: str) -> DataFrame:
 def _relation_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(src, tgt, weight, score): each edge has the vector of a number made of its ends; vectors are compared once, whatever shares them."""
     v = V.scored(D.vectors(spark, sf).select("id", "v"), D.query_vector(spark, sf)).select("id", "score")
-    n = v.agg(F.count(F.lit(1)).alias("n"))
+    return _relation_ids(spark, sf).join(v, "id").select("src", "tgt", "weight", "score")
+
+
+def _relation_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, src, tgt, weight): each edge and the number of its vector."""
+    n = D.vectors(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     e = D.edges(spark, sf).join(F.broadcast(n), how="cross").withColumn("id", (F.substring("src", 2, 20).cast("long") * 31 + F.substring("tgt", 2, 20).cast("long")) % F.col("n"))
-    return e.join(v, "id").select("src", "tgt", "weight", "score")
+    return e.select("id", "src", "tgt", "weight")
 
 
 def _best_relations(spark: SparkSession, sf: str, k: int) -> DataFrame:

@@ -1,13 +1,19 @@
-"""Tables and indexes that change by deltas, over the driver's tables, and their SQL."""
+"""Tables and indexes that change by deltas, and tables of questions, over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweft.functions.text import words
+from sparkweft.operators import lexical as L
+from sparkweft.operators import many as M
+from sparkweft.operators.segments import Found, SegmentedIndex
 from sparkweft.plans import data as D
+from sparkweft.plans import graph_queries as Q
+from sparkweft.plans import retrieval_queries as R
 from sparkweft.sources.keyed import KeyedTable
-from sparkweft.sources.store import scratch
+from sparkweft.sources.store import kept, scratch
 
 
 def upsert_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,9 +28,84 @@ def upsert_history(spark: SparkSession, sf: str) -> DataFrame:
     return table.read()
 
 
-QUERIES = {"upsert_history": upsert_history}
+def _segments(spark: SparkSession, sf: str) -> SegmentedIndex:
+    """The chunks in two loads, English ones first; then those of toxic documents are deleted."""
+    docs = D.table(spark, sf, "documents")
+
+    def make(path: str) -> None:
+        chunks = docs.select(F.col("doc_id").alias("id"), words("text").alias("terms"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"))
+        ix = SegmentedIndex.create(spark, path, chunks.where("english").drop("english"))
+        ix.add(chunks.where("not english").drop("english"))
+        ix.delete(D.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")))
+
+    return kept(spark, "segments", [docs, D.table(spark, sf, "labels")], make, lambda path: SegmentedIndex(spark, path))
+
+
+def _blocks(spark: SparkSession, sf: str) -> Found:
+    return _segments(spark, sf).top_k(R._question(spark, sf), 20)
+
+
+def bm25_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """All postings of the question's words, out of every segment."""
+    return L.top_k(_segments(spark, sf).view(), R._question(spark, sf), 20)
+
+
+def bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, from the blocks that can hold the best."""
+    return _blocks(spark, sf).rows
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A question for each label: its first vector."""
+    v = D.vectors(spark, sf)
+    return v.groupBy(F.col("bucket").alias("qid")).agg(F.min_by("v", "id").alias("q"))
+
+
+def _starts(spark: SparkSession, sf: str) -> DataFrame:
+    return M.top_many(D.vectors(spark, sf).select("id", "name", "v"), _questions(spark, sf), 10).select("qid", "pos", F.col("name").alias("node"), "score")
+
+
+def beam_many(spark: SparkSession, sf: str) -> DataFrame:
+    anchors = _starts(spark, sf).withColumn("score", F.lit(1.0))
+    return M.beam_many(D.adjacency(spark, sf), D.vectors(spark, sf), _questions(spark, sf), anchors, hops=2, width=4, threshold=0.05, top_k=20)
+
+
+def focused_many(spark: SparkSession, sf: str) -> DataFrame:
+    v = D.vectors(spark, sf)
+    rel = Q._relation_ids(spark, sf).join(v.select("id", "v"), "id")
+    return M.focused_many(_starts(spark, sf), rel, _questions(spark, sf), 0.6, 0.4, 0.1, 5, 30)
+
+
+QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many)}
+
+_LEX = f"ch AS (SELECT doc_id AS id, {D.TERMS} AS terms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {R._ASK}, {R._bm25('ch', 'ask', 20)}"
+_MANY = f"""{D.VECTORS}, qs AS (SELECT bucket AS qid, arg_min(v, id) AS q FROM vec GROUP BY 1),
+sc AS (SELECT qid, id, name, round(list_cosine_similarity(v, q), 6) AS score FROM vec, qs),
+an AS (SELECT qid, name AS node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM sc QUALIFY pos <= 10)"""
+
+
+def _hop(n: int, depth: str, start: str, seen: str, wide: int) -> str:
+    """One hop of all walks out of ``start(qid, node, score)``: the steps k<n> and the nodes f<n> that they reach."""
+    return f"""c{n} AS (SELECT s.qid, nbr, s.node AS parent, coalesce(sc.score, 0) AS sem, round(0.6 * coalesce(sc.score, 0) + 0.2 * s.score + 0.1 * least(weight / 10, 1) - 0.1 * ln({depth}), 6) AS score
+  FROM {start} s JOIN adj ON adj.node = s.node LEFT JOIN sc ON sc.name = nbr AND sc.qid = s.qid WHERE (s.qid, nbr) NOT IN (SELECT (qid, node) FROM {seen})),
+k{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, nbr, parent) AS place FROM c{n} WHERE score >= 0.05) JOIN (SELECT qid, {wide} * count(*) AS quota FROM {start} GROUP BY 1) USING (qid) WHERE place <= quota),
+f{n} AS (SELECT qid, nbr AS node, score, parent FROM k{n} QUALIFY row_number() OVER (PARTITION BY qid, nbr ORDER BY score DESC, parent) = 1)"""
+
 
 ORACLE_SQL = {
+    "bm25_segments": f"WITH {_LEX} SELECT id, score FROM lex",
+    "bm25_blocks": f"WITH {_LEX} SELECT id, score FROM lex",
+    "beam_many": f"""WITH {D.EDGES}, {D.ADJ}, {_MANY}, a AS (SELECT qid, node, 1.0::DOUBLE AS score FROM an),
+{_hop(1, "2", "a", "a", 4)}, on1 AS (SELECT * FROM f1 WHERE qid NOT IN (SELECT qid FROM k1 WHERE place <= 3 AND sem >= 0.8)), seen AS (SELECT qid, node FROM a UNION ALL SELECT qid, node FROM f1),
+{_hop(2, "3", "on1", "seen", 2)}
+SELECT qid, node, score, hop, parent FROM (SELECT qid, node, score, 0::BIGINT AS hop, NULL AS parent FROM a UNION ALL SELECT qid, node, score, 1, parent FROM f1 UNION ALL SELECT qid, node, score, 2, parent FROM f2)
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, hop, node) <= 80""",
+    "focused_many": f"""WITH {D.EDGES}, {_MANY}, {R._REL},
+jo AS (SELECT an.qid, src, tgt, weight, round(list_cosine_similarity(v, q), 6) AS sim, node AS anchor, pos, an.score FROM rel JOIN an ON node = src OR node = tgt JOIN qs ON qs.qid = an.qid),
+jj AS (SELECT *, round(0.6 * score + 0.4 * sim, 6) AS joint FROM jo WHERE sim >= 0.1),
+qu AS (SELECT * FROM jj QUALIFY row_number() OVER (PARTITION BY qid, pos ORDER BY joint DESC, src, tgt) <= 5),
+un AS (SELECT * FROM qu QUALIFY row_number() OVER (PARTITION BY qid, src, tgt ORDER BY pos) = 1)
+SELECT qid, src, tgt, weight, sim, anchor, joint FROM un QUALIFY row_number() OVER (PARTITION BY qid ORDER BY joint DESC, src, tgt) <= 30""",
     "upsert_history": """
 WITH o AS (SELECT o_custkey AS id, max(o_totalprice) AS amount FROM orders GROUP BY 1),
 c AS (SELECT coalesce(c_custkey, id) AS id, c_name AS name, coalesce(o.amount, c_acctbal) AS amount, CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END AS made, c_nationkey, c_acctbal FROM customer FULL JOIN o ON o.id = c_custkey)

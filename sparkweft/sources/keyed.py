@@ -25,16 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkweft.sources.store import _fs, _path
+from sparkweft.sources.manifest import Manifests
 
 #: Keys of deltas up to this many go to every task of a read; beyond, they are shuffled.
 FEW_KEYS = 1_000_000
 
 
-class Conflict(RuntimeError):
-    """Another writer was first; read again and write again."""
-
-
 @dataclass
 class State:
     """What a manifest says: versions alive by bucket, and rows by version and bucket."""
@@ -62,6 +58,7 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = Manifests(spark, path)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, rows: DataFrame, keys: list[str], buckets: int = 16, first: tuple[str, ...] = (), fill: bool = False) -> KeyedTable:
@@ -74,25 +71,11 @@ class KeyedTable:
     # What there is
 
     def state(self) -> State:
-        for n in sorted(self._manifests(), reverse=True):
-            stream = _fs(self.spark, self.path).open(_path(self.spark, f"{self.path}/log/{n:012d}.json"))
-            try:
-                told = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-            except ValueError:  # its writer is at it yet, or died
-                continue
-            finally:
-                stream.close()
-            told["live"] = {int(b): vs for b, vs in told["live"].items()}
-            told["rows"] = {int(v): {int(b): n for b, n in of.items()} for v, of in told["rows"].items()}
-            told["folders"] = {int(v): f for v, f in told["folders"].items()}
-            return State(**told)
-        raise FileNotFoundError(f"no table at {self.path}")
-
-    def _manifests(self) -> list[int]:
-        at = _path(self.spark, f"{self.path}/log")
-        fs = _fs(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+        told = self.log.newest()
+        told["live"] = {int(b): vs for b, vs in told["live"].items()}
+        told["rows"] = {int(v): {int(b): n for b, n in of.items()} for v, of in told["rows"].items()}
+        told["folders"] = {int(v): f for v, f in told["folders"].items()}
+        return State(**told)
 
     def read(self, state: State | None = None) -> DataFrame:
         """All rows, merged."""
@@ -193,14 +176,7 @@ class KeyedTable:
     def vacuum(self) -> int:
         """Delete versions and manifests that the newest manifest doesn't name; returns how many versions. Nobody may be reading them."""
         state = self.state()
-        fs, alive = _fs(self.spark, self.path), {*state.folders.values(), "log"}
-        dead = [s.getPath() for s in fs.listStatus(_path(self.spark, self.path)) if s.getPath().getName() not in alive]
-        for p in dead:
-            fs.delete(p, True)
-        for n in self._manifests():
-            if n != state.number:
-                fs.delete(_path(self.spark, f"{self.path}/log/{n:012d}.json"), False)
-        return len(dead)
+        return self.log.vacuum(state.number, set(state.folders.values()))
 
     def _write(self, state: State, rows: DataFrame) -> tuple[str, dict[int, int]]:
         """Rows in a folder that no manifest names yet, a file a bucket, and how many fell into each."""
@@ -214,7 +190,7 @@ class KeyedTable:
     def _commit(self, before: State, written: tuple[str, dict[int, int]], whole: bool = False, of: list[int] | None = None) -> State:
         """Make the manifest that names what was written; whoever made one of this number first has won."""
         name, rows = written
-        fs, v = _fs(self.spark, self.path), before.number + 1
+        v = before.number + 1
         live = {b: list(vs) for b, vs in before.live.items()}
         for b in of or ():
             live.pop(b)  # a bucket that merged to nothing is gone
@@ -224,16 +200,7 @@ class KeyedTable:
         known = {x: n for x, n in {**before.rows, v: rows}.items() if x in alive}
         folders = {x: f for x, f in {**before.folders, v: name}.items() if x in alive}
         state = State(v, before.buckets, before.keys, before.schema, before.first, before.fill, live, known, folders)
-        log = _path(self.spark, f"{self.path}/log/{v:012d}.json")
-        try:
-            out = fs.create(log, False)
-        except Exception as e:
-            fs.delete(_path(self.spark, f"{self.path}/{name}"), True)
-            raise Conflict(f"version {v} of {self.path} is taken") from e
-        try:
-            out.write(bytearray(json.dumps(state.__dict__).encode()))
-        finally:
-            out.close()
+        self.log.put(v, state.__dict__, name)
         return state
 
 

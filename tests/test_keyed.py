@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from sparkweft.sources.keyed import Conflict, KeyedTable
+from sparkweft.sources.keyed import KeyedTable
+from sparkweft.sources.manifest import Conflict
 
 KIND = "k string, a long, b string, made long"
 
