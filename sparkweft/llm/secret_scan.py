@@ -124,7 +124,10 @@ class Novelty:
         self.page = nonsense().encode()
 
     def __call__(self, text: str, a: int, b: int, reach: int = REACH, page: bytes = b"") -> float:
-        before, run, after = page + text[max(0, a - reach) : a].encode(), text[a:b].encode(), text[b : b + reach].encode()
+        # Other runs are no surroundings: beside the lines of a key, a further one looks like more of the same.
+        run, around = text[a:b].encode(), (text[max(0, a - reach) : a], text[b : b + reach])
+        before, after = (_RUN.sub("", x).encode() for x in around)
+        before = page + before
         if len(before) < len(LEAD):
             before = LEAD + before
         if len(after) < len(TAIL):
