@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkweft.functions.text import words
 from sparkweft.operators import lexical as L
 from sparkweft.operators import many as M
+from sparkweft.operators import triangles as T
+from sparkweft.operators.louvain import louvain
 from sparkweft.operators.segments import Found, SegmentedIndex
 from sparkweft.plans import data as D
 from sparkweft.plans import graph_queries as Q
@@ -76,7 +78,25 @@ def focused_many(spark: SparkSession, sf: str) -> DataFrame:
     return M.focused_many(_starts(spark, sf), rel, _questions(spark, sf), 0.6, 0.4, 0.1, 5, 30)
 
 
-QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many)}
+def _trade(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, tgt): customers, the parts they bought and the suppliers these came from, each pair once."""
+    li, o = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), D.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("C"), "o_custkey").alias("c"), F.concat(F.lit("P"), "l_partkey").alias("p"), F.concat(F.lit("S"), "l_suppkey").alias("s"))
+    pairs = F.inline(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("tgt")) for a, b in ("cp", "cs", "ps")]))
+    return j.select(pairs).distinct()
+
+
+def clustering_trade(spark: SparkSession, sf: str) -> DataFrame:
+    """Degree, triangles and clustering coefficient of every customer, part and supplier."""
+    return T.clustering(_trade(spark, sf))
+
+
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations by what they trade with each other."""
+    return louvain(D.nation_edges(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, clustering_trade, communities)}
 
 _LEX = f"ch AS (SELECT doc_id AS id, {D.TERMS} AS terms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {R._ASK}, {R._bm25('ch', 'ask', 20)}"
 _MANY = f"""{D.VECTORS}, qs AS (SELECT bucket AS qid, arg_min(v, id) AS q FROM vec GROUP BY 1),
@@ -95,6 +115,12 @@ f{n} AS (SELECT qid, nbr AS node, score, parent FROM k{n} QUALIFY row_number() O
 ORACLE_SQL = {
     "bm25_segments": f"WITH {_LEX} SELECT id, score FROM lex",
     "bm25_blocks": f"WITH {_LEX} SELECT id, score FROM lex",
+    "clustering_trade": """WITH t AS MATERIALIZED (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+cp AS MATERIALIZED (SELECT DISTINCT c, p FROM t), cs AS MATERIALIZED (SELECT DISTINCT c, s FROM t), ps AS MATERIALIZED (SELECT DISTINCT p, s FROM t),
+tri AS MATERIALIZED (SELECT cp.c, cp.p, ps.s FROM cp JOIN ps ON ps.p = cp.p JOIN cs ON cs.c = cp.c AND cs.s = ps.s),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT 'C' || c AS node FROM cp UNION ALL SELECT 'P' || p FROM cp UNION ALL SELECT 'C' || c FROM cs UNION ALL SELECT 'S' || s FROM cs UNION ALL SELECT 'P' || p FROM ps UNION ALL SELECT 'S' || s FROM ps) GROUP BY 1),
+n AS (SELECT node, count(*) AS triangles FROM (SELECT 'C' || c AS node FROM tri UNION ALL SELECT 'P' || p FROM tri UNION ALL SELECT 'S' || s FROM tri) GROUP BY 1)
+SELECT node, degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN round(2 * coalesce(triangles, 0) / (degree * (degree - 1)), 6) ELSE 0.0 END AS coefficient FROM deg LEFT JOIN n USING (node)""",
     "beam_many": f"""WITH {D.EDGES}, {D.ADJ}, {_MANY}, a AS (SELECT qid, node, 1.0::DOUBLE AS score FROM an),
 {_hop(1, "2", "a", "a", 4)}, on1 AS (SELECT * FROM f1 WHERE qid NOT IN (SELECT qid FROM k1 WHERE place <= 3 AND sem >= 0.8)), seen AS (SELECT qid, node FROM a UNION ALL SELECT qid, node FROM f1),
 {_hop(2, "3", "on1", "seen", 2)}

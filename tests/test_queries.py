@@ -46,7 +46,7 @@ def test_entry(spark):
 
 def test_queries_without_sql(spark):
     """The components of all edges, against a union-find; whatever else has no SQL is named here."""
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"components"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"components", "communities"}
     up = {}
 
     def find(x):
@@ -58,3 +58,24 @@ def test_queries_without_sql(spark):
         a, b = find(r.src), find(r.tgt)
         up[max(a, b)] = min(a, b)
     assert {r.node: r.component for r in registry.QUERIES["components"](spark, SF).collect()} == {x: find(x) for x in up}
+
+
+def test_communities_of_the_nations(spark):
+    """Every nation with an edge has one, named by its smallest member; no move of one nation would raise their modularity by much."""
+    edges = data.nation_edges(spark, SF).collect()
+    of = {r.node: r.community for r in registry.QUERIES["communities"](spark, SF).collect()}
+    assert set(of) == {x for e in edges for x in (e.src, e.tgt)}
+    assert all(c == min(x for x in of if of[x] == c) for c in of.values())
+    two_m = 2 * sum(e.weight for e in edges)
+
+    def q(of):
+        k, inside = {}, 0
+        for e in edges:
+            for x in (e.src, e.tgt):
+                k[of[x]] = k.get(of[x], 0) + e.weight
+            inside += 2 * e.weight * (of[e.src] == of[e.tgt])
+        return inside / two_m - sum((v / two_m) ** 2 for v in k.values())
+
+    here = q(of)
+    assert here > q({x: x for x in of}) and here >= q(dict.fromkeys(of, 0))
+    assert max(q(of | {x: c}) for x in of for c in set(of.values())) < here + 0.02
