@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions.text import words
+from sparkweft.operators import labels as A
 from sparkweft.operators import lexical as L
 from sparkweft.operators import many as M
 from sparkweft.operators import triangles as T
@@ -86,6 +87,14 @@ def _trade(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(pairs).distinct()
 
 
+def search_labels_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The label search of ``search_labels`` out of the gram index of part names, made once of each state of the parts."""
+    part = D.table(spark, sf, "part")
+    buckets = 32
+    ix = kept(spark, "labels", [part], lambda path: A.index(part.select(F.col("p_name").alias("node")), path, buckets), lambda path: A.Labels(path, buckets))
+    return A.search(spark, ix, Q.SEARCH, 50).rows
+
+
 def clustering_trade(spark: SparkSession, sf: str) -> DataFrame:
     """Degree, triangles and clustering coefficient of every customer, part and supplier."""
     return T.clustering(_trade(spark, sf))
@@ -96,7 +105,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return louvain(D.nation_edges(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, clustering_trade, communities)}
+QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, search_labels_indexed, clustering_trade, communities)}
 
 _LEX = f"ch AS (SELECT doc_id AS id, {D.TERMS} AS terms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {R._ASK}, {R._bm25('ch', 'ask', 20)}"
 _MANY = f"""{D.VECTORS}, qs AS (SELECT bucket AS qid, arg_min(v, id) AS q FROM vec GROUP BY 1),
@@ -115,6 +124,7 @@ f{n} AS (SELECT qid, nbr AS node, score, parent FROM k{n} QUALIFY row_number() O
 ORACLE_SQL = {
     "bm25_segments": f"WITH {_LEX} SELECT id, score FROM lex",
     "bm25_blocks": f"WITH {_LEX} SELECT id, score FROM lex",
+    "search_labels_indexed": Q.ORACLE_SQL["search_labels"],
     "clustering_trade": """WITH t AS MATERIALIZED (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 cp AS MATERIALIZED (SELECT DISTINCT c, p FROM t), cs AS MATERIALIZED (SELECT DISTINCT c, s FROM t), ps AS MATERIALIZED (SELECT DISTINCT p, s FROM t),
 tri AS MATERIALIZED (SELECT cp.c, cp.p, ps.s FROM cp JOIN ps ON ps.p = cp.p JOIN cs ON cs.c = cp.c AND cs.s = ps.s),
