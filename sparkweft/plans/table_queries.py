@@ -16,7 +16,7 @@ from sparkweft.plans import data as D
 from sparkweft.plans import graph_queries as Q
 from sparkweft.plans import retrieval_queries as R
 from sparkweft.sources.keyed import KeyedTable
-from sparkweft.sources.store import kept, scratch
+from sparkweft.sources.store import kept, scratch, spread
 
 
 def upsert_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def _segments(spark: SparkSession, sf: str) -> SegmentedIndex:
     docs = D.table(spark, sf, "documents")
 
     def make(path: str) -> None:
-        chunks = docs.select(F.col("doc_id").alias("id"), words("text").alias("terms"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"))
+        chunks = spread(docs).select(F.col("doc_id").alias("id"), words("text").alias("terms"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"))
         ix = SegmentedIndex.create(spark, path, chunks.where("english").drop("english"))
         ix.add(chunks.where("not english").drop("english"))
         ix.delete(D.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")))

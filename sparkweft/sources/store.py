@@ -96,6 +96,12 @@ def file_parts(df: DataFrame, size: int) -> int:
     return max(1, int(sum(int(leaf.stats().sizeInBytes()) for leaf in _leaves(df)) // size))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as tasks run at once, where its files make fewer: work on long texts then does not wait for one task."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df._jdf.queryExecution().toRdd().getNumPartitions() < wide else df
+
+
 #: Another number when what is written below a store's path changes its form.
 FORM = 2
 
