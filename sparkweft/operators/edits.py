@@ -99,3 +99,44 @@ def context_sections(context: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def rename_entities(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, renames: DataFrame, merge: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and vectors after entities got other names by ``renames(old, new)``.
+
+    ``nodes(name, ...)``, ``edges(src, tgt, weight)`` and ``vectors(id, v)``,
+    whose ids are those of entities (by name) and of relations (by pair). A new
+    name that another entity keeps is refused on use, unless ``merge`` allows
+    it: then that entity's properties stay, and fill up from those that come to
+    it where they are null, in order of the old names. Vectors move to the new
+    ids; of several that come to one id the one that was there stays, else that
+    of the first old id. Those of relations that became loops go. An old name
+    that is no entity does nothing.
+    """
+    rest = [c for c in nodes.columns if c != "name"]
+    there = renames.join(nodes.select(F.col("name").alias("old")), "old", "left_semi").select("old", "new").where("old <> new")
+    moved = nodes.join(there.withColumnRenamed("old", "name"), "name", "left")
+    # Names that somebody keeps: those asked for must not be among them.
+    kept = moved.where("new is null").select(F.col("name").alias("new"), F.lit(True).alias("_kept"))
+    asked = moved.where("new is not null").join(kept, "new", "left")
+    if not merge:
+        twice = F.count(F.lit(1)).over(Window.partitionBy("new")) > 1
+        told = F.concat(F.lit("entity exists: "), "new")
+        asked = asked.withColumn("_twice", twice).where(F.assert_true(F.col("_kept").isNull() & ~F.col("_twice"), told).isNull()).drop("_twice")
+    both = moved.where("new is null").select(F.col("name").alias("_to"), F.lit("").alias("_from"), *rest).unionByName(asked.select(F.col("new").alias("_to"), F.col("name").alias("_from"), *rest))
+    # What was there comes first, then old names in order.
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_from", "_to"))).alias(c)
+    new_nodes = both.groupBy("_to").agg(*[first(c) for c in rest]).select(F.col("_to").alias("name"), *rest)
+
+    a, b = there.select(F.col("old").alias("src"), F.col("new").alias("_a")), there.select(F.col("old").alias("tgt"), F.col("new").alias("_b"))
+    ends = edges.join(a, "src", "left").join(b, "tgt", "left").withColumns({"_x": F.coalesce("_a", "src"), "_y": F.coalesce("_b", "tgt")})
+    new_edges = ends.where("_x <> _y").groupBy(F.least("_x", "_y").alias("src"), F.greatest("_x", "_y").alias("tgt")).agg(F.sum("weight").alias("weight"))
+
+    ids = there.select(hash_id("ent-", "old").alias("id"), hash_id("ent-", "new").alias("_id"))
+    pairs = ends.where("_a is not null or _b is not null").select(relation_id("src", "tgt").alias("id"), F.when(F.col("_x") != F.col("_y"), relation_id("_x", "_y")).alias("_id"))
+    changed = ids.unionByName(pairs).distinct().withColumn("_moves", F.lit(True))
+    v = vectors.join(changed, "id", "left").where("_moves is null or _id is not null")
+    order = F.struct(F.col("_moves").isNotNull().alias("m"), "id")
+    others = [c for c in vectors.columns if c != "id"]
+    new_vectors = v.groupBy(F.coalesce("_id", "id").alias("_to")).agg(F.min_by(F.struct(*others), order).alias("_v")).select(F.col("_to").alias("id"), *[F.col("_v")[c].alias(c) for c in others])
+    return new_nodes, new_edges, new_vectors

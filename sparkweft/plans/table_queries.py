@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.functions.text import words
+from sparkweft.functions.text import hash_id, relation_id, words
+from sparkweft.operators import edits as E
 from sparkweft.operators import labels as A
 from sparkweft.operators import lexical as L
 from sparkweft.operators import many as M
@@ -87,6 +88,18 @@ def _trade(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(pairs).distinct()
 
 
+def rename_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the smallest size take their brand's name, which several share, and are merged: nodes, edges and the ids of vectors after it."""
+    p = D.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.col("p_type").alias("kind"), "p_size", "p_brand")
+    renames = p.where("p_size = 1").select(F.col("name").alias("old"), F.col("p_brand").alias("new"))
+    vectors = D.vectors(spark, sf).select(hash_id("ent-", "name").alias("id"), F.col("id").alias("v"))
+    vectors = vectors.unionByName(D.edges(spark, sf).select(relation_id("src", "tgt").alias("id"), F.lit(-1).cast("long").alias("v")))
+    nodes, edges, moved = E.rename_entities(p.select("name", "kind"), D.edges(spark, sf).select("src", "tgt", "weight"), vectors, renames, merge=True)
+    out = nodes.select(F.lit("node").alias("what"), "name", F.col("kind").alias("told"))
+    out = out.unionByName(edges.select(F.lit("edge").alias("what"), F.concat_ws("-", "src", "tgt").alias("name"), F.col("weight").cast("long").cast("string").alias("told")))
+    return out.unionByName(moved.select(F.lit("vector").alias("what"), F.col("id").alias("name"), F.col("v").cast("string").alias("told")))
+
+
 def search_labels_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """The label search of ``search_labels`` out of the gram index of part names, made once of each state of the parts."""
     part = D.table(spark, sf, "part")
@@ -105,7 +118,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return louvain(D.nation_edges(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, search_labels_indexed, clustering_trade, communities)}
+QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, rename_with_vectors, search_labels_indexed, clustering_trade, communities)}
 
 _LEX = f"ch AS (SELECT doc_id AS id, {D.TERMS} AS terms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {R._ASK}, {R._bm25('ch', 'ask', 20)}"
 _MANY = f"""{D.VECTORS}, qs AS (SELECT bucket AS qid, arg_min(v, id) AS q FROM vec GROUP BY 1),
@@ -124,6 +137,14 @@ f{n} AS (SELECT qid, nbr AS node, score, parent FROM k{n} QUALIFY row_number() O
 ORACLE_SQL = {
     "bm25_segments": f"WITH {_LEX} SELECT id, score FROM lex",
     "bm25_blocks": f"WITH {_LEX} SELECT id, score FROM lex",
+    "rename_with_vectors": f"""WITH {D.EDGES}, {D.VECTORS}, ren AS (SELECT 'P' || p_partkey AS old, p_brand AS new FROM part WHERE p_size = 1),
+n AS (SELECT coalesce(new, 'P' || p_partkey) AS name, coalesce(old, '') AS f, p_type AS kind FROM part LEFT JOIN ren ON old = 'P' || p_partkey),
+e AS (SELECT src, tgt, weight, coalesce(a.new, src) AS x, coalesce(b.new, tgt) AS y FROM edges LEFT JOIN ren a ON a.old = src LEFT JOIN ren b ON b.old = tgt),
+v AS (SELECT 'ent-' || md5(coalesce(new, name)) AS to_id, new IS NOT NULL AS m, 'ent-' || md5(name) AS id, vec.id AS v FROM vec LEFT JOIN ren ON old = name
+  UNION ALL SELECT 'rel-' || md5(least(x, y) || greatest(x, y)), x <> src OR y <> tgt, 'rel-' || md5(least(src, tgt) || greatest(src, tgt)), -1 FROM e WHERE x <> y)
+SELECT 'node' AS what, name, arg_min(kind, f) AS told FROM n GROUP BY name
+UNION ALL SELECT 'edge', least(x, y) || '-' || greatest(x, y), sum(weight)::BIGINT::VARCHAR FROM e WHERE x <> y GROUP BY 2
+UNION ALL SELECT 'vector', to_id, arg_min(v, (m, id))::VARCHAR FROM v GROUP BY to_id""",
     "search_labels_indexed": Q.ORACLE_SQL["search_labels"],
     "clustering_trade": """WITH t AS MATERIALIZED (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 cp AS MATERIALIZED (SELECT DISTINCT c, p FROM t), cs AS MATERIALIZED (SELECT DISTINCT c, s FROM t), ps AS MATERIALIZED (SELECT DISTINCT p, s FROM t),
