@@ -57,3 +57,17 @@ def cached(prompts: DataFrame, cache: DataFrame, answer: Callable[[Column], Colu
     hit = prompts.join(cache.select("key", "return"), "key").select("key", "return", F.lit(False).alias("fresh"))
     rest = prompts.join(cache.select("key"), "key", "left_anti")
     return hit.unionByName(rest.select("key", answer(F.col("prompt")).alias("return"), F.lit(True).alias("fresh")))
+
+
+def rerank_documents(docs: DataFrame, question: str, score: Callable[[Column | str, Column | str], Column], most: int = 480, overlap: int = 32, how: str = "max", top_n: int | None = None) -> DataFrame:
+    """(doc, score, pos) of ``docs(id, terms)``: windows of ``most`` tokens are scored, a document by its windows (max, mean or first), and only then the best ``top_n`` taken.
+
+    So a long document cannot crowd out others by its many windows. Documents
+    without tokens, or whose windows all have no score, have no place.
+    """
+    from sparkweft.operators.chunking import rerank_windows
+    from sparkweft.operators.lexical import rerank_aggregate
+
+    parts = rerank_windows(docs, most, overlap).withColumn("question", F.lit(question))
+    told = rerank_aggregate(parts.select(F.col("id").alias("doc"), F.col("part").alias("pos"), score("question", "content").alias("score")), how)
+    return told if top_n is None else told.where(F.col("pos") <= top_n)

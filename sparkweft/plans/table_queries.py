@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions.text import hash_id, relation_id, words
 from sparkweft.operators import edits as E
+from sparkweft.operators import hooks as H
 from sparkweft.operators import labels as A
 from sparkweft.operators import lexical as L
 from sparkweft.operators import many as M
@@ -100,6 +101,21 @@ def rename_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(moved.select(F.lit("vector").alias("what"), F.col("id").alias("name"), F.col("v").cast("string").alias("told")))
 
 
+#: What the reranked documents are asked for; a window's score is the share of its words that stand in it.
+_ASKED = "the of and in die der und de la les"
+
+
+def rerank_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The 25 documents with the best window, out of all windows of all documents."""
+
+    def share(question: str, windows: list[str]) -> list[float]:
+        known = set(question.split())
+        return [sum(w in known for w in t.split(" ")) / len(t.split(" ")) for t in windows]
+
+    chunks = D._chunks(spread(D.table(spark, sf, "documents"))).select("id", "terms")
+    return H.rerank_documents(chunks, _ASKED, H.reranker(share), 48, 8, "max", 25)
+
+
 def search_labels_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """The label search of ``search_labels`` out of the gram index of part names, made once of each state of the parts."""
     part = D.table(spark, sf, "part")
@@ -118,7 +134,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return louvain(D.nation_edges(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, rename_with_vectors, search_labels_indexed, clustering_trade, communities)}
+QUERIES = {f.__name__: f for f in (upsert_history, bm25_segments, bm25_blocks, beam_many, focused_many, rename_with_vectors, rerank_documents, search_labels_indexed, clustering_trade, communities)}
 
 _LEX = f"ch AS (SELECT doc_id AS id, {D.TERMS} AS terms FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {R._ASK}, {R._bm25('ch', 'ask', 20)}"
 _MANY = f"""{D.VECTORS}, qs AS (SELECT bucket AS qid, arg_min(v, id) AS q FROM vec GROUP BY 1),
@@ -137,6 +153,9 @@ f{n} AS (SELECT qid, nbr AS node, score, parent FROM k{n} QUALIFY row_number() O
 ORACLE_SQL = {
     "bm25_segments": f"WITH {_LEX} SELECT id, score FROM lex",
     "bm25_blocks": f"WITH {_LEX} SELECT id, score FROM lex",
+    "rerank_documents": f"""WITH {D.CHUNKS}, w AS (SELECT id, terms[i * 40 + 1 : i * 40 + 48] AS t FROM (SELECT *, unnest(range(0, greatest(1, ceil((len(terms) - 8) / 40))::BIGINT)) AS i FROM chunks WHERE len(terms) > 0)),
+s AS (SELECT id AS doc, round(max(len(list_filter(t, lambda x: list_contains(string_split('{_ASKED}', ' '), x))) / len(t)), 6) AS score FROM w GROUP BY 1)
+SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc) AS pos FROM s QUALIFY pos <= 25""",
     "rename_with_vectors": f"""WITH {D.EDGES}, {D.VECTORS}, ren AS (SELECT 'P' || p_partkey AS old, p_brand AS new FROM part WHERE p_size = 1),
 n AS (SELECT coalesce(new, 'P' || p_partkey) AS name, coalesce(old, '') AS f, p_type AS kind FROM part LEFT JOIN ren ON old = 'P' || p_partkey),
 e AS (SELECT src, tgt, weight, coalesce(a.new, src) AS x, coalesce(b.new, tgt) AS y FROM edges LEFT JOIN ren a ON a.old = src LEFT JOIN ren b ON b.old = tgt),
