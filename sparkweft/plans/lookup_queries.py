@@ -18,7 +18,7 @@ from sparkweft.plans import document_queries as Q
 
 
 def kv_delete(spark: SparkSession, sf: str) -> DataFrame:
-    gone = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    gone = D.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return K.delete(D.table(spark, sf, "customer"), gone, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -97,10 +97,10 @@ def degree_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_acquisition(spark: SparkSession, sf: str) -> DataFrame:
     """Keywords given, cached or asked for; a short question without any is its own."""
-    c = D.table(spark, sf, "conversations").where("turn = 0")
-    k = F.col("conv_id")
+    c = D.table(spark, sf, "conversations")
+    k = F.col("conv_id") * 1000 + F.col("turn")
     none = F.array().cast("array<string>")
-    ask = c.select(k.alias("id"), F.when(k % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("question"), F.when(k % 5 == 0, F.array(F.lit("given"))).otherwise(none).alias("hl"), none.alias("ll"))
+    ask = c.select(k.alias("id"), F.col("text").alias("question"), F.when(k % 5 == 0, F.array(F.lit("given"))).otherwise(none).alias("hl"), none.alias("ll"))
     told = F.concat(F.lit('<think>hm</think> sure:\n```json\n{"high_level_keywords": ["h'), k, F.lit('", "x",], "low_level_keywords": ["l'), k, F.lit('"],}\n```'))
     cache = c.where(k % 5 < 3).select(k.alias("id"), F.when(k % 5 == 2, F.lit("no idea")).otherwise(told).alias("answer"))
     out = X.query_keywords(ask, cache, lambda q: F.when(F.length(q) % 2 == 0, F.lit('{"low_level_keywords": ["asked"]}')))
@@ -161,7 +161,7 @@ cl AS (SELECT deg.node, degree, coalesce(n, 0) AS n, round(CASE WHEN degree > 1
 _GOOD = "'<|#|>'"
 
 ORACLE_SQL = {
-    "kv_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "kv_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "kv_empty": "SELECT NOT EXISTS (SELECT 1 FROM customer) AS is_empty, 'full' AS state UNION ALL SELECT true, 'cleared'",
     "cache_delete_class": f"WITH {_FLAT} SELECT mode || ':' || kind || ':' || hash AS key, return FROM f WHERE NOT (mode = 'm1' AND kind = 'user')",
     "cache_migration": f"WITH {_FLAT} SELECT 'default:' || kind || ':' || hash AS key, return FROM f WHERE mode = 'm2' AND kind = 'extract'",
@@ -178,7 +178,7 @@ UNION ALL SELECT 'track', doc_id, status, file_path FROM st WHERE content_length
     "transitivity": f"WITH {_CLUSTER} SELECT round(CASE WHEN sum(degree * (degree - 1) / 2) > 0 THEN sum(n) / sum(degree * (degree - 1) / 2) ELSE 0 END, 6)::DOUBLE AS transitivity FROM cl",
     "clustering_types": f"WITH {_CLUSTER} SELECT r_name AS kind, count(*) AS n, round(avg(coefficient), 6) AS mean, round(quantile_cont(coefficient, 0.5), 6) AS median FROM cl JOIN nation ON node = 'N' || n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
     "degree_counts": f"WITH {D.EDGES}, {D.ADJ} SELECT count(*) AS nodes, max(degree) AS greatest, count(*) FILTER (degree >= 100) AS from_100, count(*) FILTER (degree >= 50) AS from_50 FROM deg",
-    "keyword_acquisition": """WITH q AS (SELECT conv_id AS id, conv_id % 5 AS m, CASE WHEN conv_id % 3 = 0 THEN substr(text, 1, 20) ELSE text END AS t FROM conversations WHERE turn = 0),
+    "keyword_acquisition": """WITH q AS (SELECT conv_id * 1000 + turn AS id, (conv_id * 1000 + turn) % 5 AS m, text AS t FROM conversations),
 k AS (SELECT *, CASE WHEN m = 0 THEN 'given' WHEN m < 3 THEN 'cache' ELSE 'model' END AS how, CASE WHEN m = 0 THEN 'given' WHEN m = 1 THEN 'h' || id || ',x' ELSE '' END AS hl, CASE WHEN m = 1 THEN 'l' || id WHEN m > 2 AND length(t) % 2 = 0 THEN 'asked' ELSE '' END AS l FROM q)
 SELECT id, how, hl, CASE WHEN hl = '' AND l = '' AND length(t) < 50 THEN t ELSE l END AS ll FROM k""",
     "cached_answers": "SELECT conv_id || '-' || turn AS key, CASE WHEN turn % 2 = 0 THEN 'old ' || role ELSE upper(role) END AS return, turn % 2 <> 0 AS fresh FROM conversations",
