@@ -6,13 +6,14 @@ doubling: suffixes that share their first ``LONG`` tokens stand together, and
 those that come from ``COMMON`` of the host's distinct pages, and ``FEWEST``
 pages at least, begin a long substring that the host repeats. (A longer
 repeated substring is a chain of such places, so no deeper order is needed.)
-Blocks that such substrings cover are boilerplate; unique runs stay.
+The tokens that such substrings cover are boilerplate and are cut out, within a
+block, too; unique runs stay, down to single words.
 
 Pages of equal text count once, so mirrored pages are no repetition. Inside an
-article a block goes only if half of the host's distinct pages repeat it, and
-only while the article as a whole is not mostly repeated: near copies of an
-article stay whole. Outside, a page that is one repeated run from end to end
-is a mirror, too, and stays.
+article a run goes only if half of the host's distinct pages repeat it. A page
+or article that is one repeated run from end to end is a mirror and stays, as
+does an article that is mostly repeated and has no run of ``LONG`` words of its
+own: near copies of an article stay whole.
 
 Large hosts are dealt into shards of about ``SHARD`` characters by their
 text's hash, each with a suffix array of its own. A substring common on the
@@ -21,11 +22,14 @@ substrings are the candidates, every distinct page of the host is searched for
 them, and the sums decide. The result does not depend on the shards.
 
 Tags are hints: where a page has article elements, text is what stands in
-them (else in main, else anywhere). Menus, headers and footers of a page,
-sidebars, forms, hidden elements and the like are known by tag and role; by
-class and id only outside an article, or by names inside it that mean nothing
-else. Null and empty pages give the empty text. Repeated rows give a row
-each; other columns are ignored.
+them (else in main, else anywhere); articles named as teasers go where others
+are not. Menus, headers and footers of a page, sidebars, forms, hidden elements
+and the like are known by tag and role, and by class and id where the whole
+name means nothing else. A name that only holds such a word is a doubt:
+outside an article its blocks stay if they are ``LONG`` words or more of
+unlinked text, which the array can judge, and go if shorter. Null and empty
+pages give the empty text. Repeated rows give a row each; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ from sparkweft.llm.common import byte_view, grams, lean, null_as_empty, rows_of,
 LONG, SHARD = 8, 16_000_000
 #: Share of a host's distinct pages from which a substring is boilerplate outside and inside an article, and pages at least.
 COMMON, COMMON_INSIDE, FEWEST = 0.1, 0.5, 3
-#: Share of a page (of an article) in one common run (in common runs) from which it is a copy, not boilerplate.
+#: Share of a page in one common run from which it is a copy, not boilerplate; share of an article without a long run of its own in common runs.
 MIRROR, MIRROR_INSIDE = 0.8, 0.5
 #: Rows of a host table that may be broadcast: some 100 bytes each.
 FEW_HOSTS, FEW_WINDOWS = 100_000, 1_000_000
@@ -60,16 +64,29 @@ BLOCK = {
 }
 OUT_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "head", "button", "dialog"}
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "dialog", "alert", "alertdialog"}
-#: Words of class and id names whose element, outside an article, holds no text of one.
+#: Words of class and id names that make it doubtful, outside an article, whether the element holds text of one.
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|byline|footer|sidebar|side-bar|rail|widget\w*|related|recommend\w*|share|sharing|social|comments?|comment-?list|respond|disqus|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|pagination|pager|toolbar|skip-?link|disclaimer|copyright|legal)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that decide, if a name has no others than these, doubtful ones and words for parts of a page.
+CERTAIN = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr",
+    "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "pager", "pagination", "popup", "promo", "promotion", "rail", "recommendations", "recommended", "related",
+    "sharing", "sidebar", "signup", "skip", "social", "sponsored", "subscribe", "toolbar", "widget", "widgets",
+}
+UNSURE = {"copyright", "disclaimer", "legal", "notice", "overlay", "replies", "respond", "search", "share"}
+PARTS = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "form", "global", "group", "icon", "icons", "inner", "item", "items", "left", "link", "links",
+    "list", "main", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "side", "site", "slot", "stories", "story", "text", "thread", "top", "unit", "user", "wrap", "wrapper",
+}
 #: Whole class and id names whose element holds no article text inside an article either.
 INNER_NAMES = re.compile(
-    r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|(?:reader-|user-)?comments?(?:-list|-section|-form|-area)?|respond|disqus(?:_thread)?|replies|(?:social-)?(?:share|sharing)(?:-bar|-buttons?|-links?)?|social(?:-links|-bar)?|newsletter(?:-signup|-box)?|subscribe(?:-box)?|signup|cookies?-?(?:notice|banner|consent)?|gdpr|notice|popup|modal|breadcrumbs?|pagination|pager|toolbar|sidebar|widget|skip-?link|related-(?:posts|articles|links|stories))(?=$|\s)",
+    r"(?:^|\s)(?:ads?|adverts?|advertisement|sponsored|promo|(?:reader-|user-)?comments?(?:-list|-section|-form|-area)?|respond|disqus(?:_thread)?|replies|(?:social-)?(?:share|sharing)(?:-bar|-buttons?|-links?)?|social(?:-links|-bar)?|newsletter(?:-signup|-box)?|subscribe(?:-box)?|signup|cookies?-?(?:notice|banner|consent)?|gdpr|popup|modal|breadcrumbs?|pagination|pager|toolbar|sidebar|widget|skip-?link|related-(?:posts|articles|links|stories))(?=$|\s)",
     re.IGNORECASE,
 )
+#: Names of articles that stand for others.
+TEASER = re.compile(r"(?:^|[\s_-])(?:card|teaser|preview|tile)(?=$|[\s_-])", re.IGNORECASE)
 CLOSES = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
@@ -77,49 +94,68 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _out(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no article text. Headers inside an article are its own."""
+def _certain(names: str) -> bool:
+    """Whether one of several class or id names says nothing but that its element holds no article text."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+|\d+", name) if w]
+        if any(w in CERTAIN for w in words) and all(w in CERTAIN or w in UNSURE or w in PARTS for w in words):
+            return True
+    return False
+
+
+def _out(tag: str, attrs: str, inside: bool) -> int:
+    """What an element's tag and attributes say of article text in it: OUT (it holds none), DOUBT, TEASED (an article that stands for another) or 0. Headers inside an article are its own."""
     if tag in OUT_TAGS and not (inside and tag == "header"):
-        return True
+        return OUT
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in OUT_ROLES:
-            return True
-        if name in ("class", "id") and (inside or tag not in ("html", "body", "article", "main")) and (INNER_NAMES if inside else OUT_NAMES).search(value):
-            return True
+            return OUT
         if name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return OUT
+        if name not in ("class", "id"):
+            continue
+        if inside:
+            if INNER_NAMES.search(value):
+                return OUT
+        elif tag == "article":
+            found = found or TEASED * bool(TEASER.search(value))
+        elif tag not in ("html", "body", "main") and OUT_NAMES.search(value):
+            if _certain(value):
+                return OUT
+            found = DOUBT
+    return found
 
 
-#: Where a block stands: in an article, in main, in something that holds no text.
-ARTICLE, MAIN, OUT = 1, 2, 4
+#: Where a block stands: in an article, in main, in something that holds no text, or perhaps none, in a teaser.
+ARTICLE, MAIN, OUT, DOUBT, TEASED = 1, 2, 4, 8, 16
 
 
 def blocks(page: str) -> list[tuple[str, int, float]]:
-    """(text, where it stands, share of link characters) of every block with text. Each tag costs its own length and the elements that it closes."""
+    """(text, where it stands, share of link characters, 0 for a paragraph of one link) of every block with text. Each tag costs its own length and the elements that it closes."""
     found: list[tuple[str, int, float]] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each holds no text
+    linked = links = 0
+    stack: list[tuple[str, int]] = []  # open elements, and what each says of its text
     opened: dict[str, int] = {}  # how often each tag is open
-    out = 0
+    said = {0: 0, OUT: 0, DOUBT: 0, TEASED: 0}  # by how many open elements
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((text, ARTICLE * (opened.get("article", 0) > 0) | MAIN * (opened.get("main", 0) > 0) | OUT * (out > 0), min(1.0, linked / len(text))))
+                where = ARTICLE * (opened.get("article", 0) > 0) | MAIN * (opened.get("main", 0) > 0) | sum(k for k, n in said.items() if n)
+                found.append((text, where, 0.0 if links == 1 and opened.get("p") else min(1.0, linked / len(text))))
             parts.clear()
-        linked = 0
+        linked, links = 0, opened.get("a", 0)
 
     def pop() -> str:
-        nonlocal out
-        tag, dark = stack.pop()
-        out -= dark
+        tag, told = stack.pop()
+        said[told] -= 1
         opened[tag] -= 1
         return tag
 
@@ -165,21 +201,23 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
                     pass
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        dark = _out(tag, m[3], opened.get("article", 0) > 0)
-        stack.append((tag, dark))
+        told = _out(tag, m[3], opened.get("article", 0) > 0)
+        stack.append((tag, told))
         opened[tag] = opened.get(tag, 0) + 1
-        out += dark
+        said[told] += 1
+        links += tag == "a"
     close()
     return found
 
 
 def candidates(page: str) -> tuple[list[str], bool]:
     """Blocks that may be text, by the tags alone, and whether they stand in an article."""
-    found = blocks(page)
+    found = [(t, where, link) for t, where, link in blocks(page) if not where & OUT and not (where & DOUBT and (link >= 0.5 or t.count(" ") < LONG - 1))]
     for kind in (ARTICLE, MAIN):
-        if mine := [text for text, where, _ in found if where & kind and not where & OUT]:
-            return mine, True
-    return [text for text, where, link in found if not where & OUT and link < 0.5], False
+        if mine := [(text, where & TEASED) for text, where, _ in found if where & kind]:
+            whole = any(not teased for _, teased in mine)
+            return [text for text, teased in mine if not (whole and teased)], True
+    return [text for text, _, link in found if link < 0.5], False
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,18 +264,28 @@ def cover(hashes: np.ndarray, size: int, known: np.ndarray, share: np.ndarray, d
     return out
 
 
+def runs(mark: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mark.astype(np.int8), [0]))))
+    return edges[1::2] - edges[::2]
+
+
 def main_text(texts: list[str], inside: bool, sizes: np.ndarray, shares: np.ndarray) -> str:
-    """The kept blocks of one page; sizes: tokens of each block, shares: of each token, the share of pages that repeat it."""
+    """One page's blocks without their common runs; sizes: tokens of each block, shares: of each token, the share of pages that repeat it."""
     common = shares >= (COMMON_INSIDE if inside else COMMON)
     if common.any():
-        if inside:
-            copy = common.mean() >= MIRROR_INSIDE
-        else:
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], common.astype(np.int8), [0]))))
-            copy = (edges[1::2] - edges[::2]).max() >= MIRROR * len(common)
+        copy = runs(common).max() >= MIRROR * len(common)
+        if inside and not copy:
+            copy = common.mean() >= MIRROR_INSIDE and runs(~common).max(initial=0) < LONG
         if not copy:
             first = np.concatenate(([0], np.cumsum(sizes)))
-            texts = [t for t, a, b in zip(texts, first[:-1], first[1:]) if a == b or common[a:b].mean() < 0.5]
+            own = []
+            for text, a, b in zip(texts, first[:-1], first[1:]):
+                if common[a:b].any():
+                    text = " ".join(w for w, gone in zip(text.split(" "), common[a:b]) if not gone)
+                if text:
+                    own.append(text)
+            texts = own
     return "\n".join(texts)
 
 
