@@ -93,23 +93,6 @@ def summary_decision(descriptions: DataFrame, fewest: int = 8, tokens: int = 120
     return g.select("name", "n", "tokens", action.alias("action"))
 
 
-def pack_groups(descriptions: DataFrame, budget: int) -> DataFrame:
-    """(name, pos, part): consecutive descriptions packed greedily into parts of at most ``budget`` tokens, two a part at least.
-
-    Greedy packing folds over one name's token counts in order, JVM-side.
-    """
-    g = descriptions.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("d"))
-    zero = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("held"), F.array().cast("array<struct<pos:bigint,part:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc.held < 2) | (acc.used + x.tokens <= budget)
-        part = F.when(fits, acc.part).otherwise(acc.part + 1)
-        return F.struct(part.alias("part"), F.when(fits, acc.used + x.tokens).otherwise(x.tokens).cast("long").alias("used"), F.when(fits, acc.held + 1).otherwise(F.lit(1)).alias("held"), F.concat(acc.out, F.array(F.struct(x.pos.cast("long").alias("pos"), part.alias("part")))).alias("out"))
-
-    packed = g.select("name", F.aggregate("d", zero, step).alias("a"))
-    return packed.select("name", F.explode("a.out").alias("o")).select("name", "o.pos", "o.part")
-
-
 #: How one attribute of merged entities comes out, by strategy; ``pos`` orders the entities.
 def merge_attribute(strategy: str, value: str, pos: str = "pos") -> Column:
     some = F.when(F.col(value).isNotNull() & (F.col(value).cast("string") != ""), F.struct(pos, F.col(value).alias("x")))

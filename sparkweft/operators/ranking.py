@@ -14,14 +14,21 @@ def _dealt(df: DataFrame, order: tuple[Column | str, ...]) -> DataFrame:
     return stored(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, value: str, *order: Column | str, name: str = "used") -> DataFrame:
-    """``df`` and the sum of ``value`` up to each row in a total order: sums in each range, and the sums of the ranges before."""
+def runnings(df: DataFrame, sums: dict[str, str], *order: Column | str) -> DataFrame:
+    """``df`` and, for each new name in ``sums``, the sum of that column up to each row in a total order: sums in each range, and the sums of the ranges before."""
     rows = _dealt(df, order)
-    sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    in_ranges = rows.groupBy("_range").agg(*(F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()))
     # One row for each range.
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    all_before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = in_ranges.select("_range", *(F.coalesce(F.sum(f"_sum_{n}").over(all_before), F.lit(0)).alias(f"_before_{n}") for n in sums))
     here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(F.broadcast(before), "_range").withColumn(name, F.sum(value).over(here) + F.col("_before")).drop("_range", "_before")
+    out = rows.join(F.broadcast(before), "_range").select(*rows.columns, *(F.col(f"_before_{n}") for n in sums), *(F.sum(v).over(here).alias(f"_here_{n}") for n, v in sums.items()))
+    return out.select(*df.columns, *((F.col(f"_here_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+
+
+def running(df: DataFrame, value: str, *order: Column | str, name: str = "used") -> DataFrame:
+    """``df`` and the sum of ``value`` up to each row in a total order."""
+    return runnings(df, {name: value}, *order)
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:

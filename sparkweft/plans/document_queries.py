@@ -10,6 +10,7 @@ from sparkweft.operators import chunking as C
 from sparkweft.operators import extract as X
 from sparkweft.operators import merge as M
 from sparkweft.operators import tables as K
+from sparkweft.operators.packing import pack_groups
 from sparkweft.plans import data as D
 
 
@@ -185,7 +186,7 @@ def summary_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def description_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return M.pack_groups(D.table(spark, sf, "conversations").select(F.col("conv_id").alias("name"), F.col("turn").alias("pos"), F.floor(F.length("text") / 4).cast("long").alias("tokens")), 120)
+    return pack_groups(D.table(spark, sf, "conversations").select(F.col("conv_id").alias("name"), F.col("turn").alias("pos"), F.floor(F.length("text") / 4).cast("long").alias("tokens")), 120)
 
 
 def merge_attributes(spark: SparkSession, sf: str) -> DataFrame:
