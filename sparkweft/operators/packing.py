@@ -27,16 +27,18 @@ BLOCK = 1 << 16
 
 def _successors(rows: DataFrame, budget: int) -> DataFrame:
     """(name, pos, n, first, next): each row's number, its name's first number, and the number at which a part that begins here is over; 0 where that is the name's end."""
-    placed = stored(runnings(rows.withColumn("one", F.lit(1).cast("long")), {"n": "one", "upto": "tokens"}, "name", "pos", "tokens"), "placed")
+    numbered = runnings(rows.withColumn("one", F.lit(1).cast("long")), {"n": "one", "upto": "tokens"}, "name", "pos", "tokens")
+    placed = stored(numbered, "placed")
+    spent(numbered)
     ends = placed.groupBy("name").agg(F.min("n").alias("first"), F.max("n").alias("last"))
     # How many sums are at most a row's own start plus the budget: sums stand before starts of equal value.
     sums = placed.select("name", "pos", "n", F.col("upto").alias("at"), F.lit(1).cast("long").alias("sum"))
     starts = placed.select("name", "pos", "n", (F.col("upto") - F.col("tokens") + budget).alias("at"), F.lit(0).cast("long").alias("sum"))
-    found = runnings(sums.unionByName(starts), {"fit": "sum"}, "at", F.desc("sum"), "n").where("sum = 0")
-    found = found.alias("f").join(ends.alias("e"), F.col("f.name").eqNullSafe(F.col("e.name")))
+    searched = runnings(sums.unionByName(starts), {"fit": "sum"}, "at", F.desc("sum"), "n")
+    found = searched.where("sum = 0").alias("f").join(ends.alias("e"), F.col("f.name").eqNullSafe(F.col("e.name")))
     after = F.greatest(F.col("fit") + 1, F.col("n") + 2)
     out = stored(found.select("f.name", "pos", "n", "first", F.when(after <= F.col("last"), after).otherwise(0).alias("next")), "successors")
-    spent(placed)
+    spent(placed, searched)
     return out
 
 
@@ -73,6 +75,7 @@ def _entries(walks: DataFrame) -> DataFrame:
         passed = stored(passed.unionByName(passed.join(jumps, "n").select(F.col("to").alias("n"))).distinct(), "passed")
         jumps = stored(jumps.alias("a").join(jumps.alias("b"), F.col("a.to") == F.col("b.n")).select("a.n", "b.to"), "jumps")
         spent(*before)
+    spent(jumps)
     return passed
 
 
@@ -84,14 +87,16 @@ def pack_groups(descriptions: DataFrame, budget: int, block: int = BLOCK) -> Dat
     ignored, and an empty table gives none.
     """
     rows = descriptions.select("name", F.col("pos").cast("long").alias("pos"), F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
-    linked = _successors(rows, budget).withColumn("block", F.floor((F.col("n") - 1) / block))
+    successors = _successors(rows, budget)
+    linked = successors.withColumn("block", F.floor((F.col("n") - 1) / block))
     exits = linked.select("block", "n", "next").groupBy("block").applyInPandas(_exits, "n long, exit long")
     walks = stored(linked.select("n", "first").join(exits, "n"), "walks")
     entries = _entries(walks)
     known = linked.join(entries.withColumn("_in", F.lit(True)), "n", "left").withColumn("begins", F.col("_in").isNotNull() | (F.col("n") == F.col("first")))
     begun = known.select("block", "n", "next", "begins").groupBy("block").applyInPandas(_begun, "n long")
     flagged = linked.join(begun.withColumn("_in", F.lit(1).cast("long")), "n", "left").select("name", "pos", "n", "first", F.coalesce("_in", F.lit(0)).alias("begins"))
-    told = stored(runnings(flagged, {"begun": "begins"}, "n"), "parts")
-    spent(walks, entries)
+    counted = runnings(flagged, {"begun": "begins"}, "n")
+    told = stored(counted, "parts")
+    spent(successors, walks, entries, counted)
     base = told.where("n = first").select("first", F.col("begun").alias("base"))
     return told.join(base, "first").select("name", "pos", (F.col("begun") - F.col("base")).alias("part"))

@@ -23,7 +23,10 @@ def runnings(df: DataFrame, sums: dict[str, str], *order: Column | str) -> DataF
     before = in_ranges.select("_range", *(F.coalesce(F.sum(f"_sum_{n}").over(all_before), F.lit(0)).alias(f"_before_{n}") for n in sums))
     here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(before), "_range").select(*rows.columns, *(F.col(f"_before_{n}") for n in sums), *(F.sum(v).over(here).alias(f"_here_{n}") for n, v in sums.items()))
-    return out.select(*df.columns, *((F.col(f"_here_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+    out = out.select(*df.columns, *((F.col(f"_here_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+    # For whoever stores the result: the ranges are spent then.
+    out._stored_at = rows._stored_at
+    return out
 
 
 def running(df: DataFrame, value: str, *order: Column | str, name: str = "used") -> DataFrame:

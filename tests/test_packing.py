@@ -43,6 +43,15 @@ def test_against_fold(spark, block):
     assert sorted(packed(spark, rows, 120, block=block), key=key) == sorted(fold(rows, 120), key=key)
 
 
+def test_leaves_its_result_alone(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert len(packed(spark, [("a", i, 7) for i in range(50)], 20, block=8)) == 50
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["parts"]
+
+
 def test_empty(spark):
     assert packed(spark, [], 10) == []
 
