@@ -109,10 +109,22 @@ def weighted(semantic: DataFrame, lexical: DataFrame, alpha: float, k: int) -> D
     return j.select("id", F.round(both, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def exact_mean(value: str) -> Column:
+    """The mean to six places, halves away from 0, of the numbers as they are written: the same in whatever order they are added up.
+
+    A sum of doubles depends on its order, which moves means that lie at a half.
+    Where a number or their sum has no place in a decimal of 20 digits before
+    the point, the mean of the doubles stands in.
+    """
+    d = F.col(value).try_cast("decimal(38,18)")
+    mean = F.round(F.try_sum(d) / F.count(d).cast("decimal(20,0)"), 6).cast("double")
+    return F.coalesce(F.when(F.count(d) == F.count(value), mean), F.round(F.avg(value), 6))
+
+
 def rerank_aggregate(parts: DataFrame, how: str = "max") -> DataFrame:
     """(doc, score, pos) of scored parts ``(doc, pos, score)``: max, mean or first; an unknown way is max."""
     from sparkweft.operators.ranking import numbered
 
     s = parts.where("score is not null")
-    agg = {"mean": F.avg("score"), "first": F.min_by("score", "pos")}.get(how, F.max("score"))
-    return numbered(s.groupBy("doc").agg(F.round(agg, 6).alias("score")), F.desc("score"), "doc")
+    agg = {"mean": exact_mean("score"), "first": F.round(F.min_by("score", "pos"), 6)}.get(how, F.round(F.max("score"), 6))
+    return numbered(s.groupBy("doc").agg(agg.alias("score")), F.desc("score"), "doc")
