@@ -44,6 +44,18 @@ def _in_order(order: list[str], value: str, distinct: bool = True) -> Column:
     return F.array_distinct(got) if distinct else got
 
 
+def beside(parts: list[DataFrame], key: str) -> DataFrame:
+    """Columns of several frames, each with one row a key, in one row a key.
+
+    Rows are put below each other and grouped once: a chain of joins holds the
+    sorts of all its frames in one task.
+    """
+    out, rest = parts[0], [c for p in parts for c in p.columns if c != key]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.groupBy(key).agg(*(F.first(c, ignorenulls=True).alias(c) for c in rest))
+
+
 def merge_nodes(fragments: DataFrame, most_sources: int = 300, most_paths: int = 100) -> DataFrame:
     """One node a name of ``fragments(name, kind, description, chunk, at, path)``.
 
@@ -62,7 +74,7 @@ def merge_nodes(fragments: DataFrame, most_sources: int = 300, most_paths: int =
     n = src.groupBy("name").agg(F.count(F.lit(1)).alias("n_sources"))
     kept = src.withColumn("r", late).where(F.col("r") <= most_sources).groupBy("name").agg(F.array_sort(F.collect_list("chunk")).alias("sources"))
     paths = fragments.groupBy("name", "path").agg(F.min("chunk").alias("first")).groupBy("name").agg(cap_paths(_in_order(["first", "path"], "path"), most_paths).alias("paths"))
-    return kind.join(desc, "name").join(kept, "name").join(n, "name").join(paths, "name")
+    return beside([kind, desc, kept, n, paths], "name").where("name is not null")
 
 
 def merge_edges(fragments: DataFrame) -> DataFrame:

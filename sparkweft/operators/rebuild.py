@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkweft.functions.text import hash_id
 from sparkweft.operators import extract as X
 from sparkweft.operators import merge as M
+from sparkweft.sources.store import stored
 
 
 def _owned(wanted: DataFrame, *keys: str) -> DataFrame:
@@ -48,13 +49,13 @@ def rebuild_nodes(fragments: DataFrame, nodes: DataFrame, edges: DataFrame, want
     it keeps its description, too. ``how`` tells which.
     """
     ours = fragments.join(_owned(wanted, "name"), ["name", "chunk"], "left_semi")
-    made = M.merge_nodes(ours, most_sources, most_paths).withColumn("how", F.lit("fragments"))
-    rest = wanted.join(made.select("name"), "name", "left_anti")
+    made = stored(M.merge_nodes(ours, most_sources, most_paths).withColumn("how", F.lit("fragments")), "nodes")
+    rest = stored(wanted.join(made.select("name"), "name", "left_anti"), "rest")
     both = edges.select(F.col("src").alias("name"), F.col("tgt").alias("other"), "description", "path").unionByName(edges.select(F.col("tgt").alias("name"), F.col("src").alias("other"), "description", "path"))
-    near = both.join(rest.select("name"), "name", "left_semi")
+    near = stored(both.join(rest.select("name"), "name", "left_semi"), "near")
     told = near.where("description <> ''").groupBy("name", "description").agg(F.min("other").alias("at")).groupBy("name").agg(M._in_order(["at", "description"], "description").alias("descriptions"))
     paths = near.groupBy("name", "path").agg(F.min("other").alias("at")).groupBy("name").agg(M.cap_paths(M._in_order(["at", "path"], "path"), most_paths).alias("paths"))
-    j = rest.join(nodes.select("name", "kind", "description"), "name", "left").join(told, "name", "left").join(paths, "name", "left")
+    j = rest.join(nodes.select("name", "kind", "description"), "name", "left").join(M.beside([told, paths], "name"), "name", "left")
     alone = F.array_compact(F.array("description"))
     none = F.array().cast("array<string>")
     other = j.select("name", F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), F.coalesce("descriptions", alone, none).alias("descriptions"), "sources", F.size("sources").cast("long").alias("n_sources"), F.coalesce("paths", none).alias("paths"), F.when(F.col("descriptions").isNotNull(), "relations").otherwise("current").alias("how"))
