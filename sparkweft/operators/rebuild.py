@@ -11,6 +11,7 @@ from sparkweft.functions.text import hash_id
 from sparkweft.operators import extract as X
 from sparkweft.operators import merge as M
 from sparkweft.sources.store import stored
+from sparkweft.sources.store import stored
 
 
 def _owned(wanted: DataFrame, *keys: str) -> DataFrame:
@@ -102,26 +103,42 @@ def rebuild(results: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame,
     return nodes, edges, M.stub_nodes(edges, nodes)
 
 
-def verdicts(owned: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, action) of ``owned(keys, chunk)``: delete where no source is left, rebuild where some went, else keep. Sources are counted, not gathered."""
-    mark = gone.select("chunk", F.lit(1).alias("_g")).distinct()
-    g = owned.select(*keys, "chunk").distinct().join(mark, "chunk", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("had"), F.count("_g").alias("lost"))
-    return g.select(*keys, F.when(F.col("lost") == F.col("had"), "delete").when(F.col("lost") > 0, "rebuild").otherwise("keep").alias("action"))
+def marked(owned: DataFrame, gone: DataFrame) -> DataFrame:
+    """``owned`` with ``lost``: whether its chunk is one of ``gone(chunk)``."""
+    mark = gone.select("chunk", F.lit(True).alias("_g")).distinct()
+    return owned.join(mark, "chunk", "left").withColumn("lost", F.col("_g").isNotNull()).drop("_g")
+
+
+def verdicts(owned: DataFrame, gone: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(keys, action) of ``owned(keys, chunk)``: delete where no source is left, rebuild where some went, else keep.
+
+    Two flags of each key, combined before they are moved, tell it: sources are
+    neither gathered nor made distinct. Without ``gone`` rows bear ``lost``.
+    """
+    g = (owned if gone is None else marked(owned, gone)).groupBy(*keys).agg(F.bool_and("lost").alias("all"), F.bool_or("lost").alias("some"))
+    return g.select(*keys, F.when(F.col("all"), "delete").when(F.col("some"), "rebuild").otherwise("keep").alias("action"))
+
+
+#: Entities that go and are broadcast at most.
+FEW = 1_000_000
 
 
-def delete_cascade(entities: DataFrame, relations: DataFrame, gone: DataFrame) -> DataFrame:
+def delete_cascade(entities: DataFrame, relations: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """(store, key, action): what the loss of chunks ``gone(chunk)`` means for every table.
 
-    ``entities(name, chunk)`` and ``relations(src, tgt, chunk)`` own chunks.
-    A relation that keeps sources but loses an end is residual and goes, too.
-    Vectors and trackers go with what they belong to; a relation's vector may
-    bear the id of either direction.
+    ``entities(name, chunk)`` and ``relations(src, tgt, chunk)`` own chunks;
+    without ``gone`` their rows bear ``lost`` already (``marked``). A relation
+    that keeps sources but loses an end is residual and goes, too. Vectors and
+    trackers go with what they belong to; a relation's vector may bear the id
+    of either direction. Verdicts are stored, for several tables follow from them.
     """
-    e = verdicts(entities, gone, ["name"])
-    r = verdicts(relations, gone, ["src", "tgt"])
+    e = stored(verdicts(entities, gone, ["name"]), "verdicts")
+    r = stored(verdicts(relations, gone, ["src", "tgt"]), "verdicts")
     dead = e.where("action = 'delete'").select("name")
+    few = dead.count() <= FEW
     for end in ("src", "tgt"):
-        r = r.join(dead.select(F.col("name").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        ends = dead.select(F.col("name").alias(end), F.lit(True).alias(f"_{end}"))
+        r = r.join(F.broadcast(ends) if few else ends, end, "left")
     lost = (F.col("action") != "delete") & (F.col("_src").isNotNull() | F.col("_tgt").isNotNull())
     r = r.select("src", "tgt", F.when(lost, "residual").otherwise(F.col("action")).alias("action"))
     pair = F.concat_ws("-", "src", "tgt")
