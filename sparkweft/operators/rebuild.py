@@ -64,22 +64,24 @@ def rebuild_nodes(fragments: DataFrame, nodes: DataFrame, edges: DataFrame, want
     return made.select(cols).unionByName(other.select(cols))
 
 
-def rebuild_edges(fragments: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+def rebuild_edges(fragments: DataFrame, edges: DataFrame, wanted: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """(src, tgt, weight, keywords, n_sources, how) for every row of ``wanted(src, tgt, sources)``.
 
     Weights of ``fragments(src, tgt, weight, keywords, chunk)`` in the sources
     left add up, their distinct keywords are joined in order; without any the
-    weight and keywords of ``edges`` stay.
+    weight and keywords of ``edges`` stay. ``owned(src, tgt, chunk)`` may hold
+    the sources as rows; ``wanted`` needs none then.
     """
     keys = ["src", "tgt"]
-    ours = fragments.join(_owned(wanted, *keys), [*keys, "chunk"], "left_semi")
-    weight = ours.groupBy(*keys).agg(F.sum("weight").alias("_w"))
-    # Distinct first, so that a pair met a billion times gathers its distinct words only.
-    words = ours.where("keywords <> ''").select(*keys, "keywords").distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("keywords")), ", ").alias("_k"))
-    n = ours.select(*keys, "chunk").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = wanted.select(keys).join(edges.select(*keys, "weight", "keywords"), keys, "left").join(weight, keys, "left").join(words, keys, "left").join(n, keys, "left")
+    sources = wanted.select(*keys, F.explode("sources").alias("chunk")) if owned is None else owned.select(*keys, "chunk")
+    ours = fragments.join(sources, [*keys, "chunk"], "left_semi")
+    # By source first, where the rows lie, so that a pair met a billion times gathers its distinct words only.
+    words = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    each = ours.groupBy(*keys, "chunk").agg(F.sum("weight").alias("_w"), F.collect_set(F.when(F.col("keywords") != "", F.col("keywords"))).alias("_k"))
+    made = each.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.array_join(F.array_sort(words("_k")), ", ").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    j = wanted.select(keys).join(edges.select(*keys, "weight", "keywords"), keys, "left").join(made, keys, "left")
     how = F.when(F.col("_w").isNotNull(), "fragments").otherwise("current")
-    return j.select(*keys, F.coalesce("_w", "weight", F.lit(1.0)).alias("weight"), F.coalesce("_k", "keywords", F.lit("")).alias("keywords"), F.coalesce("_n", F.lit(0)).alias("n_sources"), how.alias("how"))
+    return j.select(*keys, F.coalesce("_w", "weight", F.lit(1.0)).alias("weight"), F.coalesce(F.when(F.col("_k") != "", F.col("_k")), "keywords", F.lit("")).alias("keywords"), F.coalesce("_n", F.lit(0)).alias("n_sources"), how.alias("how"))
 
 
 def rebuild(results: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
