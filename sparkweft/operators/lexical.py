@@ -51,16 +51,27 @@ def _weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), how="cross").select("bucket", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def save(ix: Index, path: str, about: str = "", parts: int = 1) -> Index:
-    """Write an index below a folder, a bucket in ``parts`` files; what is read back. The words are weighed from the postings as written.
+#: Words of the texts whose postings one task sorts and writes, about.
+PART_WORDS = 1 << 20
+
+
+def parts_of(words: int, buckets: int) -> int:
+    """How many parts of ``PART_WORDS`` words each of ``buckets`` makes."""
+    return max(1, -(-words // (buckets * PART_WORDS)))
+
+
+def save(ix: Index, path: str, about: str = "") -> Index:
+    """Write an index below a folder, a bucket in as many files as its words ask for; what is read back. The words are weighed from the postings as written.
 
     Postings are dealt by bucket and a salt of word and document, so that a word
     of most documents is spread over its bucket's parts.
     """
     spark = ix.postings.sparkSession
+    ix.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    told = spark.read.parquet(f"{path}/corpus").first()
+    parts = parts_of(round(told.n * (told.avg_len or 0)), ix.buckets)
     salt = F.pmod(F.xxhash64("term", "id"), F.lit(parts))
     ix.postings.repartition(ix.buckets * parts, "bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    ix.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     postings, corpus = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
     _weights(postings, corpus).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([(ix.buckets, about)], "buckets int, about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")

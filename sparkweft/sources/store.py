@@ -91,11 +91,6 @@ def fingerprint(*sources: DataFrame) -> str:
     return hashlib.md5(repr((told.n, told.bytes, str(told.h))).encode()).hexdigest()
 
 
-def file_parts(df: DataFrame, size: int) -> int:
-    """How many parts of ``size`` bytes the files behind a plain read make, one at least."""
-    return max(1, int(sum(int(leaf.stats().sizeInBytes()) for leaf in _leaves(df)) // size))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many parts as tasks run at once, where its files make fewer: work on long texts then does not wait for one task."""
     wide = df.sparkSession.sparkContext.defaultParallelism
