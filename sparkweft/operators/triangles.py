@@ -7,6 +7,13 @@ chosen by the number of edges, so that a task's part is bounded whatever the
 graph, and every edge is moved ``p`` times; a hub's edges are dealt out by the
 colours of their other ends. Inside a task edges run from the end of smaller
 degree, and pairs of a node's targets are looked up a slice at a time.
+
+Beyond ``COLOURS`` colours this moves too much, and lists are compared instead:
+nodes are numbered by degree, each node lists its greater neighbours, which are
+at most a root of twice the edges, and each edge gets two bytes for each entry
+of its greater end's list. Entries of its smaller end's list with such bytes
+are candidates, which are looked up among the edges. What is moved grows with
+the edges times the lengths of lists, not with their number to the power 1.5.
 """
 
 from __future__ import annotations
@@ -16,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweft.operators import graph as G
+from sparkweft.operators.ranking import numbered
 from sparkweft.sources.store import spent, stored
 
 #: Edges of a task, about, and pairs looked up at once.
 TASK_EDGES, PAIRS = 1_000_000, 2_000_000
+#: Colours, so copies of each edge, at most.
+COLOURS = 6
 
 
 def colours_for(edges: int, most: int = TASK_EDGES) -> int:
@@ -77,22 +87,55 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([names.dictionary.take(pa.array(at)), pa.array(found[at])], names=["node", "triangles"])
 
 
-def triangles(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
-    """(node, triangles) of every node in one. ``edges(src, tgt)`` hold strings and are undirected; loops, nulls and repeated edges count for nothing."""
-    once = edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).distinct()
-    once = stored(once, "edges")
-    p = colours_for(once.count(), most)
+def _by_colours(once: DataFrame, p: int) -> DataFrame:
+    """(node, triangles) by tasks of three out of ``p`` colours."""
     colour = lambda c: F.pmod(F.xxhash64(c), F.lit(p)).cast("int")
     dealt = once.withColumns({"cs": colour("src"), "ct": colour("tgt")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
     x, y, z = (F.sort_array(F.array("cs", "ct", "other"))[i].alias(c) for i, c in enumerate("xyz"))
     each = dealt.select("src", "tgt", "cs", "ct", x, y, z).groupBy("x", "y", "z").applyInArrow(_count, "node string, triangles long")
-    out = stored(each.groupBy("node").agg(F.sum("triangles").alias("triangles")), "triangles")
+    return stored(each.groupBy("node").agg(F.sum("triangles").alias("triangles")), "triangles")
+
+
+def _mark(v: Column) -> Column:
+    """Two bytes that tell most numbers apart."""
+    return F.shiftright(F.xxhash64(v), 48).cast("short")
+
+
+def _by_lists(once: DataFrame) -> DataFrame:
+    """(node, triangles) by comparing the lists of edges' ends."""
+    counted = numbered(G.degrees(once), "degree", "node", name="id")
+    ids = stored(counted.select("node", "id"), "ids")
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("a")), ids.select(F.col("node").alias("tgt"), F.col("id").alias("b"))
+    runs = stored(once.join(a, "src").join(b, "tgt").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), "runs")
+    lists = stored(runs.groupBy("u").agg(F.collect_list("v").alias("vs")).withColumn("marks", F.transform("vs", _mark)), "lists")
+    asked = runs.join(lists.select(F.col("u").alias("v"), F.col("marks").alias("theirs")), "v")
+    both = asked.join(lists, "u").withColumn("hits", F.array_intersect("marks", "theirs")).where(F.size("hits") > 0)
+    wanted = both.select("u", "v", F.explode(F.filter("vs", lambda w: F.array_contains(F.col("hits"), _mark(w)))).alias("w"))
+    found = wanted.join(runs.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    n = found.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    out = stored(n.join(ids, "id").select("node", "triangles"), "triangles")
+    spent(counted, ids, runs, lists)
+    return out
+
+
+def _triangles(once: DataFrame, most: int) -> DataFrame:
+    p = colours_for(once.count(), most)
+    return _by_colours(once, p) if p <= COLOURS else _by_lists(once)
+
+
+def triangles(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """(node, triangles) of every node in one. ``edges(src, tgt)`` hold strings and are undirected; loops, nulls and repeated edges count for nothing."""
+    once = stored(edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).distinct(), "edges")
+    out = _triangles(once, most)
     spent(once)
     return out
 
 
 def clustering(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
     """(node, degree, triangles, coefficient) of ``edges(src, tgt)``, which stand once each and are no loops."""
-    j = G.degrees(edges).join(triangles(edges, most), "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    once = stored(edges.select("src", "tgt"), "edges")
+    degrees = stored(G.degrees(once), "degrees")
+    j = degrees.join(_triangles(once, most), "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    spent(once)
     pairs = F.col("degree") * (F.col("degree") - 1)
     return j.withColumn("coefficient", F.round(F.when(pairs > 0, 2 * F.col("triangles") / pairs).otherwise(0.0), 6))
