@@ -17,10 +17,13 @@ def document_stream(spark: SparkSession, sf: str) -> DataFrame:
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "n_chars")
 
     def work(orders: DataFrame) -> DataFrame:
-        mine = orders.join(docs, "doc_id")
-        chunks = token_windows(mine.where("n_chars <= 5000").select(F.col("doc_id").alias("id"), words("text").alias("terms")), 120, 10)
-        n = chunks.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+        # Texts are cut where they lie, and only their numbers of chunks move; none is read where no order asks for one.
+        mine = orders.join(docs.select("doc_id", "n_chars"), "doc_id")
         bad = F.col("n_chars") > 5000
+        fit = docs.where(~bad).select(F.col("doc_id").alias("id"), words("text").alias("terms"))
+        if mine.where(~bad).isEmpty():
+            fit = fit.where(F.lit(False))
+        n = token_windows(fit, 120, 10).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
         return mine.join(n, "doc_id", "left").select(
             "doc_id", F.when(bad, "error").otherwise("done").alias("kind"), "attempt", F.when(~bad, F.coalesce("n", F.lit(0))).alias("n_chunks"), F.when(bad, F.concat(F.lit("too long: "), "n_chars")).alias("error"), F.timestamp_millis(F.col("at_ms") + 1000).alias("at")
         )

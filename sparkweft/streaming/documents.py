@@ -1,8 +1,8 @@
 """The life of documents as a stream: submitted, worked on, tried again, processed or failed.
 
-Events come as Parquet files in folders below ``inbox``. Each document is a key
-with state: its status, how often it was tried, and a timer that fires when
-no outcome comes in time. What the state machine decides comes out as
+Events come as Parquet files in folders below ``inbox``. Each document has
+state: its status, how often it was tried, and when it is given up on for want
+of an outcome. What the state machine decides comes out as
 transitions; those to ``processing`` are orders, which ``work`` turns into
 outcomes. Outcomes are events again: they are written to the inbox and met by a
 later batch.
@@ -12,6 +12,11 @@ number is committed. A batch that an accident cuts short is run again over the
 same events from the same state, and leaves the same rows; an outcome of an
 attempt that is over changes nothing. So a stream that was killed and started
 again ends in the tables of one that was not.
+
+A call of the state machine, with its frames and its requests for state, costs
+far more than a document, so a key is a bucket of documents by a hash of their
+ids: it keeps their states in one value and the earliest of their times in one
+timer.
 """
 
 from __future__ import annotations
@@ -34,24 +39,34 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Lifecycle(StatefulProcessor):
-    """One document's states. tries: attempts since it was last submitted; due: when its timer fires."""
+    """The states of a bucket's documents. tries: attempts since one was last submitted; due: when it is given up on, or 0."""
 
     def __init__(self, tries: int, patience_ms: int) -> None:
         self.most, self.patience = tries, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("document", "status string, seq long, attempt long, tries long, due long")
+        self.state = handle.getValueState("documents", "timer long, documents array<struct<doc_id string, status string, seq long, attempt long, tries long, due long>>")
+
+    def _read(self) -> tuple[int, dict[str, tuple]]:
+        """(when the bucket's timer fires, its documents)."""
+        timer, docs = self.state.get() if self.state.exists() else (0, [])
+        return timer, {d[0]: tuple(d[1:]) for d in docs}
+
+    def _write(self, timer: int, docs: dict[str, tuple]) -> None:
+        first = min((d[4] for d in docs.values() if d[4]), default=0)
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        self.state.update((first, [(k, *d) for k, d in docs.items()]))
 
     def _move(self, doc_id: str, old: tuple, status: str, tries: int, at: int, n_chunks: int | None = None, error: str | None = None) -> tuple[tuple, tuple]:
         """(new state, transition)."""
-        _, seq, attempt, _, due = old
-        if due:
-            self.handle.deleteTimer(due)
+        _, seq, attempt, _, _ = old
         again = status == "processing"
         new = (status, seq + 1, attempt + again, tries, at + self.patience if again else 0)
-        if again:
-            self.handle.registerTimer(new[4])
         return new, (doc_id, new[1], new[2], status, n_chunks, error, at)
 
     def _lost(self, doc_id: str, old: tuple, at: int, error: str | None) -> tuple[tuple, tuple]:
@@ -66,44 +81,53 @@ class Lifecycle(StatefulProcessor):
         return out.astype({"seq": "int64", "attempt": "int64", "n_chunks": "Int64", "at_ms": "int64", "error": "object"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        doc_id = key[0]
-        if not doc_id:
-            return
-        # One document's new events: a few, for repeats are met once.
-        events = {(int(at), ORDER[kind], kind, int(attempt), None if pd.isna(n) else int(n), error or None) for part in rows for at, kind, attempt, n, error in zip(part["at_ms"], part["kind"], part["attempt"], part["n_chunks"], part["error"]) if kind in ORDER}
-        events = sorted(events, key=lambda e: (*e[:4], e[4] is not None, e[4] or 0, e[5] or ""))
-        now = old = tuple(self.state.get()) if self.state.exists() else ("", 0, 0, 0, 0)
+        # A document's new events: a few, for repeats are met once.
+        events: dict[str, set] = {}
+        for part in rows:
+            for doc_id, at, kind, attempt, n, error in zip(part["doc_id"], part["at_ms"], part["kind"], part["attempt"], part["n_chunks"], part["error"]):
+                if doc_id and kind in ORDER:
+                    events.setdefault(doc_id, set()).add((int(at), ORDER[kind], kind, int(attempt), None if pd.isna(n) else int(n), error or None))
+        timer, docs = self._read() if events else (0, {})
         out = []
-        for at, _, kind, attempt, n_chunks, error in events:
-            told = None
-            if kind == "submit" and now[0] in ("", "failed"):
-                told = self._move(doc_id, now, "processing", 1, at)
-            elif now[0] == "processing" and attempt == now[2]:
-                if kind == "done":
-                    told = self._move(doc_id, now, "processed", now[3], at, n_chunks=n_chunks)
-                elif kind == "error":
-                    told = self._lost(doc_id, now, at, error)
-            if told:
-                now, row = told
-                out.append(row)
-        if now != old:
-            self.state.update(now)
+        for doc_id, mine in events.items():
+            now = docs.get(doc_id, ("", 0, 0, 0, 0))
+            for at, _, kind, attempt, n_chunks, error in sorted(mine, key=lambda e: (*e[:4], e[4] is not None, e[4] or 0, e[5] or "")):
+                told = None
+                if kind == "submit" and now[0] in ("", "failed"):
+                    told = self._move(doc_id, now, "processing", 1, at)
+                elif now[0] == "processing" and attempt == now[2]:
+                    if kind == "done":
+                        told = self._move(doc_id, now, "processed", now[3], at, n_chunks=n_chunks)
+                    elif kind == "error":
+                        told = self._lost(doc_id, now, at, error)
+                if told:
+                    now, row = told
+                    docs[doc_id] = now
+                    out.append(row)
         if out:
+            self._write(timer, docs)
             yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = tuple(self.state.get()) if self.state.exists() else None
-        if old and old[0] == "processing" and old[4] == expiredTimerInfo.getExpiryTimeInMs():
-            # The timer that fired is gone by itself. A new attempt counts from what time it is by now, else its outcome would be late.
-            new, row = self._lost(key[0], (*old[:4], 0), timerValues.getCurrentWatermarkInMs(), "no outcome in time")
-            self.state.update(new)
-            yield self._frame([row])
+        timer, docs = self._read()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        # A new attempt counts from what time it is by now, else its outcome would be late.
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for doc_id, old in docs.items():
+            if old[4] and (old[4] == timer or old[4] < now):
+                docs[doc_id], row = self._lost(doc_id, old, now, "no outcome in time")
+                out.append(row)
+        # The timer that fired is gone by itself.
+        self._write(0, docs)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def start(spark: SparkSession, inbox: str, folder: str, work: Callable[[DataFrame], DataFrame], tries: int = 3, patience_ms: int = 600_000, late: str = "1 hour", on_batch: Callable[[int], None] | None = None, **trigger) -> StreamingQuery:
+def start(spark: SparkSession, inbox: str, folder: str, work: Callable[[DataFrame], DataFrame], tries: int = 3, patience_ms: int = 600_000, late: str = "1 hour", buckets: int = 1024, on_batch: Callable[[int], None] | None = None, **trigger) -> StreamingQuery:
     """A query that follows the events below ``inbox`` and writes ``folder/transitions``.
 
     work: (orders: doc_id, attempt, at_ms) -> EVENTS of those that came to an
@@ -112,12 +136,15 @@ def start(spark: SparkSession, inbox: str, folder: str, work: Callable[[DataFram
     without a document's id only move the clock; unknown kinds and outcomes of
     no open attempt change nothing; repeated events count once; a submission of
     a failed document gives it new tries, any other known one is ignored.
+    buckets: how many keys share the documents, the same for the folder's life.
+    A batch reads and writes the states of those it meets as a whole, so a
+    stream of very many documents that come a few at a time wants more.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     events = spark.readStream.schema(EVENTS).parquet(f"{inbox}/*").where("at is not null").withWatermark("at", late)
     # Rows that only move the clock share the empty id, whose rows are read past.
     rows = events.select(F.when(F.col("kind") == "tick", "").otherwise(F.coalesce("doc_id", F.lit(""))).alias("doc_id"), "kind", F.coalesce("attempt", F.lit(0)).alias("attempt"), "n_chunks", F.coalesce("error", F.lit("")).alias("error"), F.unix_millis("at").alias("at_ms"), "at")
-    told = rows.groupBy("doc_id").transformWithStateInPandas(Lifecycle(tries, patience_ms), TRANSITIONS, "Append", "EventTime")
+    told = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).groupBy("bucket").transformWithStateInPandas(Lifecycle(tries, patience_ms), TRANSITIONS, "Append", "EventTime")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -146,11 +173,11 @@ def statuses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def settle(spark: SparkSession, inbox: str, folder: str, work: Callable[[DataFrame], DataFrame], rounds: int | None = None, **options) -> None:
-    """Follow the events that are there, and the outcomes they lead to, until a run leaves nothing new (or for so many runs)."""
+    """Follow the events that are there, and the outcomes they lead to, until a run after the first gives no order, so that no outcome is left (or for so many runs)."""
     n, seen = 0, None
     while rounds is None or n < rounds:
         start(spark, inbox, folder, work, **options).awaitTermination()
-        n, now = n + 1, transitions(spark, folder).count()
+        n, now = n + 1, transitions(spark, folder).where("status = 'processing'").count()
         if now == seen:
             return
         seen = now

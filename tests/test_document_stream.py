@@ -80,6 +80,20 @@ def test_killed_and_restarted(spark, undisturbed, tmp_path):
     assert rows(folder) == rows(undisturbed[1])
 
 
+def test_documents_share_keys(spark, undisturbed, tmp_path):
+    """All documents in two keys, with a timer each, move as each does by itself."""
+    inbox, folder = f"file://{tmp_path}/inbox", f"file://{tmp_path}/state"
+    for step in range(4):
+        feed(spark, inbox, step)
+        S.settle(spark, inbox, folder, work, tries=3, patience_ms=600_000, buckets=2)
+    rows = lambda f: sorted(map(str, S.transitions(spark, f).collect()))
+    assert rows(folder) == rows(undisturbed[1])
+    feed(spark, inbox, 4)
+    query = S.start(spark, inbox, folder, work, tries=3, patience_ms=600_000, buckets=2)
+    query.awaitTermination()
+    assert {s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]} == {2}
+
+
 def test_failed_again_submitted(spark, undisturbed):
     """New tries for a failed document, none for a processed one."""
     inbox, folder = undisturbed
