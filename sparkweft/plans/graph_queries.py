@@ -9,6 +9,7 @@ from sparkweft.operators import graph as G
 from sparkweft.operators import vector as V
 from sparkweft.operators.ranking import numbered
 from sparkweft.plans import data as D
+from sparkweft.sources.store import spent, stored
 
 K = 10
 
@@ -134,8 +135,11 @@ def degree_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def local_search(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest entities, then all their edges by the sum of degrees and weight."""
-    e = D.edges(spark, sf)
-    hit = G.with_edge_degree(G.edges_of(e, _seeds(spark, sf)), D.degrees(spark, sf))
+    return _local(spark, sf, _seeds(spark, sf))
+
+
+def _local(spark: SparkSession, sf: str, seeds: DataFrame) -> DataFrame:
+    hit = G.with_edge_degree(G.edges_of(D.edges(spark, sf), seeds), D.degrees(spark, sf))
     return numbered(hit.select("src", "tgt", "weight", "edge_degree"), F.desc("edge_degree"), F.desc("weight"), "src", "tgt")
 
 
@@ -152,14 +156,41 @@ def _relation_ids(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("id", "src", "tgt", "weight")
 
 
+#: So many vectors are looked at first for the best relations.
+NEAR = 1000
+
+
 def _best_relations(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    best = _relation_scores(spark, sf).orderBy(F.desc("score"), "src", "tgt").limit(k)
-    return V.ranked(best, F.desc("score"), "src", "tgt")
+    """The best k relations and their places, stored.
+
+    A relation's score is that of its vector, so those of the nearest vectors
+    are the best, if there are k of them above the last of these; edges need
+    not move then. Otherwise every edge is joined with its vector.
+    """
+    v = V.scored(D.vectors(spark, sf).select("id", "v"), D.query_vector(spark, sf)).select("id", "score")
+    near = stored(v.orderBy(F.desc("score"), "id").limit(NEAR), "near")
+
+    def best(scores: DataFrame) -> DataFrame:
+        few = _relation_ids(spark, sf).join(scores, "id").select("src", "tgt", "weight", "score").orderBy(F.desc("score"), "src", "tgt").limit(k)
+        return stored(V.ranked(few, F.desc("score"), "src", "tgt"), "relations")
+
+    out = best(F.broadcast(near))
+    n, last = near.agg(F.count(F.lit(1)), F.min("score")).first()
+    # The last of the nearest may share its score with vectors left out.
+    if n == NEAR and out.where(F.col("score") > (float("nan") if last is None else last)).count() < k:
+        spent(out)
+        out = best(v)
+    spent(near)
+    return out
 
 
 def global_search(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest relations, then their ends in order of first appearance."""
-    r = _best_relations(spark, sf, 15).select("pos", F.posexplode(F.array("src", "tgt")).alias("side", "node"))
+    return _ends(_best_relations(spark, sf, 15))
+
+
+def _ends(best: DataFrame) -> DataFrame:
+    r = best.select("pos", F.posexplode(F.array("src", "tgt")).alias("side", "node"))
     first = r.groupBy("node").agg(F.min(2 * F.col("pos") + F.col("side")).alias("at"))
     return V.ranked(first, "at").select("pos", "node")
 
