@@ -132,10 +132,31 @@ def exact_mean(value: str) -> Column:
     return F.coalesce(F.when(F.count(d) == F.count(value), mean), F.round(F.avg(value), 6))
 
 
-def rerank_aggregate(parts: DataFrame, how: str = "max") -> DataFrame:
-    """(doc, score, pos) of scored parts ``(doc, pos, score)``: max, mean or first; an unknown way is max."""
+def _round_as_sql(x: Column) -> Column:
+    """To six places as SQL engines round doubles: a million times the number, halves of that away from 0."""
+    y = F.abs(x) * 1e6
+    whole = F.floor(y).cast("double")
+    up = F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 1e6
+    # Beyond 2^52 there are no halves.
+    return F.when(y < 2.0**52, up).otherwise(x)
+
+
+def means_in_order(parts: DataFrame) -> DataFrame:
+    """(doc, score) of parts ``(doc, pos, score)``: the doubles added up one by one in order of ``pos``, as one thread does that reads them so.
+
+    A running sum over a window holds one row at a time, however many parts a document has.
+    """
+    up_to = Window.partitionBy("doc").orderBy("pos", "score")
+    sums = parts.select("doc", F.sum("score").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(up_to).alias("n"))
+    return sums.groupBy("doc").agg(F.max_by("sum", "n").alias("sum"), F.max("n").alias("n")).select("doc", _round_as_sql(F.col("sum") / F.col("n")).alias("score"))
+
+
+def rerank_aggregate(parts: DataFrame, how: str = "max", exact: bool = True) -> DataFrame:
+    """(doc, score, pos) of scored parts ``(doc, pos, score)``: max, mean or first; an unknown way is max. Means that are not ``exact`` are those of doubles added up in order of ``pos``."""
     from sparkweft.operators.ranking import numbered
 
     s = parts.where("score is not null")
+    if how == "mean" and not exact:
+        return numbered(means_in_order(s), F.desc("score"), "doc")
     agg = {"mean": exact_mean("score"), "first": F.round(F.min_by("score", "pos"), 6)}.get(how, F.round(F.max("score"), 6))
     return numbered(s.groupBy("doc").agg(agg.alias("score")), F.desc("score"), "doc")
