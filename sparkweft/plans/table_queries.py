@@ -11,7 +11,7 @@ from sparkweft.operators import hooks as H
 from sparkweft.operators import labels as A
 from sparkweft.operators import lexical as L
 from sparkweft.operators import many as M
-from sparkweft.operators import triangles as T
+from sparkweft.operators import tripartite as T
 from sparkweft.operators.louvain import louvain
 from sparkweft.operators.segments import Found, SegmentedIndex
 from sparkweft.plans import data as D
@@ -82,11 +82,9 @@ def focused_many(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, tgt): customers, the parts they bought and the suppliers these came from, each pair once."""
+    """(a, b, c): customers, the parts they bought and the suppliers these came from."""
     li, o = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), D.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("C"), "o_custkey").alias("c"), F.concat(F.lit("P"), "l_partkey").alias("p"), F.concat(F.lit("S"), "l_suppkey").alias("s"))
-    pairs = F.inline(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("tgt")) for a, b in ("cp", "cs", "ps")]))
-    return j.select(pairs).distinct()
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"))
 
 
 def rename_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +124,8 @@ def search_labels_indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 def clustering_trade(spark: SparkSession, sf: str) -> DataFrame:
     """Degree, triangles and clustering coefficient of every customer, part and supplier."""
-    return T.clustering(_trade(spark, sf))
+    told = T.clustering(_trade(spark, sf), D.table(spark, sf, "lineitem").count())
+    return told.select(F.concat(F.element_at(F.array(F.lit("C"), F.lit("P"), F.lit("S")), F.col("kind") + 1), "key").alias("node"), "degree", "triangles", "coefficient")
 
 
 def communities(spark: SparkSession, sf: str) -> DataFrame:
